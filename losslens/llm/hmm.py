@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from losslens.llm.common import bytes_of, remainder, save, slices
 
 #: States, words with a symbol of their own, classes of other words, words whose counts go to every task.
-STATES, HEAD, CLASSES, KNOWN_WORDS = 8, 16_384, 64, 250_000
+STATES, HEAD, CLASSES, KNOWN_WORDS = 8, 16_384, 64, 200_000
 ROUNDS = 5
 #: Training cuts symbol sequences into runs of this length; scoring into runs of LONG, joined exactly.
 RUN, LONG = 128, 4096
@@ -75,6 +75,7 @@ class Lexicon:
     types: int  # V, the end included
     ends: int
     known: dict[bytes, tuple[int, int]]  # word -> (count, symbol or -1)
+    level: int  # known are the words of this level of count or above
     class_tokens: np.ndarray
     class_types: np.ndarray
     symbol_counts: np.ndarray  # of the end, the head words, the classes
@@ -84,19 +85,32 @@ class Lexicon:
         return len(self.symbol_counts)
 
 
+def level_of(c):
+    """A count's level: 256 to each power of two, so that a few thousand numbers show how many words have which count."""
+    return F.floor(F.log2(c) * 256).cast("int")
+
+
 def lexicon(counts: DataFrame, ends: int) -> Lexicon:
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).collect()
-    known = {bytes(r.word): (r.c, 1 + i if i < HEAD else -1) for i, r in enumerate(top)}
+    levels = counts.groupBy(level_of(F.col("c")).alias("level")).count().collect()  # at most 64 * 256 rows
+    level, room = 0, KNOWN_WORDS
+    for r in sorted(levels, reverse=True):
+        room -= r["count"]
+        if room < 0:
+            level = r.level + 1
+            break
+    found = counts.where(level_of(F.col("c")) >= level).toArrow().to_pydict()  # at most KNOWN_WORDS
+    top = sorted(zip(found["c"], found["word"]), key=lambda x: (-x[0], x[1]))
+    known = {w: (c, 1 + i if i < HEAD else -1) for i, (c, w) in enumerate(top)}
     head = min(HEAD, len(top))
     by_class = counts.groupBy((F.crc32(F.substring("word", -2, 2)) % CLASSES).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in by_class:
         n[r.k], v[r.k] = r.n, r.v
-    for r in top[:head]:  # head words stand alone
-        n[class_of(bytes(r.word))] -= r.c
-        v[class_of(bytes(r.word))] -= 1
-    return Lexicon(tokens + ends, types + (ends > 0), ends, known, n, v, np.concatenate(([ends], [r.c for r in top[:head]], n)).astype(np.float64))
+    for c, w in top[:head]:  # head words stand alone
+        n[class_of(w)] -= c
+        v[class_of(w)] -= 1
+    return Lexicon(tokens + ends, types + (ends > 0), ends, known, level, n, v, np.concatenate(([ends], [c for c, _ in top[:head]], n)).astype(np.float64))
 
 
 def encode(docs: DataFrame, lex: Lexicon, held: int, folds: int) -> DataFrame:
@@ -321,8 +335,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int
     scored = encoded.select("row", "symbols", *names).mapInArrow(run, f"row long, chain double, {kinds}")
     # words beyond the known ones: their counts come by a join, summed per text
     rare = encoded.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("z")).select("row", F.col("z.words").alias("word"), F.col("z.times").alias("times"))
-    least = min((c for c, _ in lex.known.values()), default=0) if len(lex.known) == KNOWN_WORDS else 0
-    found = rare.join(counts.where(F.col("c") <= least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    found = rare.join(counts.where(level_of(F.col("c")) < lex.level), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     extra = found.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen"),
