@@ -29,7 +29,7 @@ from losslens.llm.common import bytes_of, remainder, save, slices
 #: Kernel: weight per character of span, longest span, characters of a string looked at in one window (with its two ends).
 DECAY, SPAN, WINDOW = 0.7, 7, 24
 #: Bounds of the training sample: labelled texts of each class, strings looked at, landmarks.
-MOST_TEXTS, MOST_CANDIDATES, MOST_NEGATIVES, LANDMARKS = 4000, 1500, 80_000, 160
+MOST_TEXTS, MOST_CANDIDATES, MOST_NEGATIVES, LANDMARKS = {1: 1500, 0: 3000}, 1500, 80_000, 160
 #: A candidate is this much likelier in positive texts; beginnings have so many bytes; a chosen one covers so many texts that no other does.
 RATIO, STEMS, LEAST_GAIN = 25, range(4, 9), 3
 #: Codes of characters: letters, digits (one code), signs (one), the ends of a string, and 32 for what follows a lead byte.
@@ -230,38 +230,40 @@ def choose(covers: dict[bytes, set[int]]) -> list[bytes]:
     return taken
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most_texts: int = MOST_TEXTS) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most_texts: dict[int, int] = MOST_TEXTS) -> Machine | None:
     """Fit on labelled rows outside the held-out fold; None where they aren't of both classes.
 
-    Of each class at most ``most_texts`` texts take part, those of least
-    xxhash64 of the id; nothing but the text and its label is used.
+    Of each class at most ``most_texts`` ids take part, those of least xxhash64,
+    one text (the least) for a repeated id; nothing but the text and its label
+    is used.  Only ids meet the labels; the texts of the sample are then picked
+    by a broadcast of its ids, which that bound limits.
     """
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
     marked = marked.where(remainder(F.col("doc_id"), folds) != held)
-    both = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marked, "doc_id").where("text is not null")
-    picked = None
-    for kind in (1, 0):
-        some = both.where(F.col("__toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_texts)
-        picked = some if picked is None else picked.unionByName(some)
-    picked = save(picked.select(F.monotonically_increasing_id().alias("row"), F.col("__toxic").cast("int").alias("toxic"), "text").repartition(16), "toxic-sample")
+    there = marked.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
+    some = [there.where(F.col("__toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in most_texts.items()]
+    chosen = save(some[0].unionByName(some[1]), "toxic-ids")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    picked = texts.groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).where("text is not null")
+    picked = save(picked.select(F.xxhash64("doc_id").alias("row"), F.col("__toxic").alias("toxic"), "text"), "toxic-sample")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates: a whole string or, marked by a white space that no string has, a beginning."""
         for batch in batches:
             for part in slices(batch, 2):
                 for row, toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), bytes_of(part, 2)):
-                    found = [x for x in {s.strip(PUNCTUATION) for s in strings_of(text)} if x]
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.binary())], ["row", "toxic", "string"])
+                    found = {s.strip(PUNCTUATION) for s in strings_of(text)} - {b""}
+                    found |= {s[:n] + b" " for s in found for n in STEMS if len(s) >= n}
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(list(found), pa.binary())], ["row", "toxic", "cand"])
 
     size = {r.toxic: r["count"] for r in picked.groupBy("toxic").count().collect()}
     if len(size) < 2:
         return None
-    bags = save(picked.mapInArrow(split, "row long, toxic int, string binary"), "toxic-strings")
-    stats = save(bags.groupBy("string").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "toxic-stats")
-    # a candidate is a whole string or, marked by a white space that no string has, a beginning
-    stems = F.array(*[F.when(F.length("string") >= n, F.concat(F.substring("string", 1, n), F.lit(b" "))) for n in STEMS])
-    cands = bags.select("row", "toxic", F.explode(F.array_append(F.array_compact(stems), F.col("string"))).alias("cand")).distinct()
+    cands = save(picked.mapInArrow(split, "row long, toxic int, cand binary"), "toxic-strings")
+    counted = save(cands.groupBy("cand").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "toxic-stats")
+    stats = counted.where(~F.col("cand").endswith(F.lit(b" "))).withColumnRenamed("cand", "string")
     up, down = (F.col("pos") + 0.5) / (size[1] + 1), (F.col("neg") + 0.5) / (size[0] + 1)
-    strong = cands.groupBy("cand").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where((F.col("pos") >= LEAST_GAIN) & (up > RATIO * down))
+    strong = counted.where((F.col("pos") >= LEAST_GAIN) & (up > RATIO * down))
     strong = save(strong.orderBy(F.desc("pos"), "cand").limit(MOST_CANDIDATES).select("cand"), "toxic-candidates")
     covers: dict[bytes, set[int]] = {}
     for r in cands.where("toxic = 1").join(F.broadcast(strong), "cand").groupBy("cand").agg(F.collect_list("row").alias("rows")).collect():  # at most most_texts rows for each of MOST_CANDIDATES
