@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,7 +24,10 @@ from pyspark.sql import functions as F
 from losslens.llm.common import slices, texts_of
 
 #: Most words kept between blocks of a task; beyond that the memory starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
+#: Text of a block.
+BLOCK_BYTES = 8 << 20
+NO_IDS = np.zeros(0, "<u4")
 
 
 class MergeTable:
@@ -41,12 +43,108 @@ class MergeTable:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
+        self.byte_table = np.array(self.byte_ids)
+        self.pair_keys = np.array(sorted(self.pairs))
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()])
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, the pair of least rank merged first, leftmost among equals.
+    def replay(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word: all merges of one rank at a time, over all words of the block.
 
         An empty word gives no ids; a word that is itself a token gives that one.
+        A word in which a merge makes way for one of lower rank is done by
+        ``replay_each``, which then takes that one first.
         """
+        out: list[np.ndarray] = [NO_IDS] * len(words)
+        todo = []
+        for n, word in enumerate(words):
+            whole = self.ranks.get(word)
+            if whole is not None:
+                out[n] = np.array([whole], "<u4")
+            elif word:
+                todo.append(n)
+        if not todo:
+            return out
+        length = np.fromiter((len(words[n]) for n in todo), np.int64, len(todo))
+        end = np.cumsum(length)
+        start, total = end - length, int(end[-1])
+        sym = self.byte_table[np.frombuffer(b"".join(words[n] for n in todo), np.uint8)]
+        owner = np.repeat(np.arange(len(todo)), length)
+        nxt, prv = np.arange(1, total + 1), np.arange(-1, total - 1)
+        nxt[end - 1] = prv[start] = -1
+        pair = np.full(total, -1)  # rank of the pair that begins at a place
+        where: dict[int, list[np.ndarray]] = {}  # the inverted index: rank -> places
+        queue: list[int] = []
+
+        def enter(places: np.ndarray) -> np.ndarray:
+            """Look up the pairs that begin at places and put them into the index; returns their ranks."""
+            ranks = self.find(sym[places], sym[nxt[places]])
+            pair[places] = ranks
+            known = ranks >= 0
+            places, found = places[known], ranks[known]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            cuts = np.flatnonzero(np.diff(found)) + 1
+            for rank, group in zip(found[np.concatenate(([0], cuts))].tolist() if len(found) else (), np.split(places, cuts)):
+                if rank not in where:
+                    where[rank] = []
+                    heapq.heappush(queue, rank)
+                where[rank].append(group)
+            return ranks
+
+        enter(np.flatnonzero(nxt >= 0))
+        odd = np.zeros(len(todo), bool)
+        begins = np.zeros(total, bool)
+        while queue:
+            rank = heapq.heappop(queue)
+            groups = where.pop(rank)
+            at = groups[0] if len(groups) == 1 else np.unique(np.concatenate(groups))
+            at = at[pair[at] == rank]
+            if not len(at):
+                continue
+            right = nxt[at]
+            begins[at] = True
+            if begins[right].any():  # overlapping: the leftmost of each run, then every other
+                keep, taken = [], -1
+                for i, j in zip(*(x.tolist() for x in (np.sort(at), nxt[np.sort(at)]))):
+                    if i != taken:
+                        keep.append(i)
+                        taken = j
+                begins[at] = False
+                at = np.array(keep)
+                right = nxt[at]
+            else:
+                begins[at] = False
+            after = nxt[right]
+            more = after >= 0
+            early = self.find(np.full(int(more.sum()), rank), sym[after[more]])
+            odd[owner[at[more]][(early >= 0) & (early < rank)]] = True
+            sym[at], sym[right], pair[at], pair[right] = rank, -1, -1, -1
+            nxt[at] = after
+            prv[after[more]] = at[more]
+            before = prv[at]
+            touched = np.concatenate((at[more], before[before >= 0]))
+            if len(touched):
+                touched = np.unique(touched)
+                made = enter(touched)
+                odd[owner[touched[(made >= 0) & (made < rank)]]] = True
+        alive = sym >= 0
+        counts = np.bincount(owner[alive], minlength=len(todo))
+        ids = sym[alive].astype("<u4")
+        for n, piece in zip(todo, np.split(ids, np.cumsum(counts)[:-1])):
+            out[n] = piece
+        again = [todo[k] for k in np.flatnonzero(odd)]
+        for n, piece in zip(again, self.replay_each([words[n] for n in again])):
+            out[n] = np.array(piece, "<u4")
+        return out
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, -1 for those that don't merge."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def replay_each(self, words: list[bytes]) -> list[list[int]]:
+        """The same with one merge at a time: the pair of least rank first, leftmost among equals."""
         out: list[list[int]] = [[]] * len(words)
         get, byte_ids = self.pairs.get, self.byte_ids
         sym, nxt, prv, starts = [], [], [], []
@@ -138,7 +236,7 @@ class BlockEncoder:
         found = [self.find(t) for t in texts]
         fresh = list(set().union(*found).difference(self.known))
         for word, ids in zip(fresh, self.table.replay([w.encode() for w in fresh])):
-            self.known[word] = array("I", ids).tobytes()
+            self.known[word] = ids.tobytes()
         known = self.known.__getitem__
         return [b"".join(map(known, words)) for words in found]
 
@@ -161,7 +259,7 @@ def bpe_encode_decode(
         table = merge_table(ranks_path)
         encoder = BlockEncoder(table, pattern)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, BLOCK_BYTES):
                 coded = encoder.encode(texts_of(part, 1))
                 ids = [np.frombuffer(x, "<u4") for x in coded]
                 decoded = [table.decode(x.tolist()) for x in ids]
