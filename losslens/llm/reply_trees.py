@@ -79,28 +79,19 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     known = nodes.join(there, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("parent") == F.col("n2")), "left").withColumn("up", F.col("n2"))
     way = known.select("conv", "node", "up", F.coalesce("up", "node").alias("root"), F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("score").alias("total"))
     way = save(way, "reply-way")
-    pointers, open_before = [], -1
-    while True:
-        still = way.where("up is not null")
-        n = still.count()
-        if n == 0 or n == open_before:
-            break
+    pointers, done, still = [], way.where("up is null"), way.where("up is not null")
+    n, before = still.count(), -1
+    while n and not (n == before and len(pointers) > 63):
         pointers.append(still.select("conv", "node", "up"))
-        above = way.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.col("up").alias("u2"), F.col("root").alias("r2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        moved = way.join(above, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("n2")), "left")
-        way = save(
-            moved.select(
-                "conv",
-                "node",
-                F.col("u2").alias("up"),
-                F.coalesce("r2", "root").alias("root"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-            ),
-            "reply-way",
+        # only messages whose pointer hasn't reached a root take part, but any may stand above them
+        above = done.unionByName(still).select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.col("up").alias("u2"), F.col("root").alias("r2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        moved = still.join(above, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("n2"))).select(
+            "conv", "node", F.col("u2").alias("up"), F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total")
         )
-        open_before = n if len(pointers) > 63 else -1
-    return way.where("up is null").drop("up"), pointers
+        moved = save(moved, "reply-way")
+        done, still = done.unionByName(moved.where("up is null")), moved.where("up is not null")
+        n, before = still.count(), n
+    return done.drop("up"), pointers
 
 
 def choose_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
