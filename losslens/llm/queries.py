@@ -78,21 +78,21 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
-#: Only what SQL can say exactly: quality counts' verdict uses distances, so op6 is tested by brute force; op9's lines are plain SQL.
+#: op9's rows are plain SQL; the other operators are tested against brute force.
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
   FROM documents
 ), keyed AS (
-  SELECT doc_id, line, at,
+  SELECT doc_id, line, place,
          translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
 ), bad AS (
   SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
 )
 SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(b.key)::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(CASE WHEN b.key IS NULL THEN k.line END, chr(10) ORDER BY k.at), '')) AS kept_sha256
+       sha256(coalesce(string_agg(CASE WHEN b.key IS NULL THEN k.line END, chr(10) ORDER BY k.place), '')) AS kept_sha256
 FROM keyed k LEFT JOIN bad b ON k.key = b.key
 GROUP BY k.doc_id
 """
