@@ -1,0 +1,133 @@
+"""Answers inside free text: candidates, repair, parsing, comparison."""
+
+from __future__ import annotations
+
+import ast
+import json
+import math
+import re
+from fractions import Fraction
+
+BLOCK = re.compile(r"\[ANSWER\](.*?)(?:\[/ANSWER\]|$)", re.I | re.S)
+FENCE = re.compile(r"```(?:json|python)?\s*(.*?)```", re.S)
+TRAILING = re.compile(r",(\s*[}\]])")
+WORDS = {"None": "null", "True": "true", "False": "false"}
+
+
+def repair(text: str) -> str:
+    """Curly quotes made plain, Python words outside strings made JSON words, trailing commas dropped."""
+    text = text.translate(str.maketrans("“”‘’", "\"\"''"))
+    parts = re.split(r'("(?:\\.|[^"\\])*")', text)
+    parts[::2] = [TRAILING.sub(r"\1", re.sub(r"\b(None|True|False)\b", lambda m: WORDS[m[0]], p)) for p in parts[::2]]
+    return "".join(parts)
+
+
+def parse(snippet: str):
+    """A value from JSON, repaired JSON, or a Python literal; raises ValueError."""
+    for attempt in (snippet, repair(snippet)):
+        try:
+            return json.loads(attempt)
+        except ValueError:
+            continue
+    try:
+        return ast.literal_eval(snippet.strip())
+    except (SyntaxError, MemoryError, RecursionError, TypeError) as e:
+        raise ValueError(str(e)) from e
+
+
+def dict_spans(text: str) -> list[str]:
+    """Outermost balanced {...} of the text; braces inside double-quoted strings don't count."""
+    out, depth, start, quoted, escaped = [], 0, 0, False, False
+    for i, c in enumerate(text):
+        if quoted:
+            quoted = escaped or c != '"'
+            escaped = c == "\\" and not escaped
+        elif c == '"' and depth:
+            quoted = True
+        elif c == "{":
+            start = i if depth == 0 else start
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                out.append(text[start : i + 1])
+    return out
+
+
+def extract(text: str | None):
+    """The answer's value: from the last answer block, the last code fence, else the last dictionary with an output; None if there is none."""
+    if not text:
+        return None
+    blocks = [b for b in BLOCK.findall(text) if b.strip()] or FENCE.findall(text)
+    for candidate in [*reversed(blocks), text]:
+        candidate = candidate.replace("{{", "{").replace("}}", "}").strip()
+        for snippet in [*reversed(dict_spans(candidate)), *([candidate] if candidate is not text else [])]:
+            try:
+                found = parse(snippet)
+            except ValueError:
+                continue
+            if isinstance(found, dict):
+                return unwrap(found)
+            if candidate is not text:
+                return found
+    cut = re.search(r'"output"\s*:\s*(-?[\d.]+|"[^"]*)', text)  # a truncated dictionary
+    return None if cut is None else parse(cut[1] if cut[1][0] != '"' else cut[1] + '"')
+
+
+def unwrap(value):
+    """The answer inside a dictionary: return, input, output, or its only value."""
+    lower = {str(k).lower(): v for k, v in value.items()} if isinstance(value, dict) else {}
+    for key in ("return", "input", "output"):
+        if key in lower:
+            return unwrap(lower[key]) if isinstance(lower[key], dict) else lower[key]
+    return next(iter(value.values())) if len(lower) == 1 else value
+
+
+def literal(x):
+    if isinstance(x, str):
+        try:
+            return literal(ast.literal_eval(x))
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return x
+    return [literal(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+
+def deep_equal(a, b, tolerance: float = 1e-3) -> bool:
+    """Values alike: whole numbers exactly, others within a relative and absolute tolerance, lists and dictionaries by parts."""
+    a, b = literal(a), literal(b)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(deep_equal(x, y, tolerance) for x, y in zip(a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(deep_equal(a[k], b[k], tolerance) for k in a)
+    if isinstance(a, (int, float)) and isinstance(b, (int, float)):
+        if isinstance(a, int) and isinstance(b, int):
+            return a == b
+        return math.isfinite(a) and math.isfinite(b) and abs(a - b) <= max(tolerance * max(abs(a), abs(b)), tolerance)
+    return type(a) is type(b) and a == b
+
+
+def fraction(x) -> Fraction:
+    """A number, a decimal text, ``p/q`` or ``Fraction(p, q)``."""
+    text = str(x).strip()
+    m = re.fullmatch(r"(?:Fraction\()?\s*(-?\d+)\s*[/,]\s*(\d+)\s*\)?", text)
+    return Fraction(int(m[1]), int(m[2])) if m else Fraction(text)
+
+
+def verdict(generated: str | None, expected, codec: str, tolerance: float = 1e-3) -> str:
+    """correct, wrong, or no answer (nothing found, or not of the codec's shape)."""
+    found = extract(generated)
+    if found is None:
+        return "no answer"
+    try:
+        if codec == "ae":
+            a, b = fraction(found), fraction(expected)
+            return "correct" if abs(a - b) <= max(tolerance * max(abs(a), abs(b)), Fraction(tolerance)) else "wrong"
+        if codec in ("lzw", "huffman"):
+            codes = [int(x) for x in literal(found)]
+            return "correct" if codes == list(expected) else "wrong"
+        if codec == "rle":
+            decode = lambda pairs: "".join(str(c) * int(n) for c, n in pairs)
+            return "correct" if decode(literal(found)) == decode(expected) else "wrong"
+    except (ValueError, TypeError, ZeroDivisionError):
+        return "no answer"
+    return "correct" if deep_equal(found, expected, tolerance) else "wrong"
