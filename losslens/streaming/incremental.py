@@ -33,7 +33,7 @@ def verify_stream(spark: SparkSession, folder: str, schema: str, verify: Callabl
 
 def hourly_counts(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Tumbling hours of an event stream by type; later rows than ``late`` are dropped with their closed hour."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 class ModelClient:
