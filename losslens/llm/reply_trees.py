@@ -163,7 +163,12 @@ def conversations(nodes: DataFrame, best: int | None = 1) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read from the formatted text and its mask."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read from the stored text and its mask.
+
+    The output is written to the shared folder first: formatting and reading
+    then take turns, so a task has one Python worker and not two.
+    """
+    formatted = save(formatted, "reply-conversations")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
