@@ -236,3 +236,51 @@ def variant_verdicts(events):
     pred = F.when(F.col("event_id") % 5 == 0, F.concat(a, F.lit(";"), b.cast("string"))).when(F.col("event_id") % 7 == 0, F.concat(a, F.lit(", "), (b + 1).cast("string"))).otherwise(F.concat(a, F.lit(", "), b.cast("string")))
     status = F.when(~pred.rlike(r"^\s*\d+(\s*,\s*\d+)*\s*$"), "no answer").when(F.replace(pred, F.lit(" ")) == F.concat(a, F.lit(","), b.cast("string")), "correct").otherwise("wrong")
     return events.select("event_id", status.alias("status"))
+
+
+@query("X41 X44 X45 S16", """WITH c AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) WHEN 'assistant' THEN text || '<|im_end|>' || chr(10) ELSE '<|im_start|>system' || chr(10) || text || '<|im_end|>' || chr(10) END, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, sha256(t) AS text_sha256 FROM c""", "conversations")
+def rendered_chats(conversations):
+    from losslens.operators.templates import render
+
+    chat = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("chat"))
+    return chat.select("conv_id", F.sha2(render("chatml", F.col("chat")), 256).alias("text_sha256"))
+
+
+@query("S18 S19", """WITH c AS (SELECT conv_id, count(*) FILTER (role <> 'system') AS n FROM conversations GROUP BY conv_id) SELECT conv_id, n::BIGINT AS n, n::BIGINT AS turns FROM c""", "conversations")
+def transcripts(conversations):
+    """Conversations written as transcripts and parsed again."""
+    from losslens.operators.templates import transcript_turns
+
+    said = F.when(F.col("role") == "user", F.concat(F.lit("Human: "), "text")).when(F.col("role") == "assistant", F.concat(F.lit("Assistant: "), "text"))
+    c = conversations.groupBy("conv_id").agg(F.count_if(F.col("role") != "system").alias("n"), F.array_sort(F.collect_list(F.when(said.isNotNull(), F.struct("turn", said.alias("s"))))).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["s"]), "\n")
+    return c.select("conv_id", "n", F.size(transcript_turns(text)).cast("long").alias("turns"))
+
+
+@query("T10 X51", "SELECT item_id AS id, least(3, (SELECT count(*) FROM documents d WHERE d.doc_id % 5 = item_id % 5))::BIGINT AS n_shots FROM benchmark", "benchmark", "documents")
+def few_shot_prompts(benchmark, documents):
+    from losslens.operators.templates import few_shot
+
+    questions = benchmark.select(F.col("item_id").alias("id"), (F.col("item_id") % 5).alias("subject"))
+    train = documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("text"), (F.col("doc_id") % 5).alias("subject"))
+    return few_shot(questions, train, 3, "subject").select("id", F.size("shots").cast("long").alias("n_shots"))
+
+
+@query("X46 X50 A28", "SELECT vec_id, len(embedding)::BIGINT AS n, 80::BIGINT AS padded, len(list_filter(embedding, lambda x: x <= 0))::BIGINT AS ignored FROM embeddings", "embeddings")
+def padded_batches(embeddings):
+    from losslens.operators.templates import masked_labels, padded
+
+    ids = F.transform("embedding", lambda x: (x * 1000).cast("int"))
+    labels = masked_labels(ids, F.transform("embedding", lambda x: x > 0))
+    ignored = F.size("embedding") - F.size(F.filter("embedding", lambda x: x > 0))
+    return embeddings.select("vec_id", F.size(ids).cast("long").alias("n"), F.greatest(F.size(padded(labels, F.lit(80), -100)), F.lit(80)).cast("long").alias("padded"), ignored.cast("long").alias("ignored"))
+
+
+@query("D3 D4 F1", "SELECT item_id, true AS ok FROM benchmark", "benchmark")
+def codec_traces(benchmark):
+    """Traces of run-length encoding of each benchmark text end with the returned value."""
+    from losslens.functions import codecs, traces
+
+    trace = codecs.column(lambda t: traces.traced(codecs.rle_encode, t), "string")
+    return benchmark.select("item_id", F.element_at(F.split(trace("text"), "\n"), -1).startswith(traces.DONE).alias("ok"))
