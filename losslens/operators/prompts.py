@@ -12,8 +12,14 @@ TASK_CODE = {TASKS[0]: "encode", TASKS[1]: "decode", TASKS[2]: "decode", TASKS[3
 #: Our own template; the marks in << >> are filled in this order, so a later value may fill marks inside an earlier one.
 TEMPLATE = "Problem: <<<<query>>>>\nRules: <<<<io_req>>>>\nCode: <<<<refcode>>>>\nGiven: <<<<input>>>>\nAnswer as <<<<return_type>>>>"
 MARKS = ["query", "io_req", "refcode", "input", "return_type"]
-#: Codec names that a blinded text must not show.
-NAMES = r"(?i)\b(lzw|lempel[- ]ziv[- ]welch|arithmetic coding|run[- ]length encoding|rle|huffman)\b"
+# The pattern of codec names that a blinded text must not show, and what stands for them.
+NAMES = (
+    r"(?i)\b(?:RLE|Run[- ]?Length(?: Encoding| Compression)?|"
+    r"AE|Arithmetic(?: Encoding| Coding| Compression)?|"
+    r"LZW|Lempel[- ]?Ziv[- ]?Welch|"
+    r"Huffman(?: Coding| Encoding| Compression)?)"
+    r"(?:\s+(?:compression|encoding|coding|algorithm))?\b"
+)
 BLIND = "a custom algorithm"
 
 

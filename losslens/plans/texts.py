@@ -51,9 +51,9 @@ def task_prompts(benchmark):
     return rows.select(F.format_string("%d_0_%d", "item_id", "n_task").alias("id"), "io_pred", F.length(prompt).cast("long").alias("n"), F.sha2(prompt, 256).alias("prompt_sha256"))
 
 
-@query("P5", r"SELECT doc_id, sha256(regexp_replace('Huffman and LZW: ' || text, '(?i)\b(lzw|lempel[- ]ziv[- ]welch|arithmetic coding|run[- ]length encoding|rle|huffman)\b', 'a custom algorithm', 'g')) AS blind_sha256 FROM documents", "documents")
+@query("P5", "SELECT doc_id, sha256(regexp_replace('Huffman coding algorithm and LZW: ' || text, '" + P.NAMES + "', 'a custom algorithm', 'g')) AS blind_sha256 FROM documents", "documents")
 def blinded_texts(documents):
-    return documents.select("doc_id", F.sha2(P.blind(F.concat(F.lit("Huffman and LZW: "), "text")), 256).alias("blind_sha256"))
+    return documents.select("doc_id", F.sha2(P.blind(F.concat(F.lit("Huffman coding algorithm and LZW: "), "text")), 256).alias("blind_sha256"))
 
 
 @query("P8 P9 P16 S17 X41", """SELECT conv_id, count(*)::BIGINT AS n, sha256(string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn) || chr(10) || 'Assistant:') AS chat_sha256 FROM conversations GROUP BY conv_id""", "conversations")

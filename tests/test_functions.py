@@ -82,3 +82,11 @@ def test_knapsack_and_metrics():
     assert sft.rouge(words, words) == (1, 1, 1) and sft.bleu4(words, words) == pytest.approx(1)
     assert sft.rouge([], words) == (0, 0, 0) and sft.bleu4([], words) == 0 and sft.bleu4(["x"], words) == 0
     assert sft.smooth([]) == []
+
+
+def test_blinded_names(spark):
+    from losslens.operators.prompts import blind
+
+    said = "Huffman coding algorithm, run-length encoding and lzw; ARITHMETIC CODING, Lempel Ziv Welch; paella"
+    want = "a custom algorithm, a custom algorithm and a custom algorithm; a custom algorithm, a custom algorithm; paella"
+    assert spark.range(1).select(blind(F.lit(said)).alias("x")).first().x == want
