@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from losslens.sources.saved import ranged, saved
+
 
 def knapsack(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of lengths: each takes the largest that still fits, until none is left; a length over the capacity raises."""
@@ -56,15 +58,33 @@ def smooth(values: list[float]) -> list[float]:
 
 
 def smoothed(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, order, value, smoothed) of each series."""
+    """(key, order, value, smoothed) of each series; null values are left out.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(smoothed=smooth(pdf[value].tolist()))
+    Series are cut where the ranges of the sorted rows end, so a hot series is
+    many pieces.  A piece is smoothed from 0; what the pieces before it leave
+    over (one number of each piece) is then added, faded by the weight.
+    """
+    cut = ranged(rows.select(key, order, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()), key, order)
+    sizes = cut.groupBy(key).agg(F.count("*").alias("_n"))
+    weighed = cut.join(sizes, F.col(key).eqNullSafe(sizes[key])).drop(sizes[key]).withColumn("_w", 1.8 * (1 / (1 + F.exp(-0.05 * F.col("_n"))) - 0.5)).drop("_n")
 
-    picked = rows.select(key, order, F.col(value).cast("double").alias(value))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema)
-    return picked.groupBy(key).applyInPandas(run, f"{kinds}, smoothed double")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_within", kind="stable")
+        w, last, out = pdf["_w"].iloc[0], 0.0, []
+        for x in pdf[value]:
+            last = last * w + (1 - w) * x
+            out.append(last)
+        return pdf.assign(_local=out, _place=range(1, len(out) + 1))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in weighed.schema)
+    local = saved(weighed.groupBy("_range", key).applyInPandas(run, f"{kinds}, _local double, _place long"), "smoothed")
+    ends = local.groupBy(key, "_range").agg(F.max_by("_local", "_place").alias("end"), F.max("_place").alias("n"), F.min_by(value, "_place").alias("first"), F.first("_w").alias("w"))
+    pieces = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_range", "end", "n", "first", "w"))).alias("p"))
+    start = F.array(F.col("p")[0]["first"])
+    carries = F.aggregate("p", start, lambda have, p: F.concat(have, F.array(p["end"] + F.pow(p["w"], p["n"]) * F.element_at(have, -1))))
+    carried = pieces.select(F.col(key).alias("_key"), F.explode(F.arrays_zip(F.col("p._range").alias("r"), F.slice(carries, 1, F.size("p")).alias("c"))).alias("z")).select("_key", F.col("z.r").alias("_r"), F.col("z.c").alias("_carry"))
+    joined = local.join(carried, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_key")))
+    return joined.select(key, order, value, (F.col("_local") + F.pow("_w", "_place") * F.col("_carry")).alias("smoothed"))
 
 
 def rouge(prediction: list[str], reference: list[str]) -> tuple[float, float, float]:

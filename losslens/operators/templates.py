@@ -78,12 +78,23 @@ def transcript_turns(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.when(p.startswith("Human:"), "user").otherwise("assistant").alias("role"), F.trim(F.regexp_replace(p, "^(Human|Assistant):", "")).alias("content")))
 
 
-def few_shot(questions: DataFrame, train: DataFrame, n: int, subject: str, seed: int = 42) -> DataFrame:
-    """Each question with n training rows of its subject, drawn by a hash of both ids: the same on every run."""
-    t = train.select(F.col(subject), F.col("id").alias("shot_id"), F.col("text").alias("shot"))
-    order = Window.partitionBy("id").orderBy(F.xxhash64("id", "shot_id", F.lit(seed)), "shot_id")
-    pairs = questions.join(F.broadcast(t) if train.limit(100_001).count() <= 100_000 else t, subject).withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
-    return pairs.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "shot"))), lambda x: x["shot"]).alias("shots"))
+def few_shot(questions: DataFrame, train: DataFrame, n: int, subject: str, seed: int = 42, pool: int = 64) -> DataFrame:
+    """Each question with n training rows of its subject, the same on every run; a question without a subject gets none.
+
+    A subject's pool is its first ``pool`` rows (n at least) by a seeded hash:
+    drawing shots is the operator's purpose, and the group limit keeps a hot
+    subject at ``pool`` rows a task.  A question takes n rows that follow each
+    other in the pool, from a place that its id gives, so rows out are
+    questions times n.
+    """
+    first = Window.partitionBy(subject).orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    ranked = train.select(subject, "id", "text").withColumn("n", F.row_number().over(first)).where(F.col("n") <= max(n, pool))
+    pools = ranked.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("pool"))
+    size = F.size("pool")
+    start = F.pmod(F.xxhash64("id", F.lit(seed)), size.cast("long"))
+    shots = F.transform(F.sequence(F.lit(0), F.least(F.lit(n), size) - 1), lambda i: F.col("pool")[((start + i) % size).cast("int")]["text"])
+    none = F.array().cast("array<string>")
+    return questions.join(pools, subject, "left").select("id", F.when(F.col("pool").isNull(), none).otherwise(shots).alias("shots"))
 
 
 def padded(ids: Column, most: Column, pad: int) -> Column:

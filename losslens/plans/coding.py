@@ -13,7 +13,7 @@ from losslens.sources import generators
 
 @query("C1 C2 C20 D1", None, "documents")
 def lzw_round_trips(documents):
-    """Codes of each whole text, and whether decoding gives it back; null for texts beyond 256 characters."""
+    """Codes of each whole text, and whether decoding gives it back; null where a character lies outside the 256 of the seed."""
     trip = codecs.column(codecs.lzw_round_trip, "struct<n_codes long, ok boolean>")
     return documents.select("doc_id", trip("text").alias("r")).select("doc_id", "r.*")
 
@@ -54,21 +54,20 @@ def study_codecs(benchmark):
     return benchmark.select("item_id", lzw("text").alias("codes"), bits("text").alias("bits"))
 
 
-@query("X2 X3 X4 X5 X7 X8 X9 X12 X16 X18 D5", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'correct' WHEN doc_id % 4 = 1 THEN 'wrong' WHEN doc_id % 4 = 2 THEN 'no answer' ELSE 'correct' END AS status FROM documents""", "documents")
-def verdicts(documents):
-    """Answers written four ways into model text, extracted, repaired and judged against the run-length pairs of a word."""
-    word = F.substring("text", 1, 12)
+@query("X2 X3 X4 X5 X7 X8 X9 X12 X16 X18 D5", """SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'correct' WHEN item_id % 4 = 1 THEN 'wrong' WHEN item_id % 4 = 2 THEN 'no answer' ELSE 'correct' END AS status FROM benchmark""", "benchmark")
+def verdicts(benchmark):
+    """Answers written four ways into model text, extracted, repaired and judged against the run-length pairs of the whole text."""
 
     @F.pandas_udf("string")
-    def judge(doc_id: pd.Series, word: pd.Series) -> pd.Series:
-        def one(i: int, w: str) -> str:
-            pairs = codecs.rle_encode(w)
+    def judge(item_id: pd.Series, text: pd.Series) -> pd.Series:
+        def one(i: int, t: str) -> str:
+            pairs = codecs.rle_encode(t)
             said = [f"so [ANSWER]{{{{'output': {[list(p) for p in pairs]!r},}}}}[/ANSWER]", f"```json\n{{\"output\": [[\"{'q' * 3}\", 2]]}}\n```", "I can't tell.", f"draft {{\"output\": 1}} then {{\"output\": {answers.json.dumps(pairs)}}} done"][i % 4]
             return answers.verdict(said, pairs, "rle")
 
-        return pd.Series([one(i, w) for i, w in zip(doc_id, word)])
+        return pd.Series([one(i, t) for i, t in zip(item_id, text)])
 
-    return documents.select("doc_id", judge("doc_id", word).alias("status"))
+    return benchmark.select("item_id", judge("item_id", "text").alias("status"))
 
 
 @query("T9 X47", None, "documents")

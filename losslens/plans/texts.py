@@ -9,6 +9,7 @@ from losslens.functions import text as X
 from losslens.operators import prompts as P
 from losslens.operators.evaluate import TASKS
 from losslens.plans.registry import query
+from losslens.sources.saved import numbered
 
 
 @query("C9 C11 W5", """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
@@ -193,12 +194,11 @@ def stable_split(documents):
 @query("U2", """WITH a AS (SELECT doc_id AS id, 0 AS src, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE lang = 'en'), b AS (SELECT item_id AS id, 1 AS src, row_number() OVER (ORDER BY item_id) AS rn FROM benchmark),
 m AS (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS n), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT id, src, ((rn - 1) * 2 + src)::BIGINT AS place FROM u, m WHERE rn <= n""", "documents", "benchmark")
 def interleaved_sources(documents, benchmark):
-    """Round robin until the shorter source ends; only ids pass through the ordering window."""
-    one = documents.where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    two = benchmark.select(F.col("item_id").alias("id"))
-    least = F.least(*[F.lit(x) for x in (one.count(), two.count())])
-    parts = [d.orderBy("id").limit(min(one.count(), two.count())).withColumn("src", F.lit(i)).withColumn("rn", F.row_number().over(Window.orderBy("id"))) for i, d in enumerate((one, two))]
-    return parts[0].unionByName(parts[1]).where(F.col("rn") <= least).select("id", "src", ((F.col("rn") - 1) * 2 + F.col("src")).cast("long").alias("place"))
+    """Round robin until the shorter source ends; ids are numbered range by range."""
+    parts = [numbered(documents.where("lang = 'en'").select(F.col("doc_id").alias("id")), "id", name="rn"), numbered(benchmark.select(F.col("item_id").alias("id")), "id", name="rn")]
+    least = min(p.count() for p in parts)
+    rows = parts[0].withColumn("src", F.lit(0)).unionByName(parts[1].withColumn("src", F.lit(1)))
+    return rows.where(F.col("rn") < least).select("id", "src", (F.col("rn") * 2 + F.col("src")).cast("long").alias("place"))
 
 
 @query("U3 G8 G9", "SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents GROUP BY text", "documents")
@@ -263,7 +263,7 @@ def few_shot_prompts(benchmark, documents):
     from losslens.operators.templates import few_shot
 
     questions = benchmark.select(F.col("item_id").alias("id"), (F.col("item_id") % 5).alias("subject"))
-    train = documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("text"), (F.col("doc_id") % 5).alias("subject"))
+    train = documents.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 5).alias("subject"))
     return few_shot(questions, train, 3, "subject").select("id", F.size("shots").cast("long").alias("n_shots"))
 
 

@@ -64,3 +64,28 @@ def test_library_works_without_the_llm_package(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op1_') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_numbers_follow_the_order(spark):
+    from losslens.sources.saved import numbered
+
+    rows = spark.range(500).selectExpr("(id * 7919) % 500 AS k", "1 AS other").repartition(7)
+    got = {r.k: r.n for r in numbered(rows, "k").collect()}
+    assert got == {k: k for k in range(500)}
+    assert numbered(rows.limit(0), "k").count() == 0
+
+
+def test_a_hot_series_is_smoothed_in_pieces(spark):
+    import pytest
+
+    from losslens.operators.sft import smooth, smoothed
+
+    data = [(1, i, float(i * i % 97)) for i in range(400)] + [(2, 0, 5.0), (2, 1, None), (None, 3, 1.0), (None, 4, 9.0)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted((r.s, r.smoothed) for r in smoothed(spark.createDataFrame(data, "k int, s int, v double").repartition(5), "k", "s", "v").where("k = 1").collect())
+        others = smoothed(spark.createDataFrame(data, "k int, s int, v double"), "k", "s", "v").where("k IS NULL OR k = 2").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [x for _, x in got] == pytest.approx(smooth([v for k, _, v in data if k == 1]))
+    assert sorted(r.smoothed for r in others if r.k is None) == pytest.approx(sorted(smooth([1.0, 9.0]))) and [r.smoothed for r in others if r.k == 2] == [5.0]
