@@ -65,8 +65,8 @@ def smoothed(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     over (one number of each piece) is then added, faded by the weight.
     """
     cut = ranged(rows.select(key, order, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()), key, order)
-    sizes = cut.groupBy(key).agg(F.count("*").alias("_n"))
-    weighed = cut.join(sizes, F.col(key).eqNullSafe(sizes[key])).drop(sizes[key]).withColumn("_w", 1.8 * (1 / (1 + F.exp(-0.05 * F.col("_n"))) - 0.5)).drop("_n")
+    sizes = cut.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    weighed = cut.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("_w", 1.8 * (1 / (1 + F.exp(-0.05 * F.col("_n"))) - 0.5)).drop("_n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_within", kind="stable")
