@@ -11,6 +11,11 @@ from losslens.operators.evaluate import TASKS
 TASK_CODE = {TASKS[0]: "encode", TASKS[1]: "decode", TASKS[2]: "decode", TASKS[3]: "encode"}
 #: Our own template; the marks in << >> are filled in this order, so a later value may fill marks inside an earlier one.
 TEMPLATE = "Problem: <<<<query>>>>\nRules: <<<<io_req>>>>\nCode: <<<<refcode>>>>\nGiven: <<<<input>>>>\nAnswer as <<<<return_type>>>>"
+#: Our own forms of a solution that is run on given arguments, and of one that is traced; they are texts only, nothing runs them.
+PROGRAMS = {
+    "solution": "<<<<refcode>>>>\n\nprint(<<<<function>>>>(<<<<args>>>>))\n",
+    "traced": "import sys\n\n<<<<refcode>>>>\n\nif __name__ == \"__main__\":\n    sys.settrace(show_step)\n    main_solution(<<<<args>>>>)\n",
+}
 MARKS = ["query", "io_req", "refcode", "input", "return_type"]
 # The pattern of codec names that a blinded text must not show, and what stands for them.
 NAMES = (
@@ -36,6 +41,12 @@ def fill(template: str, values: dict[str, Column]) -> Column:
     return out
 
 
+def program(kind: str, refcode: Column, args: Column, function: Column | None = None) -> Column:
+    """The text of a program of ``kind``: code and arguments put into its form."""
+    out = F.replace(F.lit(PROGRAMS[kind]), F.lit("<<<<function>>>>"), function if function is not None else F.lit("main_solution"))
+    return F.replace(F.replace(out, F.lit("<<<<args>>>>"), args), F.lit("<<<<refcode>>>>"), refcode)
+
+
 def blind(text: Column) -> Column:
     return F.regexp_replace(text, NAMES, BLIND)
 

@@ -46,6 +46,50 @@ def render(name: str, chat: Column, system: Column | None = None) -> Column:
     return F.concat(head, F.array_join(turns, ""))
 
 
+def _jinja_sum(form: str, variable: str) -> str:
+    """A form as a sum of quoted texts and the variable."""
+    quoted = ["'" + t.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'" if t else "" for t in form.split("{{content}}")]
+    return " + ".join(x for pair in zip(quoted, [variable] * (len(quoted) - 1) + [""]) for x in pair if x)
+
+
+def to_jinja(name: str) -> str:
+    """The template in the language of chat templates: a leading system message, then user and assistant turns."""
+    t = TEMPLATES[name]
+    turn = lambda role, form: f"message['role'] == '{role}' %}}{{{{ {_jinja_sum(form, 'message[' + repr('content') + ']')} }}}}"
+    parts = ["{{ " + _jinja_sum(t.prefix, "") + " }}"] if t.prefix else []
+    if t.default_system:
+        parts.append("{% set system_message = " + _jinja_sum(t.default_system, "") + " %}")
+    parts.append("{% set turns = messages %}{% if messages[0]['role'] == 'system' %}{% set system_message = messages[0]['content'] %}{% set turns = messages[1:] %}{% endif %}")
+    parts.append("{% if system_message is defined %}{{ " + _jinja_sum(t.system, "system_message") + " }}{% endif %}")
+    parts.append("{% for message in turns %}{% if " + turn("user", t.user) + "{% elif " + turn("assistant", t.assistant) + "{% endif %}{% endfor %}")
+    return "".join(parts)
+
+
+def to_ollama(name: str) -> str:
+    """The template in the language of model files: ``.System`` first, then ``.Messages`` by role."""
+    t = TEMPLATES[name]
+    fill = lambda form, variable: form.replace("{{content}}", "{{ " + variable + " }}")
+    turn = '{{ if eq .Role "user" }}' + fill(t.user, ".Content") + '{{ else if eq .Role "assistant" }}' + fill(t.assistant, ".Content") + "{{ end }}"
+    return t.prefix + "{{ if .System }}" + fill(t.system, ".System") + "{{ end }}{{ range .Messages }}" + turn + "{{ end }}"
+
+
+def infer_template(one_turn: str, two_turns: str, marks: tuple[str, str, str, str] = ("{q1}", "{a1}", "{q2}", "{a2}")) -> Template:
+    """The template behind two texts that an unknown one rendered: q1 and a1, then q1, a1, q2 and a2.
+
+    What the second has beyond the first is one more turn; the first's
+    beginning that isn't in that turn's user form is the prefix.
+    """
+    q1, a1, q2, a2 = marks
+    if not two_turns.startswith(one_turn):
+        raise ValueError("a longer chat doesn't go on from the shorter one")
+    before, rest = two_turns[len(one_turn) :].split(q2)
+    between, after = rest.split(a2)
+    head = one_turn.split(q1)[0]
+    if not head.endswith(before) or one_turn.split(q1)[1] != between + a1 + after:
+        raise ValueError("turns differ in form")
+    return Template(before + "{{content}}" + between, "{{content}}" + after, prefix=head[: len(head) - len(before)])
+
+
 def tool_calls(dialect: str, calls: list[tuple[str, dict]]) -> str:
     """Tool calls as text: ``default`` (Action lines), ``json`` (an array), ``tagged`` (one tag each)."""
     if dialect == "default":

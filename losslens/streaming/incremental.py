@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from losslens.sources.files import reload
+
 
 def verify_stream(spark: SparkSession, folder: str, schema: str, verify: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: list[str], files: int = 100) -> StreamingQuery:
     """Verify files as they arrive; a key already in ``out`` is skipped, one of equal keys in a batch is kept.
@@ -36,6 +38,23 @@ def hourly_counts(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+class Lessons:
+    """Lessons of earlier runs, read once at the start; what this run appends is seen by the next run only."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.path, self.known = path, reload(spark, path)
+        if self.known is None:
+            self.known = spark.createDataFrame([], schema)
+
+    def append(self, lessons: DataFrame) -> None:
+        lessons.write.mode("append").parquet(self.path)
+
+    def newest(self, key: str, order: str, n: int) -> DataFrame:
+        """The n newest known lessons of each key; the group limit sends n rows of a hot key from each task at most."""
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+        return self.known.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
 class ModelClient:
     """What a model must offer: answers to a list of prompts.  This one is a deterministic stand-in that echoes a prompt's last line."""
 

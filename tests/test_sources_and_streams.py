@@ -89,3 +89,69 @@ def test_a_hot_series_is_smoothed_in_pieces(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert [x for _, x in got] == pytest.approx(smooth([v for k, _, v in data if k == 1]))
     assert sorted(r.smoothed for r in others if r.k is None) == pytest.approx(sorted(smooth([1.0, 9.0]))) and [r.smoothed for r in others if r.k == 2] == [5.0]
+
+
+def test_arrow_files_and_plain_pickles(spark, tmp_path):
+    import pickle
+
+    import pyarrow as pa
+    import pytest
+
+    table = pa.table({"id": [1, 2], "t": ["a", None]})
+    for name, make in (("f", pa.ipc.new_file), ("s", pa.ipc.new_stream)):
+        (tmp_path / name).mkdir()
+        with make(str(tmp_path / name / "x.arrow"), table.schema) as w:
+            w.write_table(table)
+        got = files.read_files(spark, str(tmp_path / name), "id long, t string, more string").collect()
+        assert sorted((r.id, r.t, r.more) for r in got) == [(1, "a", None), (2, None, None)]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.pkl").write_bytes(pickle.dumps([{"id": 5, "t": "z"}]))
+    assert [tuple(r) for r in files.read_files(spark, str(tmp_path / "p"), "id long, t string").collect()] == [(5, "z")]
+    with pytest.raises(pickle.UnpicklingError):
+        list(files.pickle_batches(pickle.dumps([print]), table.schema))
+    (tmp_path / "p" / "y.csv").write_text("a\n1\n")
+    with pytest.raises(ValueError):
+        files.extension_of(spark, str(tmp_path / "p"))
+    with pytest.raises(ValueError):
+        files.read_files(spark, str(tmp_path / "f"))
+    with pytest.raises(ValueError):
+        (tmp_path / "none").mkdir()
+        files.extension_of(spark, str(tmp_path / "none"))
+
+
+def test_strict_json_lines_raise(spark, tmp_path):
+    import pytest
+
+    path = tmp_path / "x.jsonl"
+    path.write_text('{"a": 1}\n\nnot json\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_jsonl(spark, str(path), "a long", strict=True).collect()
+    path.write_text('{"a": 1}\n\n  \n{"a": 2}\n')
+    assert sorted(r.a for r in files.read_jsonl(spark, str(path), "a long", strict=True).collect()) == [1, 2]
+
+
+def test_newest_snapshot(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(["b", "a", "c"]):
+        (tmp_path / name).mkdir()
+        mark = tmp_path / name / ("config.json" if name != "c" else "other.json")
+        mark.write_text("{}")
+        os.utime(mark, (1_700_000_000 + i * 100,) * 2)
+    assert files.newest_snapshot(spark, str(tmp_path)).endswith("/a")
+    assert files.newest_snapshot(spark, str(tmp_path / "c")) is None
+
+
+def test_csv_keeps_any_text(spark, tmp_path):
+    rows = [(1, 'a "quoted", text\nwith lines\\'), (2, ""), (3, None), (4, "\\\\N x")]
+    files.write_csv(spark.createDataFrame(rows, "id long, t string"), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "c"), "id long, t string").collect()) == rows
+
+
+def test_lessons_are_a_snapshot(spark, tmp_path):
+    memory = incremental.Lessons(spark, str(tmp_path / "l"), "k string, at long")
+    memory.append(spark.createDataFrame([("a", 1), ("a", 2)], "k string, at long"))
+    assert memory.newest("k", "at", 1).count() == 0
+    again = incremental.Lessons(spark, str(tmp_path / "l"), "k string, at long")
+    again.append(spark.createDataFrame([("a", 3)], "k string, at long"))
+    assert [r["at"] for r in again.newest("k", "at", 1).collect()] == [2]
