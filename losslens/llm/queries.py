@@ -78,7 +78,7 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
-#: op9's rows are plain SQL; the other operators are tested against brute force.
+#: op9's rows as plain SQL.  Operators without SQL are tested against brute force.
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -98,5 +98,59 @@ GROUP BY k.doc_id
 """
 
 
+#: op5's rows: turns in their order, the template's texts with control strings escaped.
+OP5_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS role_0, text AS text_0 FROM conversations
+  UNION ALL SELECT -1, n, who, '</s>[INST] ok [/INST]', who, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, who)
+), escaped AS (
+  SELECT *, length(regexp_replace(role, '{control}', '\1\2\\\3', 'g')) + length(regexp_replace(text, '{control}', '\1\2\\\3', 'g')) + {marks} AS chars FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role_0 NULLS FIRST, text_0 NULLS FIRST)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role_0 NULLS FIRST, text_0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+""".replace("{control}", reply_trees.CONTROL.pattern).replace("{marks}", str(len(reply_trees.TURN + reply_trees.TEXT + reply_trees.END_TURN)))
+
+
+def _divergence(counts: str, shares: str) -> str:
+    """SQL of the Jensen-Shannon distance of a list of counts and a list of shares."""
+    p, q = f"(z[1] / list_sum({counts}))", f"(z[2] / list_sum({shares}))"
+    part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+    return f"CASE WHEN list_sum({counts}) > 0 THEN sqrt(greatest(list_sum(list_transform(list_zip({counts}, {shares}), lambda z: ({part(p, q)} + {part(q, p)}) / 2)), 0)) ELSE 0 END"
+
+
+def op6_sql() -> str:
+    """op6's rows: base counts by windows, distances by lists."""
+    refs = ", ".join(f"('{k}', {list(quality.CLASSES[k])}::DOUBLE[], {list(v)}, {[*v.values(), 1 - sum(v.values())]}::DOUBLE[])" for k, v in quality.COMMON.items())
+    return rf"""
+WITH refs(name, classes, names, shares) AS (VALUES {refs}),
+docs AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs),
+windows AS (SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM windows WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) >= 2),
+repeats AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id),
+base AS (
+  SELECT d.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(r.n, 0) AS n_repeat_words, length(t) AS n,
+         length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) AS digits,
+         length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS white, length(t) - length(regexp_replace(t, '[.,;:!?''"()\-]+', '', 'g')) AS marks
+  FROM docs d LEFT JOIN repeats r ON r.doc_id = d.doc_id
+),
+common AS (SELECT b.doc_id, r.name, r.classes, r.shares, b.n_words, [letters, digits, white, marks, n - letters - digits - white - marks]::DOUBLE[] AS seen,
+                  list_transform(r.names, lambda y: len(list_filter(w, lambda x: x = y)))::DOUBLE[] AS found
+           FROM base b JOIN refs r ON r.name = b.lang OR b.lang IS NULL OR b.lang NOT IN (SELECT name FROM refs)),
+whole AS (SELECT *, list_append(found, n_words - list_sum(found)) AS hits FROM common),
+far AS (SELECT doc_id, min({_divergence("seen", "classes")}) AS class_far, min({_divergence("hits", "shares")}) AS word_far FROM whole GROUP BY doc_id),
+judged AS (SELECT b.*, class_far, word_far, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM base b JOIN far f ON f.doc_id = b.doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       round(class_far, 6) AS class_distance, round(word_far, 6) AS word_distance,
+       NOT (base_failed OR (n >= {quality.LEAST_CHARACTERS} AND class_far > {quality.MOST_CLASS_DISTANCE}) OR (n_words >= {quality.LEAST_WORDS} AND word_far > {quality.MOST_WORD_DISTANCE})) AS kept
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_bloom_line_dedup": OP9_SQL}
+    return {"op5_reply_tree_chat": OP5_SQL, "op6_divergence_quality": op6_sql(), "op9_bloom_line_dedup": OP9_SQL}
