@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from losslens.operators.evaluate import TASKS
 
@@ -13,10 +15,19 @@ from losslens.operators.evaluate import TASKS
 FLAT = "%-12s %-{w}s %9s %10s"
 
 
+def one_digit(score: Column) -> Column:
+    """Rounded as the exact binary value says, ties to even; the JVM's format rounds what the shortest decimal says, ties up."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if pd.isna(v) else f"{v:.1f}")
+
+    return F.pandas_udf(run, StringType())(score)
+
+
 def flat_lines(scores: DataFrame, k: int, width: int) -> DataFrame:
     """``line`` and its sorting columns ``algo`` and ``task``: one line a score, the algo shown on all but OVERALL lines."""
     shown = F.when(F.col("task") == "OVERALL", "").otherwise(F.col("algo"))
-    line = F.format_string(FLAT.format(w=width), shown, F.col("task"), F.format_string("%.1f", "score"), F.col("n").cast("string"))
+    line = F.format_string(FLAT.format(w=width), shown, F.col("task"), one_digit(F.col("score")), F.col("n").cast("string"))
     return scores.select("algo", "task", line.alias("line"))
 
 
