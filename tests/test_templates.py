@@ -5,10 +5,10 @@ from losslens.functions import codecs, traces
 from losslens.operators import templates as T
 
 
-@pytest.mark.parametrize("dialect", ["default", "json", "tagged"])
+@pytest.mark.parametrize("dialect", ["default", "json", "tagged", "list", "parameters", "named"])
 def test_tool_calls_come_back(dialect):
     for calls in ([("test_tool", {"foo": "bar", "size": 10})], [("a", {}), ("b", {"x": "ü"})]):
-        assert T.read_tool_calls(dialect, T.tool_calls(dialect, calls)) == calls
+        assert T.read_tool_calls(dialect, T.tool_calls(dialect, calls)) == (calls[:1] if dialect == "named" else calls)
     assert T.read_tool_calls(dialect, "just text") == "just text"
 
 
@@ -36,3 +36,15 @@ def test_traces():
     said = traces.traced(codecs.rle_encode, "aab").splitlines()
     assert said[-1] == f"{traces.DONE} [('a', 2), ('b', 1)]" and len(said) > 5
     assert traces.traced(codecs.lzw_encode, "Ā").startswith("ERROR: KeyError")
+
+
+def test_system_texts_and_marks(spark):
+    turns = [("user", "q"), ("assistant", "a"), ("observation", "o"), ("function", "f"), ("user", "r")]
+    rows = spark.createDataFrame([(turns, "s"), (turns, ""), (turns, None)], "c array<struct<role string, content string>>, s string")
+    said = lambda name: [r.x for r in rows.select(T.render(name, F.col("c"), F.col("s"), "<s>", "</s>").alias("x")).collect()]
+    rest = ' a</s>[TOOL_RESULTS] {"content": o}[/TOOL_RESULTS][TOOL_CALLS] f</s>[INST] r[/INST]'
+    assert said("mistral") == ["<s>[INST] s\n\nq[/INST]" + rest, "<s>[INST] q[/INST]" + rest, "<s>[INST] q[/INST]" + rest]
+    assert said("llama2")[0].startswith("<s>[INST] <<SYS>>\ns\n<</SYS>>\n\nq [/INST]a</s>")
+    zephyr = said("zephyr")
+    assert zephyr[0].startswith("<|system|>\ns</s><|user|>\nq</s><|assistant|>\na</s>") and zephyr[1] == zephyr[2] and zephyr[1].startswith("<|system|>\nYou are Zephyr")
+    assert "{{" not in "".join(x for name in T.TEMPLATES for x in said(name))
