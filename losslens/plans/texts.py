@@ -96,8 +96,7 @@ def lenient_json(events):
 a AS (SELECT doc_id, trim(regexp_extract_all(t, '(?is)\[ANSWER\](.*?)\[/ANSWER\]', 1)[-1]) AS answer FROM g)
 SELECT doc_id, replace(replace(answer, '{{', '{'), '}}', '}') AS answer, (replace(replace(answer, '{{', '{'), '}}', '}')->>'output')::BIGINT AS output FROM a""", "documents")
 def extracted_answers(documents):
-    head = F.substring("text", 1, 200)
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('first [ANSWER]{{"output": 0}}[/ANSWER] then '), head, F.lit(' [answer] {{"output": '), F.col("doc_id").cast("string"), F.lit("}} [/answer]"))).otherwise(head)
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('first [ANSWER]{{"output": 0}}[/ANSWER] then '), F.col("text"), F.lit(' [answer] {{"output": '), F.col("doc_id").cast("string"), F.lit("}} [/answer]"))).otherwise(F.col("text"))
     answer = X.collapse_braces(X.last_answer(text))
     return documents.select("doc_id", answer.alias("answer"), F.get_json_object(answer, "$.output").cast("long").alias("output"))
 
