@@ -30,6 +30,8 @@ COMMON = {
 #: A rule rejects above its distance, from so many characters or words on.
 MOST_CLASS_DISTANCE, LEAST_CHARACTERS = 0.17, 200
 MOST_WORD_DISTANCE, LEAST_WORDS = 0.55, 150
+#: A text without any common word is only 0.367 (de) to 0.385 (es) away, so the word rule rejects from below that; op6's SQL still has MOST_WORD_DISTANCE.
+WORD_LIMIT = 0.30
 
 
 def fenced(x: Column) -> Column:
@@ -116,7 +118,7 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     class_far = by_language(lang, {k: distance(F.col("__c.classes"), v) for k, v in CLASSES.items()})
     word_far = by_language(lang, {k: distance(F.transform(F.concat(F.get("__c.common", F.lit(i)), F.array(F.col("__n_words").cast("double") - F.aggregate(F.get("__c.common", F.lit(i)), F.lit(0.0), lambda a, x: a + x))), lambda x: x), (*v.values(), 1 - sum(v.values()))) for i, (k, v) in enumerate(COMMON.items())})
     judged = base.select(*keep, *[F.col(c) for c in base.columns if c.startswith("__n_") or c == "__word_chars"], fenced(failed).alias("__failed"), F.col("__c.n").alias("__n"), fenced(class_far).alias("__class"), fenced(word_far).alias("__word"))
-    far = ((F.col("__n") >= LEAST_CHARACTERS) & (F.col("__class") > MOST_CLASS_DISTANCE)) | ((F.col("__n_words") >= LEAST_WORDS) & (F.col("__word") > MOST_WORD_DISTANCE))
+    far = ((F.col("__n") >= LEAST_CHARACTERS) & (F.col("__class") > MOST_CLASS_DISTANCE)) | ((F.col("__n_words") >= LEAST_WORDS) & (F.col("__word") > WORD_LIMIT))
     return judged.select(
         *keep,
         F.struct(
