@@ -6,9 +6,11 @@ import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from losslens.sources.saved import numbered, saved
+
 
 @dataclass(frozen=True)
 class Template:
@@ -177,23 +179,28 @@ def transcript_turns(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.when(p.startswith("Human:"), "user").otherwise("assistant").alias("role"), F.trim(F.regexp_replace(p, "^(Human|Assistant):", "")).alias("content")))
 
 
-def few_shot(questions: DataFrame, train: DataFrame, n: int, subject: str, seed: int = 42, pool: int = 64) -> DataFrame:
+def few_shot(questions: DataFrame, train: DataFrame, n: int, subject: str, seed: int = 42) -> DataFrame:
     """Each question with n training rows of its subject, the same on every run; a question without a subject gets none.
 
-    A subject's pool is its first ``pool`` rows (n at least) by a seeded hash:
-    drawing shots is the operator's purpose, and the group limit keeps a hot
-    subject at ``pool`` rows a task.  A question takes n rows that follow each
-    other in the pool, from a place that its id gives, so rows out are
-    questions times n.
+    Rows are numbered by subject, and a question draws n different places over
+    its subject's whole count by a seeded hash (Floyd's sampling), so any row can
+    be drawn whatever the size; rows out are questions times n.  Texts are
+    fetched for the drawn rows only.
     """
-    first = Window.partitionBy(subject).orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    ranked = train.select(subject, "id", "text").withColumn("n", F.row_number().over(first)).where(F.col("n") <= max(n, pool))
-    pools = ranked.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("pool"))
-    size = F.size("pool")
-    start = F.pmod(F.xxhash64("id", F.lit(seed)), size.cast("long"))
-    shots = F.transform(F.sequence(F.lit(0), F.least(F.lit(n), size) - 1), lambda i: F.col("pool")[((start + i) % size).cast("int")]["text"])
+    keyed = train.select(subject, "id", F.xxhash64("text").alias("key"))
+    placed = numbered(keyed, subject, "id", "key", name="place")
+    sizes = placed.groupBy(subject).agg(F.min("place").alias("first"), F.count("*").alias("size"))
+    asked = saved(questions.select("id", subject).withColumn("asked", F.monotonically_increasing_id()), "asked")
+    rows = F.least(F.lit(n).cast("long"), F.col("size"))
+    draw = lambda i: F.pmod(F.xxhash64("id", F.lit(seed), i), F.col("size") - rows + i + 1)
+    pick = lambda got, i: F.concat(got, F.array(F.when(F.array_contains(got, draw(i)), F.col("size") - rows + i).otherwise(draw(i))))
+    places = F.aggregate(F.sequence(F.lit(0).cast("long"), rows - 1), F.array().cast("array<long>"), pick)
+    drawn = asked.join(sizes, subject).select("asked", F.col("first"), F.posexplode(places).alias("i", "at")).select("asked", "i", (F.col("first") + F.col("at")).alias("place"))
+    wanted = saved(drawn.join(placed, "place").select("asked", "i", "id", "key"), "wanted")
+    texts = train.select("id", "text", F.xxhash64("text").alias("key")).join(wanted, ["id", "key"]).groupBy("asked", "i").agg(F.min("text").alias("text"))
+    found = texts.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("got"))
     none = F.array().cast("array<string>")
-    return questions.join(pools, subject, "left").select("id", F.when(F.col("pool").isNull(), none).otherwise(shots).alias("shots"))
+    return asked.join(found, "asked", "left").select("id", F.coalesce(F.transform("got", lambda x: x["text"]), none).alias("shots"))
 
 
 def padded(ids: Column, most: Column, pad: int) -> Column:
