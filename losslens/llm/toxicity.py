@@ -4,18 +4,20 @@ The kernel counts common subsequences of four characters of two strings, gaps
 allowed, each occurrence weighted by DECAY to the power of its span.  It is the
 inner product of explicit weights for these subsequences, so the machine, linear
 in the kernel values with the landmarks, folds into one table with a weight for
-each, and a string is scored by looking its subsequences up.  Strings are the words of a sentence (and
-letters written apart, put together); a text scores as its worst string.
-
-Training: labelled texts give positive and negative bags of strings.  Strings
-and beginnings of strings that cover the positive bags and are rare in negative
-ones mark the positive examples (with inserted and doubled characters added);
-those of negative bags are the negative ones, the hardest found in rounds.
+each, and a string is scored by looking its subsequences up.  Strings are the
+words of a sentence (and letters written apart, put together); a text scores as
+its worst string.
+
+The machine is trained on labelled texts, each an example: the largest margin
+among the strings of its sentences is asked to be positive for a toxic text and
+negative for a clean one.  Landmarks are strings of these texts, half of them
+spread over the toxic side, half the commonest of the clean side.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from losslens.llm.common import bytes_of, remainder, save, slices
+from losslens.llm.common import bytes_of, drop_saved, remainder, save, slices
 
 #: Kernel: weight per character of span, longest span, characters of a string looked at in one window (with its two ends).
 DECAY, SPAN, WINDOW = 0.7, 7, 24
-#: Bounds of the training sample: labelled texts of each class, strings looked at, landmarks.
-MOST_TEXTS, MOST_CANDIDATES, MOST_NEGATIVES, LANDMARKS = {1: 1500, 0: 3000}, 1500, 80_000, 160
-#: A candidate is this much likelier in positive texts; beginnings have so many bytes; a chosen one covers so many texts that no other does.
-RATIO, STEMS, LEAST_GAIN = 25, range(4, 9), 3
+#: Bounds of the training sample: labelled texts of each class, and their length.
+MOST_TEXTS, MOST_CHARS = {1: 1500, 0: 3000}, 20_000
+#: Landmarks; strings they are chosen from; clean strings of the first round (later rounds add all that lie inside the margin).
+LANDMARKS, POOL, FIRST_NEGATIVES = 240, 3000, 8000
+#: A landmark stands in so many toxic texts, more than expected by so many deviations; strings are alike from this cosine on.
+LEAST_TEXTS, LEAST_GAIN, ALIKE = 2, 1.5, 0.65
+#: Weight of a mistake; a string's grows with the root of the texts it stands for.
+COST = 20.0
 #: Codes of characters: letters, digits (one code), signs (one), the ends of a string, and 32 for what follows a lead byte.
 EDGE, LEADS = 30, bytes(range(192, 256))
 CODES = np.zeros(256, np.int32)
@@ -157,38 +163,120 @@ def altered(word: bytes) -> list[bytes]:
     return [b".".join(bytes([c]) for c in word), word[:half] + b"*" + word[half:], word[:half] + word[half : half + 1] + word[half:], word[:half] + b"x" + word[half:]]
 
 
-def fit_strings(families: list[list[bytes]], negative: list[bytes], rounds: int = 6) -> Machine:
-    """A machine that tells families of positive strings (and altered ones) from negative strings."""
-    whole = [s for f in families for s in f]
-    spread = [s for turn in zip(*(f * LANDMARKS for f in families)) for s in turn]  # families take turns
-    marks = list(dict.fromkeys(spread[: 8 * LANDMARKS]))[: LANDMARKS // 2]
-    marks += negative[: LANDMARKS - len(marks)]
-    weights, at = explicit(windows([m[: WINDOW - 2] for m in marks])[0])
-    values, vectors = np.linalg.eigh((weights @ weights.T).astype(np.float64))
-    root = vectors / np.sqrt(np.maximum(values, 1e-6 * values.max()))  # Nyström: kernel values times this are the features
-    folded = np.ascontiguousarray((weights.T @ root).astype(np.float32))
-
-    def features(strings: list[bytes]) -> np.ndarray:
-        codes = windows(strings)[0]
-        return np.concatenate([look_up(codes[i : i + 1000], folded, at) for i in range(0, len(codes), 1000)])
-
-    short = [s[: WINDOW - 2] for s in whole]
-    more = [INNER.sub(b"", a)[: WINDOW - 2] for f in families for a in altered(f[0])]
-    px = np.concatenate([features(short), features(more)])
-    pc = np.r_[np.concatenate([np.full(len(f), 200.0 / len(f)) for f in families]), np.full(len(px) - len(short), 2.0)][: len(px)]
-    chosen = np.arange(min(len(negative), 8000))
-    nx = features([negative[i] for i in chosen])
-    machine = Machine(np.zeros(CELLS, np.float32), 0.0)
+class Space:
+    """Nyström features of strings: kernel values with the landmarks, whitened by the landmarks' own kernel matrix."""
+
+    def __init__(self, landmarks: list[bytes]):
+        weights, self.at = explicit(windows([m[: WINDOW - 2] for m in landmarks])[0])
+        values, vectors = np.linalg.eigh((weights @ weights.T).astype(np.float64))
+        root = vectors / np.sqrt(np.maximum(values, 1e-6 * values.max()))
+        self.folded = np.ascontiguousarray((weights.T @ root).astype(np.float32))
+
+    def features(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """One row for each window, and the string it belongs to."""
+        codes, owner = windows(strings)
+        rows = [look_up(codes[i : i + 1000], self.folded, self.at) for i in range(0, len(codes), 1000)]
+        return np.concatenate([np.zeros((0, self.folded.shape[1]), np.float32), *rows]), owner
+
+    def machine(self, w: np.ndarray) -> Machine:
+        """Weights of the features (and a bias) folded into one table over the subsequences."""
+        made = Machine((self.folded @ w[:-1]).astype(np.float32)[self.at], float(w[-1]))
+        made.table[0] = 0
+        return made
+
+
+def spread(bags: list[np.ndarray], strings: list[bytes], positive: np.ndarray, negative: np.ndarray, total: int) -> list[int]:
+    """Landmarks for the toxic side: strings that stand in more toxic texts than clean ones make likely.
+
+    ``positive`` and ``negative`` are the texts each string stands in, by class;
+    ``bags`` are the toxic texts and ``total`` the number of clean ones.  Each
+    choice lessens the weight of the toxic texts that hold a string like it, so
+    that the landmarks spread over the ways to be toxic and over groups of copies.
+    """
+    share = (negative + 0.5) / (total + 1)
+    first = (positive - share * len(bags)) / np.sqrt(share * len(bags) + 1)
+    pool = np.flatnonzero(positive >= LEAST_TEXTS)
+    pool = pool[np.lexsort((pool, -first[pool]))][:POOL]
+    if not len(pool):
+        return []
+    place = np.full(len(strings), -1)
+    place[pool] = np.arange(len(pool))
+    stands = np.zeros((len(pool), len(bags)), np.float32)
+    for text, bag in enumerate(bags):
+        found = place[bag]
+        stands[found[found >= 0], text] = 1
+    cut = [strings[i][: WINDOW - 2] for i in pool]
+    codes, owner = windows(cut)
+    own = np.array([float((explicit(codes[k : k + 1])[0] ** 2).sum()) for k in range(len(codes))])
+    weight, chosen = np.ones(len(bags)), []
+    while len(chosen) < LANDMARKS // 2:
+        expected = share[pool] * weight.sum()
+        gain = (stands @ weight - expected) / np.sqrt(expected + 1)
+        gain[chosen] = -1
+        best = int(gain.argmax())
+        if gain[best] < LEAST_GAIN:
+            break
+        chosen.append(best)
+        mine = owner == best
+        weights, at = explicit(codes[mine][:1])
+        like = look_up(codes, np.ascontiguousarray(weights.T), at)[:, 0] / np.sqrt(own * own[mine][0] + 1e-9)
+        near = np.zeros(len(pool), bool)
+        near[owner[like > ALIKE]] = True
+        near[best] = True
+        weight = np.where(stands[near].any(axis=0), weight * 0.3, weight)
+    return [int(pool[i]) for i in chosen]
+
+
+def fit(texts: list[bytes], toxic: list[bool], rounds: int = 6) -> Machine | None:
+    """A machine trained on labelled texts, each a bag of the strings in its sentences.
+
+    A toxic text asks that its worst string lies beyond the margin, a clean one
+    that all of its strings lie on the other side.  Rounds of the machine and of
+    the choice of each toxic text's worst string take turns until no choice
+    changes and no clean string is left inside the margin.  The first round
+    looks at the landmarks instead.  None without texts of both classes.
+    """
+    numbers: dict[bytes, int] = {}
+    bags = [np.array(sorted(numbers.setdefault(s, len(numbers)) for s in strings_of(t) if s.strip(PUNCTUATION)), np.int64) for t in texts]
+    strings = list(numbers)
+    worse = [b for b, kind in zip(bags, toxic) if kind and len(b)]
+    clean = [b for b, kind in zip(bags, toxic) if not kind and len(b)]
+    if not worse or not clean:
+        return None
+    positive, negative = (np.bincount(np.concatenate(x), minlength=len(strings)) for x in (worse, clean))
+    marks = spread(worse, strings, positive, negative, len(clean))
+    if not marks:
+        return None
+    common = np.flatnonzero(negative)
+    common = common[np.lexsort((common, -negative[common]))]
+    space = Space([strings[i] for i in marks] + [strings[i] for i in common[: LANDMARKS // 2]])
+    mixed = sorted(common.tolist(), key=lambda i: zlib.crc32(strings[i]))
+    against = np.array(list(dict.fromkeys(common[:FIRST_NEGATIVES // 4].tolist() + mixed[:FIRST_NEGATIVES])))
+    against = against[positive[against] * len(clean) <= 4 * negative[against] * len(worse)]
+    nx, at = space.features([strings[i] for i in against])
+    owner = against[at]
+    asked, times = np.array(marks), positive[marks]
+    machine = None
     for _ in range(rounds):
-        w = squared_hinge(np.concatenate([px, nx]), np.r_[np.ones(len(px)), -np.ones(len(nx))], np.r_[pc, np.full(len(nx), 20.0)])
-        machine = Machine((folded @ w[:-1]).astype(np.float32)[at], float(w[-1]))
-        machine.table[0] = 0
-        fresh = np.setdiff1d(np.flatnonzero(machine.margins(negative) > -0.8), chosen)
-        if not len(fresh):
+        px, at = space.features([strings[i] for i in asked])
+        often = times[at] / np.bincount(at)[at]
+        more, _ = space.features([x for i in asked[times >= LEAST_TEXTS] for x in altered(strings[i])])
+        x = np.concatenate([px, more, nx])
+        y = np.r_[np.ones(len(px) + len(more)), -np.ones(len(nx))]
+        cost = np.r_[COST * np.sqrt(often), np.full(len(more), COST / 10), COST * np.sqrt(negative[owner])]
+        machine = space.machine(squared_hinge(x, y, cost))
+        margin = machine.margins(strings)
+        before = set(asked.tolist())
+        asked, times = np.unique([b[margin[b].argmax()] for b in worse], return_counts=True)
+        fresh = np.setdiff1d(np.flatnonzero((margin > -0.8) & (negative > 0)), against)
+        if before == set(asked.tolist()) and not len(fresh):
             break
-        chosen = np.concatenate([chosen, fresh])
-        nx = np.concatenate([nx, features([negative[i] for i in fresh])])
-    return machine
+        if len(fresh):
+            against = np.concatenate([against, fresh])
+            rows, at = space.features([strings[i] for i in fresh])
+            nx, owner = np.concatenate([nx, rows]), np.concatenate([owner, fresh[at]])
+    worst = np.array([margin[b].max() if len(b) else -np.inf for b in bags])
+    return calibrate(machine, worst, np.array(toxic, bool))
 
 
 def calibrate(machine: Machine, margin: np.ndarray, toxic: np.ndarray) -> Machine:
@@ -208,86 +296,27 @@ def calibrate(machine: Machine, margin: np.ndarray, toxic: np.ndarray) -> Machin
     return machine
 
 
-def choose(covers: dict[bytes, set[int]]) -> list[bytes]:
-    """Candidates (each with the rows it stands in) that together cover the rows, the one with most rows left first.
-
-    Strings that only copies of a covered text share cover nothing more and are
-    left out.  A whole string found in over a seventh of all rows is taken anyway.
-    """
-    missing = set().union(*covers.values())
-    often = len(missing) / 7
-    taken = [c for c in sorted(covers) if len(covers[c]) > often and not c.endswith(b" ")]
-    for c in taken:
-        missing -= covers[c]
-    left = dict(covers)
-    while missing:
-        left = {c: rows & missing for c, rows in left.items()}
-        best = max(sorted(left), key=lambda c: (len(left[c]), len(c)))
-        if len(left[best]) < max(LEAST_GAIN, 0.002 * len(covers)):
-            break
-        taken.append(best)
-        missing -= left.pop(best)
-    return taken
-
-
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most_texts: dict[int, int] = MOST_TEXTS) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most_texts: dict[int, int] = MOST_TEXTS, most_chars: int = MOST_CHARS) -> Machine | None:
     """Fit on labelled rows outside the held-out fold; None where they aren't of both classes.
 
-    Of each class at most ``most_texts`` ids take part, those of least xxhash64,
-    one text (the least) for a repeated id; nothing but the text and its label
-    is used.  Only ids meet the labels; the texts of the sample are then picked
-    by a broadcast of its ids, which that bound limits.
+    Of each class at most ``most_texts`` ids take part, those of least xxhash64
+    whose texts have at most ``most_chars`` code points; one text (the least)
+    for a repeated id, and equal texts of a class once.  Nothing but the text
+    and its label is used.  Only ids meet the labels; the texts of the sample
+    are then picked by a broadcast of its ids, which that bound limits, and come
+    to the driver: most_texts times most_chars at most.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
     marked = marked.where(remainder(F.col("doc_id"), folds) != held)
-    there = marked.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
+    short = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= most_chars)
+    there = marked.join(short.select("doc_id"), "doc_id", "left_semi")
     some = [there.where(F.col("__toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in most_texts.items()]
     chosen = save(some[0].unionByName(some[1]), "toxic-ids")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    picked = texts.groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).where("text is not null")
-    picked = save(picked.select(F.xxhash64("doc_id").alias("row"), F.col("__toxic").alias("toxic"), "text"), "toxic-sample")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates: a whole string or, marked by a white space that no string has, a beginning."""
-        for batch in batches:
-            for part in slices(batch, 2):
-                for row, toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), bytes_of(part, 2)):
-                    found = {s.strip(PUNCTUATION) for s in strings_of(text)} - {b""}
-                    found |= {s[:n] + b" " for s in found for n in STEMS if len(s) >= n}
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(list(found), pa.binary())], ["row", "toxic", "cand"])
-
-    size = {r.toxic: r["count"] for r in picked.groupBy("toxic").count().collect()}
-    if len(size) < 2:
-        return None
-    cands = save(picked.mapInArrow(split, "row long, toxic int, cand binary"), "toxic-strings")
-    counted = save(cands.groupBy("cand").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "toxic-stats")
-    stats = counted.where(~F.col("cand").endswith(F.lit(b" "))).withColumnRenamed("cand", "string")
-    up, down = (F.col("pos") + 0.5) / (size[1] + 1), (F.col("neg") + 0.5) / (size[0] + 1)
-    strong = counted.where((F.col("pos") >= LEAST_GAIN) & (up > RATIO * down))
-    strong = save(strong.orderBy(F.desc("pos"), "cand").limit(MOST_CANDIDATES).select("cand"), "toxic-candidates")
-    covers: dict[bytes, set[int]] = {}
-    for r in cands.where("toxic = 1").join(F.broadcast(strong), "cand").groupBy("cand").agg(F.collect_list("row").alias("rows")).collect():  # at most most_texts rows for each of MOST_CANDIDATES
-        covers[bytes(r.cand)] = set(r.rows)
-    families = []
-    for c in choose(covers):
-        match = F.col("string").startswith(F.lit(c[:-1])) if c.endswith(b" ") else F.col("string") == F.lit(c)
-        found = [bytes(r.string) for r in stats.where(match & (F.col("pos") > F.col("neg"))).orderBy(F.desc("pos"), "string").limit(200).collect()]
-        families += [found] if found else []
-    clean = stats.where((F.col("neg") > 0) & ((F.col("neg") + 0.5) / (size[0] + 1) >= (F.col("pos") + 0.5) / (size[1] + 1) / 4))
-    taken = {s for f in families for s in f}
-    common = [bytes(r.string) for r in clean.orderBy(F.desc("neg"), "string").limit(2000).collect()]
-    spread = [bytes(r.string) for r in clean.orderBy(F.xxhash64("string"), "string").limit(MOST_NEGATIVES).collect()]
-    if not families:
-        return None
-    machine = fit_strings(families, [s for s in dict.fromkeys(common + spread) if s not in taken])
-
-    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(machine.worst(bytes_of(part, 1)), pa.float64())], ["toxic", "margin"])
-
-    seen = picked.select("toxic", "text").mapInArrow(worst, "toxic int, margin double").collect()  # at most 2 * most_texts numbers
-    return calibrate(machine, np.array([r.margin for r in seen]), np.array([r.toxic == 1 for r in seen]))
+    picked = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__toxic").agg(F.min("text").alias("text"))
+    sample = picked.select("__toxic", F.col("text").cast("binary").alias("text")).distinct().toArrow()
+    drop_saved(chosen)
+    rows = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist()))
+    return fit([t for _, t in rows], [k == 1 for k, _ in rows])
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine | None, threshold: float = 0.7, folds: int = 3, held: int = 1) -> DataFrame:
