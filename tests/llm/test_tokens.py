@@ -104,9 +104,12 @@ def test_op2_has_little_padding(spark):
     assert sum(p.length for p in pieces) > 0.98 * 1024 * len(sequences)
 
 
+CUT = lambda p, n: (p[:n], p[n:])
+
+
 def test_level_array_takes_the_least_sum_of_squares():
     random.seed(2)
-    packer = packing.LevelPacker(20)
+    packer = packing.LevelPacker(20, CUT, 10**6)
     for n in range(400):
         length, before = random.randrange(1, 20), packer.count.copy()
         best = None
@@ -119,6 +122,31 @@ def test_level_array_takes_the_least_sum_of_squares():
             if h + length < 20:
                 after[h + length] += 1
             best = min(best or 10**9, int((after[1:20] ** 2).sum()))
-        full = packer.place(length, length)
+        full = packer.place(length, [n] * length)
         assert int((packer.count[1:20] ** 2).sum()) == best
-        assert full is None or sum(full) == 20
+        assert all(sum(map(len, w)) == 20 for w in full)
+
+
+@pytest.mark.parametrize("lengths", [[600] * 5000, [1023] * 3000, [1] * 3000, [random.Random(1).randrange(1, 1024) for _ in range(5000)]])
+def test_open_windows_are_bounded_and_places_final(lengths):
+    """Equal lengths that never fit together are cut by the rule; all windows but the last are full, few are placed twice."""
+    packer = packing.LevelPacker(1024, CUT)
+    done = []
+    for i, n in enumerate(lengths):
+        done += packer.place(n, [i] * n)
+        assert packer.held <= packing.MOST_OPEN and packer.held == packer.count.sum()
+    before = len(done)
+    done += packer.finish(len)
+    assert len(done) - before <= packing.MOST_OPEN
+    assert all(sum(map(len, w)) == 1024 for w in done[:-1])
+    assert np.array_equal(np.bincount([i for w in done for p in w for i in p]), lengths)
+
+
+def test_odd_rows_of_packing(spark):
+    """Null ids and texts, repeated rows and columns named like the result's."""
+    rows = [(None, None, 1, "a"), (None, "x y", 2, "b"), (3, "x y", 2, "b"), (3, "x y", 2, "b"), (4, "", 5, "c"), (5, "word " * 5000, 5, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, ids string").coalesce(1)
+    pieces = packing.pack_documents(docs, RANKS, P.PATTERN, SPECIALS).collect()
+    sequences = check_pieces(pieces, [(r[0], r[1]) for r in rows], 1024)
+    assert sum(p.length for p in pieces if p.doc_id == 3) == 2 * next(p.doc_tokens for p in pieces if p.doc_id == 3)
+    assert sorted(sum(p.length for p in s) for s in sequences.values())[1:] == [1024] * (len(sequences) - 1)
