@@ -29,7 +29,7 @@ from losslens.llm.common import slices, texts_of
 
 
 #: Windows that a task holds open.
-MOST_OPEN = 64
+MOST_OPEN = 128
 NEVER = np.iinfo(np.int64).max
 
 
