@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,19 +17,45 @@ WHITE = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 4 << 20
 
 
+#: A key is hot beyond this many rows, and beyond one part in HOT_KEYS of all; so there are never more than HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 64, 1000
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; on a local master (tests) one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="losslens-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/losslens/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/losslens/{label}-{uuid.uuid4().hex}"
+    for made in _scopes[-1:]:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators save inside are deleted at the end; results must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
@@ -40,10 +67,23 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a saved table that nothing reads any more."""
-    spark = df.sparkSession
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, root)
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """left's rows with right's columns; right has each key once (null is a key too).
+
+    ``weight`` is right's column with the number of left's rows that have the
+    key, ``total`` about the number of left's rows.  Hot keys, HOT_KEYS at most,
+    are broadcast, so that none of them fills a task; the others meet in a shuffle.
+    """
+    hot = F.col(weight) > max(HOT_ROWS, total // HOT_KEYS)
+    named = right.withColumnRenamed(on, "__key")
+    same = left[on].eqNullSafe(F.col("__key"))
+    few = F.broadcast(named.where(hot).drop(weight))
+    most = left.join(F.broadcast(named.where(hot).select("__key")), same, "left_anti").join(named.where(~hot).drop(weight), F.col(on).eqNullSafe(F.col("__key")))
+    return left.join(few, same).drop("__key").unionByName(most.drop("__key"))
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from losslens.llm.common import bytes_of, drop_saved, save, slices
+from losslens.llm.common import bytes_of, drop_saved, hot_join, save, slices
 
 #: Fingerprints of one key that are compared in one group.
 CHUNK = 4096
@@ -161,17 +161,23 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node, root the least node it is connected with.
 
     Alternating star contraction: each round hangs a node's larger neighbours on
-    its least neighbour, then its smaller ones, until nothing changes.
+    its least neighbour, then its smaller ones, until nothing changes.  The
+    least neighbours are found by partial aggregates, and hubs meet theirs in a
+    broadcast, so a hub's neighbours are spread over the tasks that read them.
     """
     links = save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    n = links.count()
     while True:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both, least, "u", "n", 2 * n).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = save(large, "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, least, "u", "n", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = save(small, "links")
-        same = after.count() == links.count() and after.exceptAll(links).isEmpty()
+        drop_saved(large)
+        before, n = n, after.count()
+        same = before == n and after.exceptAll(links).isEmpty()
         drop_saved(links)
         links = after
         if same:
@@ -191,12 +197,16 @@ def simhash_components(docs: DataFrame, distance: int = 4, width: int = 4, id_co
     """
     keep = keep or []
     found = save(fingerprints(docs.withColumn("doc_id", F.col(id_col)), ["doc_id", *keep], text_col, width), "fingerprints")
-    nodes = save(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = components(near_links(nodes.select("fp"), nodes.count(), distance))
-    rooted = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    nodes = save(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
+    figures = nodes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    linked = components(near_links(nodes.select("fp"), figures[0], distance))
+    rooted = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = hot_join(rooted, groups, "root", "members", figures[0]).select(F.col("fp").alias("__fp"), "root", "component_id", "rows")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return found.join(named, "fp").select("doc_id", *keep, "fp", hexed.alias("fingerprint"), "component_id", "root")
+    # one text's copies share a fingerprint: those of many rows meet their component in a broadcast
+    joined = hot_join(found, named.withColumnRenamed("__fp", "fp"), "fp", "rows", figures[1])
+    return joined.select("doc_id", *keep, "fp", hexed.alias("fingerprint"), "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, text_col: str = "text") -> DataFrame:
