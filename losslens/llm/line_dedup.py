@@ -1,16 +1,21 @@
 """Line dedup with two Bloom filters.
 
-A first pass hashes the keys of each document's distinct lines (128 bits each)
-into a saved table.  From it come two filters over the same bit positions: one
-for hashes seen once, one for hashes seen twice.  Merging filters of two tasks
-keeps ``twice | twice' | (once & once')``, so a repeated hash is never missed.
-Only hashes all of whose bits are in the second filter, the suspected repeats,
-are shuffled, for the exact count of documents and the choice of the first.
+A first pass hashes the keys of each document's distinct lines (128 bits each,
+with how often a task met it) into a saved table.  The hashes then go, packed,
+to shards by their first bits; a shard holds about SHARD_LINES of them, however
+many there are in all.  Each shard fills two filters over the same bit
+positions, one for hashes seen once and one for those seen twice, so a repeated
+hash is never missed.  Only hashes all of whose bits are in the second filter,
+the suspected repeats, are shuffled on, for their number of documents.  Lines
+whose hash then may be in enough documents are counted by their own text, which
+is exact, and the first occurrence is chosen among them.  Lines seen once never
+travel as text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from losslens.llm.common import bytes_of, drop_saved, save, slices
+from losslens.llm.common import bytes_of, drop_saved, hot_join, save, slices
 
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
-#: Bits of each filter, between these powers of two; about BITS_A_LINE for each line.
-LEAST_BITS, MOST_BITS, BITS_A_LINE = 20, 28, 16
+#: Hashes a shard holds on average, and bits of its filters for each.
+SHARD_LINES, BITS_A_LINE = 1 << 20, 16
 #: Positions set for each hash.
 PROBES = 3
-#: Filters travel in blocks of so many bytes; empty blocks don't travel.
-BLOCK = 1 << 13
-#: Repeated lines are broadcast up to this many; beyond, they are joined.
-BROADCAST_LINES = 1_000_000
+#: Distinct lines a task counts before it passes them on, and hashes handled at a time.
+HELD_LINES, STEP = 200_000, 1 << 16
+#: The filter of candidates, at most 2**MOST_BITS bits, goes to every task; with too many candidates it lets more lines through to be counted, and loses none.
+LEAST_BITS, MOST_BITS = 16, 28
+#: Tasks that fill parts of it, and the bytes of a filter that travel in a row.
+FILTER_TASKS, BLOCK = 16, 1 << 20
+#: Repeated lines are broadcast up to this many and so many bytes; beyond, they are joined.
+BROADCAST_LINES, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def line_key(line: bytes) -> bytes:
@@ -67,11 +76,6 @@ class FilterPair:
         np.bitwise_or.at(self.twice, at[again], mask[again])
         np.bitwise_or.at(self.once, at, mask)
 
-    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        for n in range(0, len(self.once), BLOCK):
-            if self.once[n : n + BLOCK].any():
-                yield n // BLOCK, self.once[n : n + BLOCK].tobytes(), self.twice[n : n + BLOCK].tobytes()
-
 
 def suspected(twice: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     positions = probes(hashes, bits)
@@ -80,86 +84,146 @@ def suspected(twice: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def line_hashes(docs: DataFrame, text_col: str, least: int) -> DataFrame:
-    """(hashes binary): 16 bytes for each distinct line key of at least ``least`` code points in a document."""
+    """(hashes, times binary): packed hashes of the distinct line keys of at least ``least`` code points in a document, and in how many documents a task met each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            times = np.fromiter(held.values(), "<u4", len(held)).tobytes()
+            made = pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary()), pa.array([times], pa.binary())], ["hashes", "times"])
+            held.clear()
+            return made
+
         for batch in batches:
             for part in slices(batch, 0):
-                out = []
                 for text in bytes_of(part, 0):
-                    keys = {line_key(x) for x in text.split(b"\n")}
-                    if least > 1:
-                        keys = {k for k in keys if len(k.decode()) >= least}
-                    keys.discard(b"")
-                    out.append(b"".join(map(key_hash, keys)))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["hashes"])
+                    held.update(map(key_hash, keys_of(text, least)))
+                    if len(held) > HELD_LINES:
+                        yield out()
+        yield out()
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hashes binary, times binary")
+
+
+def keys_of(text: bytes, least: int) -> set[bytes]:
+    """Distinct line keys, without the empty one and those of fewer code points."""
+    keys = set(map(line_key, text.split(b"\n")))
+    keys.discard(b"")
+    return keys if least <= 1 else {k for k in keys if len(k.decode()) >= least}
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hashes binary")
 
+def suspects(hashed: DataFrame, shards: int) -> DataFrame:
+    """(hash binary, times long): the hashes that a shard's filters take for repeats."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, times in zip(bytes_of(batch, 0), bytes_of(batch, 1)):
+                hashes, times = halves([packed]), np.frombuffer(times, "<u4")
+                shard = ((hashes[:, 0] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.flatnonzero(np.diff(shard[order])) + 1
+                groups = np.split(order, cuts) if len(order) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(shard[g[0]]) for g in groups], pa.int64()), pa.array([hashes[g].tobytes() for g in groups], pa.binary()), pa.array([times[g].tobytes() for g in groups], pa.binary())], ["shard", "hashes", "times"]
+                )
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, packed, often = None, [], []
+        for batch in batches:
+            for shard, hashes, times in zip(batch.column(0).to_pylist(), bytes_of(batch, 1), bytes_of(batch, 2)):
+                if shard != now:
+                    yield from repeats(packed, often)
+                    now, packed, often = shard, [], []
+                packed.append(hashes)
+                often.append(times)
+        yield from repeats(packed, often)
 
-def build_twice(hashed: DataFrame, bits: int) -> np.ndarray:
-    """The twice-seen filter of a table of line hashes; its size is bounded by MOST_BITS."""
+    return hashed.mapInArrow(deal, "shard long, hashes binary, times binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(pick, "hash binary, times long")
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def repeats(packed: list[bytes], often: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """A shard's suspected repeats: those the second filter knows, and those one task met twice."""
+    hashes, times = halves(packed), np.frombuffer(b"".join(often), "<u4")
+    if not len(hashes):
+        return
+    pair = FilterPair(bits_for(len(hashes)))
+    for at in range(0, len(hashes), STEP):
+        pair.add(hashes[at : at + STEP])
+    for at in range(0, len(hashes), STEP):
+        some, n = hashes[at : at + STEP], times[at : at + STEP]
+        keep = suspected(pair.twice, some, pair.bits) | (n > 1)
+        yield pa.RecordBatch.from_arrays([pa.array([h.tobytes() for h in some[keep]], pa.binary()), pa.array(n[keep].astype(np.int64))], ["hash", "times"])
+
+
+def bits_for(n: int, most: int = 63) -> int:
+    return min(most, max(LEAST_BITS, int(np.ceil(np.log2(max(1, n) * BITS_A_LINE)))))
+
+
+def candidate_filter(candidates: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the candidates' hashes, and its bits: the union of FILTER_TASKS parts, each of that size."""
+    bits = bits_for(n, MOST_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = FilterPair(bits)
         for batch in batches:
             for part in slices(batch, 0):
                 pair.add(halves(bytes_of(part, 0)))
-        found = list(pair.blocks())
-        for n in range(0, len(found), 64):
-            yield rows(found[n : n + 64])
+        for at in range(0, len(pair.once), BLOCK):
+            if pair.once[at : at + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pair.once[at : at + BLOCK].tobytes()], pa.binary())], ["at", "bits"])
 
-    def rows(found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        block, once, twice = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["block", "once", "twice"])
+    known = np.zeros(1 << (bits - 3), np.uint8)
+    for row in candidates.select("hash").coalesce(FILTER_TASKS).mapInArrow(run, "at long, bits binary").toLocalIterator():
+        known[row.at : row.at + len(row.bits)] |= np.frombuffer(row.bits, np.uint8)
+    return known, bits
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for block, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
-                once, twice = np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8)
-                if block in held:
-                    o, t = held[block]
-                    once, twice = o | once, t | twice | (o & once)
-                held[block] = once, twice
-        for block, (_, twice) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["block", "twice"])
-
-    merged = hashed.mapInArrow(local, "block int, once binary, twice binary").repartition(F.col("block")).mapInArrow(merge, "block int, twice binary")
-    filled = np.zeros(1 << (bits - 3), np.uint8)
-    for row in merged.toLocalIterator():
-        filled[row.block * BLOCK : row.block * BLOCK + len(row.twice)] = np.frombuffer(row.twice, np.uint8)
-    return filled
-
-
-def repeated_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, least: int = 1) -> DataFrame:
-    """(hash): the 128-bit hashes of line keys found in at least ``min_docs`` documents, in a saved table."""
+
+def lines_passing(keys: list[bytes], known: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the line keys the filter lets through."""
+    if not keys:
+        return np.zeros(0, bool)
+    return suspected(known, halves(list(map(key_hash, keys))), bits)
+
+
+def repeated_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, least: int = 1) -> tuple[DataFrame, tuple[np.ndarray, int]]:
+    """(key binary, docs long) of the line keys found in at least ``min_docs`` documents, in a saved table, and a filter that lets all of them through."""
+    if min_docs < 2:
+        raise ValueError("a line of one document isn't repeated")
     spark = docs.sparkSession
     hashed = save(line_hashes(docs, text_col, least), "line-hashes")
     n = hashed.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0)) / 16).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1.0, n) * BITS_A_LINE)))))
-    twice = spark.sparkContext.broadcast(build_twice(hashed, bits))
+    counted = suspects(hashed, max(1, int(n) // SHARD_LINES)).groupBy("hash").agg(F.sum("times").alias("docs")).where(F.col("docs") >= min_docs)
+    candidates = save(counted, "line-candidates")
+    drop_saved(hashed)
+    known, bits = candidate_filter(candidates, candidates.count())
+    drop_saved(candidates)
+    shared = spark.sparkContext.broadcast(known)
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        size = 0
         for batch in batches:
             for part in slices(batch, 0):
-                packed = b"".join(bytes_of(part, 0))
-                keep = suspected(twice.value, halves([packed]), bits)
-                kept = np.frombuffer(packed, "V16")[keep]
-                for at in range(0, len(kept), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in kept[at : at + 50_000]], pa.binary())], ["hash"])
-
-    counted = hashed.mapInArrow(pick, "hash binary").groupBy("hash").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("hash")
-    found = save(counted, "repeated-lines")
-    twice.destroy()
-    drop_saved(hashed)
-    return found
-
-
-def _split(text: bytes, dropped) -> tuple[list[bytes], int]:
-    lines = text.split(b"\n")
-    kept = [x for x in lines if not dropped(line_key(x))]
-    return kept, len(lines)
+                for text in bytes_of(part, 0):
+                    keys = list(keys_of(text, least))
+                    found = [k for k, ok in zip(keys, lines_passing(keys, shared.value, bits).tolist()) if ok]
+                    size += sum(len(k) for k in found if k not in held)
+                    held.update(found)
+                    if size > BROADCAST_BYTES // 4:
+                        yield out(held)
+                        size = 0
+        yield out(held)
+
+    def out(held: Counter) -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["key", "docs"])
+        held.clear()
+        return made
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    found = save(texts.mapInArrow(count, "key binary, docs long").groupBy("key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs), "repeated-lines")
+    shared.destroy()
+    return found, (known, bits)
 
 
 def drop_repeated_lines(
@@ -173,71 +237,96 @@ def drop_repeated_lines(
     joined by a newline (a null text stays null) and, where docs has ``n_chars``,
     that count renewed.  With ``report`` the result is doc_id, n_lines,
     n_dropped, kept_sha256.  ``keep_first`` lets one line of each repeated key
-    stay: the first in the first document by doc_id.
+    stay: the first in the first document by doc_id (null last).  Repeated rows
+    are documents of their own; columns may have any names.
     """
     spark = docs.sparkSession
-    found = repeated_lines(docs, text_col, min_docs, least)
-    few = found.limit(broadcast_lines + 1).count() <= broadcast_lines
-    if keep_first or not few:
-        return _drop_by_join(docs, found, text_col, least, keep_first, report)
-    known = spark.sparkContext.broadcast(frozenset(bytes(r.hash) for r in found.toLocalIterator()))
-    columns = docs.columns
-    text_at = columns.index(text_col)
+    found, passing = repeated_lines(docs, text_col, min_docs, least)
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
+    if keep_first or n > broadcast_lines or size > BROADCAST_BYTES:
+        return _drop_by_join(docs, found, passing, text_col, least, keep_first, report)
+    known = spark.sparkContext.broadcast(frozenset(bytes(r.key) for r in found.select("key").toLocalIterator()))
+    text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad = known.value
-        memo = lambda key: bool(key) and key_hash(key) in bad  # noqa: E731  empty lines stay
         for batch in batches:
             for part in slices(batch, text_at if not report else 1):
-                yield digest_rows(part, memo) if report else renewed(part, memo)
-
-    def digest_rows(part: pa.RecordBatch, dropped) -> pa.RecordBatch:
-        n, gone, sha = [], [], []
-        for text in bytes_of(part, 1):
-            kept, lines = _split(text, dropped)
-            n.append(lines)
-            gone.append(lines - len(kept))
-            sha.append(hashlib.sha256(b"\n".join(kept)).hexdigest())
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
-
-    def renewed(part: pa.RecordBatch, dropped) -> pa.RecordBatch:
-        old = part.column(text_at).cast(pa.binary()).to_pylist()
-        new = [None if x is None else b"\n".join(_split(x, dropped)[0]) for x in old]
-        texts = pa.array(new, pa.binary()).cast(pa.string())
-        arrays = list(part.columns)
-        arrays[text_at] = texts
-        if "n_chars" in columns:
-            at = columns.index("n_chars")
-            arrays[at] = pa.compute.if_else(pa.array([a == b for a, b in zip(old, new)]), arrays[at], pa.compute.utf8_length(texts).cast(arrays[at].type))
-        return pa.RecordBatch.from_arrays(arrays, part.schema.names)
+                texts = bytes_of(part, 1 if report else text_at)
+                kept = [without(t, [i for i, x in enumerate(t.split(b"\n")) if line_key(x) in bad]) for t in texts]
+                yield reported(part.column(0), texts, kept) if report else renewed(part, text_at, kept)
 
     if report:
         kind = docs.schema["doc_id"].dataType.simpleString()
-        return docs.select("doc_id", F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
+        return docs.select("doc_id", F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {REPORT}")
     return docs.mapInArrow(run, docs.schema)
 
 
-def _drop_by_join(docs: DataFrame, found: DataFrame, text_col: str, least: int, keep_first: bool, report: bool) -> DataFrame:
-    """The same by joins, for any number of repeated lines: lines meet their hashes in a shuffle."""
-    key = F.udf(lambda x: key_hash(line_key(x.encode())) if line_key(x.encode()) else None, "binary").asNondeterministic()
-    rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "lines")
-    lines = rows.select("__row", "doc_id", F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("__at", "__line")).withColumn("hash", key("__line"))
-    lines = lines.join(found.withColumn("__bad", F.lit(True)), "hash", "left")
+REPORT = "n_lines long, n_dropped long, kept_sha256 string"
+
+
+def without(text: bytes, places: list[int]) -> tuple[bytes, int]:
+    """The text without the lines at these places, and how many these are."""
+    gone = set(places)
+    return (b"\n".join([x for i, x in enumerate(text.split(b"\n")) if i not in gone]) if gone else text), len(gone)
+
+
+def reported(ids: pa.Array, texts: list[bytes], kept: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    n = [t.count(b"\n") + 1 for t in texts]
+    sha = [hashlib.sha256(k).hexdigest() for k, _ in kept]
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array([g for _, g in kept], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+
+
+def renewed(part: pa.RecordBatch, text_at: int, kept: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    """The rows with their new texts, and a new n_chars where lines went."""
+    old = part.column(text_at)
+    texts = pa.array([k if there else None for (k, _), there in zip(kept, old.is_valid().to_pylist())], pa.binary()).cast(pa.string())
+    arrays, names = list(part.columns), part.schema.names
+    arrays[text_at] = texts
+    if "n_chars" in names:
+        at = names.index("n_chars")
+        arrays[at] = pa.compute.if_else(pa.array([not g for _, g in kept]), arrays[at], pa.compute.utf8_length(texts).cast(arrays[at].type))
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _drop_by_join(docs: DataFrame, found: DataFrame, passing: tuple[np.ndarray, int], text_col: str, least: int, keep_first: bool, report: bool) -> DataFrame:
+    """The same by joins, for any number of repeated lines: only lines that pass the filter meet them."""
+    shared = docs.sparkSession.sparkContext.broadcast(passing[0])
+    rows = save(docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("d"), F.monotonically_increasing_id().alias("row")), "lines")
+    columns, text_at = docs.columns, docs.columns.index(text_col)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                own, places, keys = [], [], []
+                for row, text in zip(part.column(0).to_pylist(), bytes_of(part, 1)):
+                    for at, line in enumerate(text.split(b"\n")):
+                        key = line_key(line)
+                        if key and (least <= 1 or len(key.decode()) >= least):
+                            own.append(row)
+                            places.append(at)
+                            keys.append(key)
+                keep = pa.array(lines_passing(keys, shared.value, passing[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(places, pa.int32()), pa.array(keys, pa.binary())], ["row", "at", "key"]).filter(keep)
+
+    seen = save(rows.select("row", F.col(f"d.c{text_at}").cast("string").alias("text")).mapInArrow(lines, "row long, at int, key binary"), "line-places")
+    bad = hot_join(seen, found, "key", "docs", seen.count())
     if keep_first:
-        first = lines.where("__bad").groupBy("hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row", "__at")).alias("f"))
-        first = first.select("hash", F.col("f.__row").alias("__row"), F.col("f.__at").alias("__at"), F.lit(True).alias("__first"))
-        lines = lines.join(first, ["hash", "__row", "__at"], "left")
-    else:
-        lines = lines.withColumn("__first", F.lit(None).cast("boolean"))
-    stays = F.col("__bad").isNull() | F.col("__first").isNotNull()
-    by_row = lines.groupBy("__row").agg(
-        F.count("*").alias("n_lines"),
-        F.sum((~stays).cast("long")).alias("n_dropped"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(stays, F.struct("__at", "__line")))), lambda x: x["__line"]), "\n").alias("__kept"),
-    )
-    joined = rows.join(by_row, "__row", "left")
+        ids = rows.select("row", F.col(f"d.c{columns.index('doc_id')}").alias("id"))
+        first = bad.join(ids, "row").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row", "at")).alias("f")).select(F.col("f.row").alias("row"), F.col("f.at").alias("at"))
+        bad = bad.join(first, ["row", "at"], "left_anti")
+    by_row = bad.groupBy("row").agg(F.collect_list("at").alias("places"))  # bounded by the row's own lines
+    joined = rows.join(by_row, "row", "left").select(*[F.col(f"d.c{i}") for i in range(len(columns))], "places")
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_at):
+                texts = bytes_of(part, text_at)
+                kept = [without(t, p or []) for t, p in zip(texts, part.column(len(columns)).to_pylist())]
+                plain = pa.RecordBatch.from_arrays(part.columns[: len(columns)], columns)
+                yield reported(plain.column(columns.index("doc_id")), texts, kept) if report else renewed(plain, text_at, kept)
+
     if report:
-        return joined.select("doc_id", "n_lines", "n_dropped", F.sha2("__kept", 256).alias("kept_sha256"))
-    text = F.when(F.col(text_col).isNotNull(), F.col("__kept"))
-    columns = [text.alias(c) if c == text_col else F.when(F.col("n_dropped") > 0, F.length("__kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return joined.mapInArrow(drop, f"doc_id {kind}, {REPORT}")
+    return joined.mapInArrow(drop, docs.schema)

@@ -52,6 +52,28 @@ def test_filters_never_miss_a_repeat():
     assert line_dedup.suspected(one.twice | two.twice | (one.once & two.once), a[:100], 12).all()
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_columns_named_like_the_operators_own(spark, keep_first):
+    rows = spark.createDataFrame([(i, f"one {i}\ncommon", i, 7, b"k", [0], i) for i in range(12)], "doc_id long, text string, n_lines long, n_dropped int, key binary, places array<int>, row long")
+    for most in (0, 1000):
+        got = line_dedup.drop_repeated_lines(rows, keep_first=keep_first, broadcast_lines=most)
+        assert got.columns == rows.columns and sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == [(i, f"one {i}\ncommon" if keep_first and i == 0 else f"one {i}", i, 7) for i in range(12)]
+        report = line_dedup.drop_repeated_lines(rows, keep_first=keep_first, report=True, broadcast_lines=most)
+        assert sum(r.n_dropped for r in report.collect()) == 12 - keep_first
+
+
+def test_many_shards_and_a_full_filter_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    digest = lambda: sorted(map(tuple, line_dedup.drop_repeated_lines(docs, report=True, min_docs=3).collect()))
+    want = digest()
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 50)
+    monkeypatch.setattr(line_dedup, "HELD_LINES", 20)
+    monkeypatch.setattr(line_dedup, "LEAST_BITS", 5)
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 5)
+    monkeypatch.setattr(line_dedup, "BITS_A_LINE", 1)
+    assert digest() == want
+
+
 def test_op9_whole_table(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     want = sorted((r.doc_id, n, d, hashlib.sha256(k.encode()).hexdigest()) for r, (n, d, k) in zip(rows, lines_by_brute_force([r.text for r in rows])))
