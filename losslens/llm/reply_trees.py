@@ -15,10 +15,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from losslens.llm.common import save
+from losslens.llm.common import hot_join, save
+from losslens.sources.saved import numbered
 
 # The template's own control strings, and those of other common
 # templates, which are escaped too.
@@ -61,19 +62,44 @@ def link_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Da
     """Plain conversations as reply trees: conv, node, parent, role, text, score; each row answers the one before it.
 
     Rows go by turn (null first), equal turns by role and text; repeated rows
-    stay.  The score of a message is 0.
+    stay.  The score of a message is 0.  Nodes are numbered range by range over
+    all conversations, so a conversation with a third of all rows is many ranges.
     """
-    order = Window.partitionBy("conv").orderBy(F.col("__turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     named = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("__turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    placed = named.withColumn("node", F.row_number().over(order).cast("long"))
-    return placed.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    order = [F.col(c).asc_nulls_first() for c in ("conv", "__turn", "role", "text")]
+    placed = save(numbered(named, *order, name="node"), "reply-rows")
+    first = placed.groupBy("conv").agg(F.min("node").alias("first"), F.count("*").alias("rows"))
+    joined = hot_join(placed, first, "conv", "rows", placed.count())
+    return joined.select("conv", "node", F.when(F.col("node") > F.col("first"), F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+
+
+def same(conv: str, node: str, other: str, at: str) -> Column:
+    return F.col(conv).eqNullSafe(F.col(other)) & (F.col(node) == F.col(at))
+
+
+def cut_circles(nodes: DataFrame, lost: DataFrame, n: int) -> DataFrame:
+    """nodes, with the parent of each circle's least message made null; ``lost`` are the n messages that reach no root.
+
+    Each lost message's way is doubled until it is longer than any circle; where
+    it then stands is on one, and a message there that is the least on its own
+    way is the circle's least.
+    """
+    walk = save(lost.join(nodes.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), "parent"), same("conv", "node", "c2", "n2")).select("conv", "node", F.col("parent").alias("up"), F.col("node").alias("least")), "reply-circle")
+    steps = 1
+    while steps < n:
+        above = walk.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.col("up").alias("u2"), F.col("least").alias("l2"))
+        walk = save(walk.join(above, same("conv", "up", "c2", "n2")).select("conv", "node", F.col("u2").alias("up"), F.least("least", "l2").alias("least")), "reply-circle")
+        steps *= 2
+    stands = walk.select(F.col("conv").alias("c2"), F.col("up").alias("n2")).distinct()
+    heads = walk.where("node = least").join(stands, same("conv", "node", "c2", "n2"), "left_semi").select(F.col("conv").alias("c2"), F.col("node").alias("n2"))
+    return nodes.join(heads, same("conv", "node", "c2", "n2"), "left").withColumn("parent", F.when(F.col("n2").isNull(), F.col("parent"))).drop("c2", "n2")
 
 
 def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(conv, node, root, depth, total) for each message, and the pointer tables of each round: (conv, node, up), 2**round steps up.
 
-    A message whose parent is missing is a root.  Messages on a circle never
-    reach a root and are left out.
+    A message whose parent is missing is a root; so is the least message of a
+    circle of replies.
     """
     there = nodes.select(F.col("conv").alias("c2"), F.col("node").alias("n2"))
     known = nodes.join(there, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("parent") == F.col("n2")), "left").withColumn("up", F.col("n2"))
@@ -85,12 +111,14 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         pointers.append(still.select("conv", "node", "up"))
         # only messages whose pointer hasn't reached a root take part, but any may stand above them
         above = done.unionByName(still).select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.col("up").alias("u2"), F.col("root").alias("r2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        moved = still.join(above, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("n2"))).select(
+        moved = still.join(above, same("conv", "up", "c2", "n2")).select(
             "conv", "node", F.col("u2").alias("up"), F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total")
         )
         moved = save(moved, "reply-way")
         done, still = done.unionByName(moved.where("up is null")), moved.where("up is not null")
         n, before = still.count(), n
+    if n:
+        return climb(save(cut_circles(nodes, still.select("conv", "node"), n), "reply-nodes"))
     return done.drop("up"), pointers
 
 
@@ -102,8 +130,10 @@ def choose_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """
     ways, pointers = climb(nodes)
     ways = save(ways, "reply-ways")
-    asked = nodes.where("parent is not null").select(F.col("conv").alias("c2"), F.col("parent").alias("n2")).distinct()
-    leaves = ways.join(asked, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")), "left_anti")
+    leaves = ways
+    for pointer in pointers[:1]:  # one step up: who is answered is no leaf
+        asked = pointer.select(F.col("conv").alias("c2"), F.col("up").alias("n2")).distinct()
+        leaves = ways.join(asked, same("conv", "node", "c2", "n2"), "left_anti")
     order = Window.partitionBy("conv", "root").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), F.desc("depth"), "node")
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     if best is not None:
@@ -120,10 +150,15 @@ def choose_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
 def conversations(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """(conv, root, leaf, rank, formatted, loss array<struct<start, end>>) for each chosen path.
 
-    Null roles and texts count as empty.  Rows of a path come sorted to one
-    task, one conversation held at a time.
+    nodes needs conv, node, parent, role, text and score; other columns, of any
+    name, are left out.  A message (conv, node) that is there more than once
+    counts once, its least row.  Null roles and texts count as empty, a null
+    score as 0, a null conv is a conversation of its own; messages without a
+    node are left out.  A circle of replies begins at its least message.  Rows
+    of a path come sorted to one task, one conversation held at a time.
     """
-    nodes = save(nodes, "reply-nodes")
+    own = nodes.where("node is not null").select("conv", "node", F.struct(F.col("parent"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).alias("m"))
+    nodes = save(own.groupBy("conv", "node").agg(F.min("m").alias("m")).select("conv", "node", "m.*"), "reply-nodes")
     said = nodes.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), "role", "text")
     rows = choose_paths(nodes, best).join(said, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")))
     by = ["conv", "root", "leaf"]

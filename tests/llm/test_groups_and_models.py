@@ -12,6 +12,7 @@ import corpus_pipeline
 from losslens.llm import hmm, media_archive, quality, reply_trees, simhash, toxicity
 from losslens.llm.queries import op1_hidden_markov_scores, op5_reply_tree_chat, op7_simhash_blocks, op8_media_archives
 from tests.conftest import SMALL
+from tests.llm.test_near_copies import kept_by_brute_force
 from tests.llm.test_text_filters import lines_by_brute_force
 from tests.llm.test_tokens import check_pieces
 
@@ -203,13 +204,39 @@ def test_reply_trees_pick_the_best_branch(spark):
     rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "bad", 0.1), ("t", 3, 1, "assistant", "good", 0.9), ("t", 4, 3, "user", "more", 0.9), ("t", 5, 2, "user", "hm", 0.0), (None, 1, 9, "user", None, 0.0), ("loop", 1, 2, "user", "a", 0.0), ("loop", 2, 1, "user", "b", 0.0)]
     nodes = spark.createDataFrame(rows, "conv string, node long, parent long, role string, text string, score double")
     best = {r.conv: reply_trees.read_turns(r.formatted) for r in reply_trees.conversations(nodes).collect()}
-    assert best == {"t": [("user", "q"), ("assistant", "good"), ("user", "more")], None: [("user", "")]}
+    assert best == {"t": [("user", "q"), ("assistant", "good"), ("user", "more")], None: [("user", "")], "loop": [("user", "a"), ("user", "b")]}
     assert reply_trees.conversations(nodes, best=None).where("conv = 't'").count() == 2
     long = spark.range(1, 301).selectExpr("'c' conv", "id node", "nullif(id - 1, 0) parent", "'user' role", "cast(id as string) text", "0.0D score")
     assert [t for _, t in reply_trees.read_turns(reply_trees.conversations(long).first().formatted)] == [str(i) for i in range(1, 301)]
     assert reply_trees.conversations(nodes.limit(0)).collect() == []
 
 
+def test_circles_begin_at_their_least_message(spark):
+    """A circle of 5 with a message that hangs on it, one that answers itself, and a plain one."""
+    ring = [(1, i, 10 + (i - 9) % 5) for i in range(10, 15)] + [(1, 3, 12), (1, 7, 7), (1, 1, None)]
+    rows = [(c, i, p, "user", str(i), 0.0) for c, i, p in ring]
+    nodes = spark.createDataFrame(rows, "conv long, node long, parent long, role string, text string, score double")
+    paths = sorted([t for _, t in reply_trees.read_turns(r.formatted)] for r in reply_trees.conversations(nodes, best=None).collect())
+    above = {i: p for _, i, p in ring}
+    above[10] = above[7] = None
+
+    def way(i):
+        return (way(above[i]) if above[i] is not None else []) + [str(i)]
+
+    assert paths == sorted(way(i) for i in above if i not in above.values())
+
+
+def test_chat_odd_rows(spark):
+    """Null turns, roles and texts, repeated rows, columns named like the operator's own."""
+    rows = [(1, None, None, None), (1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (None, 0, "assistant", "x"), (2, 5, "assistant", "[INST]" * 3000)]
+    frame = spark.createDataFrame([(*r, 7, 8, "z") for r in rows], "conv_id long, turn long, role string, text string, n2 long, c2 long, node string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars) for r in reply_trees.read_back(reply_trees.conversations(reply_trees.link_turns(frame))).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (4, sha("\n\nuser\nhi\nuser\nhi\nassistant\n\n"), 0), None: (1, sha("assistant\nx\n"), 1), 2: (1, sha("assistant\n" + "[INST]" * 3000 + "\n"), 18000)}
+    wide = spark.createDataFrame([("t", 1, None, "user", "q", None, 7, "c"), ("t", 2, 1, None, None, 0.5, 8, "c"), ("t", 2, 1, None, None, 0.5, 8, "c")], "conv string, node long, parent long, role string, text string, score double, n2 long, c2 string")
+    assert [reply_trees.read_turns(r.formatted) for r in reply_trees.conversations(wide).collect()] == [[("user", "q"), ("", "")]]
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     machine = toxicity.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
@@ -218,8 +245,8 @@ def test_pipeline_against_brute_force(spark):
     kept = {r.doc_id for r in quality.quality_verdicts(docs).where("kept").collect()}
     rows = [r for r in rows if r.doc_id in kept]
     texts = [t for _, _, t in lines_by_brute_force([r.text for r in rows])]
-    groups = slow_components([(r.doc_id, slow_fingerprint(t)) for r, t in zip(rows, texts)])
-    left = [(r.doc_id, t) for r, t, g in zip(rows, texts, groups) if r.doc_id == g]
+    alive = set(kept_by_brute_force([(r.doc_id, t) for r, t in zip(rows, texts)]))
+    left = [(r.doc_id, t) for r, t in zip(rows, texts) if r.doc_id in alive]
     pieces = corpus_pipeline.run(spark, SMALL).collect()
     assert {p.doc_id for p in pieces} == {i for i, _ in left}
     check_pieces(pieces, left, 1024)
