@@ -31,9 +31,12 @@ from losslens.llm.common import bytes_of, remainder, save, slices
 
 #: States, words with a symbol of their own, classes of other words, words whose counts go to every task.
 STATES, HEAD, CLASSES, KNOWN_WORDS = 8, 16_384, 64, 200_000
-ROUNDS = 5
+#: Most rounds of Baum-Welch; they end when a round gains less than this of log10 likelihood a token.
+ROUNDS, LEAST_GAIN = 6, 0.002
 #: Training cuts symbol sequences into runs of this length; scoring into runs of LONG, joined exactly.
 RUN, LONG = 128, 4096
+#: Cells of the matrix in which runs of like length are worked out side by side.
+CELLS = 1 << 20
 #: Weight of the unigram in re-estimated emissions, and of the uniform in transitions.
 PRIOR, FLOOR = 2.0, 1.0
 #: Distinct words a task holds before it passes their counts on.
@@ -177,15 +180,25 @@ def lockstep(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Runs as a (time, run) matrix, longest first, with how many are alive at each time; and their order."""
     order = np.argsort([-len(r) for r in runs], kind="stable")
     length = np.array([len(runs[i]) for i in order])
-    table = np.zeros((length[0], len(runs)), np.int64)
+    table = np.zeros((length[0], len(runs)), np.uint16)
     for column, i in enumerate(order):
         table[: len(runs[i]), column] = runs[i]
     alive = len(runs) - np.searchsorted(length[::-1], np.arange(length[0]), side="right")
     return table, alive, order
 
 
-def expected_counts(chain: Chain, runs: list[np.ndarray], first: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, transitions and emissions of runs; ``first`` marks those that begin a text, others begin with ``enter``."""
+def of_like_length(runs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The runs' numbers, longest first, in groups whose (time, run) matrix has at most CELLS cells (a single run may have more)."""
+    order = np.argsort([-len(r) for r in runs], kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, CELLS // len(runs[order[at]]))
+        yield order[at : at + n]
+        at += n
+
+
+def expected_counts(chain: Chain, runs: list[np.ndarray], first: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, transitions and emissions of runs, and their log likelihood; ``first`` marks those that begin a text, others begin with ``enter``."""
     table, alive, order = lockstep(runs)
     steps, k = len(table), len(chain.start)
     move, emit = chain.move.astype(np.float32), chain.emit.astype(np.float32)
@@ -213,11 +226,11 @@ def expected_counts(chain: Chain, runs: list[np.ndarray], first: np.ndarray, ent
     started = gammas[-1][first[order]].sum(axis=0)
     gamma, ids = np.concatenate(gammas), np.concatenate(ids)
     emitted = np.stack([np.bincount(ids, gamma[:, j], len(emit)) for j in range(k)], axis=1)
-    return started, moved, emitted
+    return started, moved, emitted, float(sum(np.log(c, dtype=np.float64).sum() for c in scale))
 
 
-def baum_welch(encoded: DataFrame, chain: Chain, counts: np.ndarray) -> Chain:
-    """One round over all training texts: counts per partition, summed by symbol, then new probabilities."""
+def baum_welch(encoded: DataFrame, chain: Chain, counts: np.ndarray) -> tuple[Chain, float]:
+    """One round over all training texts: counts per partition, summed by symbol, then new probabilities; and the log10 likelihood a token before it."""
     spark, k = encoded.sparkSession, len(chain.start)
     shared = spark.sparkContext.broadcast(chain)
     names = [f"s{j}" for j in range(k)]
@@ -225,12 +238,12 @@ def baum_welch(encoded: DataFrame, chain: Chain, counts: np.ndarray) -> Chain:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         enter = np.linalg.matrix_power(chain.move, 64)[0]  # the chain's long-run shares
-        started, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros_like(chain.emit)
+        started, moved, emitted, likely = np.zeros(k), np.zeros((k, k)), np.zeros_like(chain.emit), 0.0
 
         def add(runs: list[np.ndarray], first: list[bool]) -> None:
-            nonlocal started, moved, emitted
-            s, m, e = expected_counts(chain, runs, np.array(first), enter)
-            started, moved, emitted = started + s, moved + m, emitted + e
+            nonlocal started, moved, emitted, likely
+            s, m, e, log = expected_counts(chain, runs, np.array(first), enter)
+            started, moved, emitted, likely = started + s, moved + m, emitted + e, likely + log
 
         runs, first = [], []
         for batch in batches:
@@ -245,23 +258,24 @@ def baum_welch(encoded: DataFrame, chain: Chain, counts: np.ndarray) -> Chain:
         if runs:
             add(runs, first)
         at = np.flatnonzero(emitted.sum(axis=1))
-        # symbols, then -1 for starts and -2 - j for the transitions from state j
-        keys = np.concatenate([at, [-1], -2 - np.arange(k)])
-        values = np.concatenate([emitted[at], started[None], moved])
+        # symbols, then -1 for starts, -2 - j for the transitions from state j, and the likelihood
+        keys = np.concatenate([at, [-1], -2 - np.arange(k), [-2 - k]])
+        values = np.concatenate([emitted[at], started[None], moved, np.full((1, k), likely)])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(values[:, j]) for j in range(k))], ["key", *names])
 
     parts = encoded.where(~F.col("held_out")).select("symbols").mapInArrow(run, "key int, " + ", ".join(f"{n} double" for n in names))
-    summed = parts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # symbols + states + 1 rows
+    summed = parts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # symbols + states + 2 rows
     key, values = summed["key"].to_numpy(), summed[names].to_numpy()
     emitted = np.zeros_like(chain.emit)
     emitted[key[key >= 0]] = values[key >= 0]
     started = values[key == -1].sum(axis=0)
     moved = np.stack([values[key == -2 - j].sum(axis=0) for j in range(k)])
+    likely = values[key == -2 - k, 0].sum() / max(1.0, emitted.sum()) / np.log(10)
     shared.destroy()
     emit = emitted + PRIOR * len(counts) * unigram(counts)[:, None] * (emitted.sum(axis=0) / max(1.0, emitted.sum()))
     emit += 1e-9 * unigram(counts)[:, None]
     move, start = moved + FLOOR, started + FLOOR
-    return Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    return Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)), likely
 
 
 def log_likelihoods(chain: Chain, texts: list[np.ndarray]) -> np.ndarray:
@@ -277,17 +291,16 @@ def log_likelihoods(chain: Chain, texts: list[np.ndarray]) -> np.ndarray:
             runs += [ids[at : at + LONG]] * (1 if at == 0 else k)
             begins.append(chain.start[None] if at == 0 else chain.move)
     begin = np.concatenate(begins)
-    table, alive, order = lockstep(runs)
     state, total = np.zeros((len(runs), k)), np.zeros(len(runs))
-    for t in range(len(table)):
-        n = alive[t]
-        a = (begin[order] if t == 0 else state[:n] @ chain.move) * chain.emit[table[t, :n]]
-        c = a.sum(axis=1)
-        state[:n] = a / c[:, None]
-        total[:n] += np.log(c)
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    state, total = state[back], total[back]
+    for group in of_like_length(runs):
+        table, alive, order = lockstep([runs[i] for i in group])
+        own = group[order]
+        for t in range(len(table)):
+            rows = own[: alive[t]]
+            a = (begin[rows] if t == 0 else state[rows] @ chain.move) * chain.emit[table[t, : len(rows)]]
+            c = a.sum(axis=1)
+            state[rows] = a / c[:, None]
+            total[rows] += np.log(c)
     out, at = np.zeros(len(texts)), 0
     for i, ids in enumerate(texts):
         now, log, at = state[at], total[at], at + 1
@@ -306,8 +319,12 @@ def train(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = ROUNDS)
     lex = lexicon(counts, training.count())
     encoded = save(encode(docs, lex, held, folds), "encoded")
     chain = first_chain(lex.symbol_counts)
+    before = -np.inf
     for _ in range(rounds):
-        chain = baum_welch(encoded, chain, lex.symbol_counts)
+        chain, likely = baum_welch(encoded, chain, lex.symbol_counts)
+        if likely - before < LEAST_GAIN:
+            break
+        before = likely
     return lex, chain, counts, encoded
 
 

@@ -10,6 +10,7 @@ member is read by its own offset and, if that fails, retried on its own.
 from __future__ import annotations
 
 import hashlib
+import json
 import posixpath
 import struct
 import tarfile
@@ -22,7 +23,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -32,8 +32,8 @@ from losslens.llm.common import bytes_of, fresh_path, slices
 WIDTH = 64
 #: An archive is closed at this size; a byte range plans about RANGE_BYTES.
 ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 16 << 20
-#: One record of an index: header offset, content offset, content length, crc32 of the content, id, whether the id is null.
-INDEX = np.dtype([("start", "<i8"), ("at", "<i8"), ("size", "<i8"), ("crc", "<u4"), ("id", "<i8"), ("null", "?")])
+#: The list of complete archives: their names, sizes and members, one row each.
+COMMIT = "_archives"
 TRIES = 3
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -82,24 +82,29 @@ def feature(payload: bytes) -> str:
 
 
 class ArchiveWriter:
-    """Writes members one after another; archives appear under their names only when complete."""
+    """Writes members one after another, into archives under names of their own; each has an index of its members beside it.
 
-    def __init__(self, folder: str, task: int):
+    An index (an Arrow file) has for each member its header's offset, its
+    content's offset, length and crc32, and its id.
+    """
+
+    def __init__(self, folder: str, id_type: pa.DataType):
         self.files, self.folder = fs.FileSystem.from_uri(folder)
         self.files.create_dir(self.folder, recursive=True)
-        self.task, self.serial, self.out = task, 0, None
+        self.schema = pa.schema([("start", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("crc", pa.int64()), ("id", id_type)])
+        self.out, self.done = None, []
 
-    def add(self, key: int | None, media: bytes) -> None:
+    def add(self, key, media: bytes) -> None:
         if self.out is None:
-            self.temp = posixpath.join(self.folder, f"_{uuid.uuid4().hex}")
-            self.out, self.at, self.index = self.files.open_output_stream(self.temp), 0, []
+            self.name = f"part-{uuid.uuid4().hex}"
+            self.out, self.at, self.index = self.files.open_output_stream(posixpath.join(self.folder, self.name + ".tar")), 0, []
         info = tarfile.TarInfo(f"{len(self.index):09d}.png")
         info.size = len(media)
         header = info.tobuf(tarfile.USTAR_FORMAT)
         self.out.write(header)
         self.out.write(media)
         self.out.write(b"\0" * (-len(media) % 512))
-        self.index.append((self.at, self.at + len(header), len(media), zlib.crc32(media), key or 0, key is None))
+        self.index.append((self.at, self.at + len(header), len(media), zlib.crc32(media), key))
         self.at += len(header) + len(media) + -len(media) % 512
         if self.at >= ARCHIVE_BYTES:
             self.close()
@@ -108,29 +113,41 @@ class ArchiveWriter:
         if self.out is not None:
             self.out.write(b"\0" * 1024)
             self.out.close()
-            name = posixpath.join(self.folder, f"part-{self.task:06d}-{self.serial:05d}")
-            with self.files.open_output_stream(self.temp + "i") as f:
-                f.write(np.array(self.index, INDEX).tobytes())
-            self.files.move(self.temp + "i", name + ".idx")
-            self.files.move(self.temp, name + ".tar")  # a repeated task writes the same bytes again
-            self.out, self.serial = None, self.serial + 1
+            with self.files.open_output_stream(posixpath.join(self.folder, self.name + ".idx")) as f, pa.ipc.new_file(f, self.schema) as index:
+                index.write_batch(pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*self.index), self.schema)], schema=self.schema))
+            self.done.append((self.name, self.at + 1024, len(self.index)))
+            self.out = None
 
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Store each text's padded UTF-8 bytes (null: empty) as an image; returns the number of members."""
+    """Store each text's padded UTF-8 bytes (null: empty) as an image; returns the number of members.
+
+    Ids keep their type; null and repeated ids, repeated rows and equal texts
+    are members of their own, a text of any length is one member.  Every attempt
+    of a task writes under names of its own, and only the archives of the
+    attempts that Spark takes are listed, at the end, in one file; those of
+    other attempts are never read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, n = ArchiveWriter(folder, TaskContext.get().partitionId()), 0
+        writer = None
         for batch in batches:
+            writer = writer or ArchiveWriter(folder, batch.schema.field(0).type)
             for part in slices(batch, 1):
                 for key, text in zip(part.column(0).to_pylist(), bytes_of(part, 1)):
                     writer.add(key, to_png(text))
-                    n += 1
-        writer.close()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+        if writer:
+            writer.close()
+        columns = list(zip(*writer.done)) if writer and writer.done else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["name", "size", "members"])
 
-    written = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n long")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    done = sorted(map(tuple, rows.mapInArrow(run, "name string, size long, members long").toLocalIterator()))  # a row for each ARCHIVE_BYTES
+    files, root = fs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    with files.open_output_stream(posixpath.join(root, COMMIT)) as f:
+        f.write(json.dumps(done).encode())
+    return sum(n for _, _, n in done)
 
 
 @dataclass
@@ -148,39 +165,41 @@ class ArchiveReader(DataSourceReader):
         self.folder, self.span = folder, span
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges over the complete archives; of each file only name and size are looked at."""
+        """Byte ranges over the archives listed as complete; none of these is opened."""
         files, root = fs.FileSystem.from_uri(self.folder)
-        found = sorted((f.path, f.size) for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("part-") and f.base_name.endswith(".tar"))
-        ranges = [ByteRange(p, at, min(at + self.span, n)) for p, n in found for at in range(0, n, self.span)]
+        with files.open_input_stream(posixpath.join(root, COMMIT)) as f:
+            found = json.loads(f.read())
+        ranges = [ByteRange(posixpath.join(root, name + ".tar"), at, min(at + self.span, n)) for name, n, _ in found for at in range(0, n, self.span)]
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
         files, _ = fs.FileSystem.from_uri(self.folder)
-        with files.open_input_stream(partition.archive[: -len("tar")] + "idx") as f:
-            index = np.frombuffer(f.read(), INDEX)
-        mine = index[(index["start"] >= partition.start) & (index["start"] < partition.end)]
-        held, size = [], 0
-        for i, member in enumerate(mine):
-            held.append((None if member["null"] else int(member["id"]), int(member["at"]), self.member(files, partition.archive, member)))
-            size += int(member["size"])
+        with files.open_input_file(partition.archive[: -len("tar")] + "idx") as f:
+            index = pa.ipc.open_file(f).read_all()
+        start = index["start"].to_numpy()
+        mine = index.filter(pa.array((start >= partition.start) & (start < partition.end)))
+        kind, held, size = mine.schema.field("id").type, [], 0
+        for i, member in enumerate(mine.to_pylist()):
+            held.append((member["id"], member["at"], self.member(files, partition.archive, member)))
+            size += member["size"]
             if size >= 2 << 20 or i + 1 == len(mine):
                 ids, at, media = zip(*held)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([partition.archive] * len(ids), pa.string()), pa.array(at, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "archive", "offset", "media"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([partition.archive] * len(ids), pa.string()), pa.array(at, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "archive", "offset", "media"])
                 held, size = [], 0
 
     source = None
 
-    def member(self, files: fs.FileSystem, archive: str, member: np.void) -> bytes:
+    def member(self, files: fs.FileSystem, archive: str, member: dict) -> bytes:
         """One member by its offset; a failed or damaged read reopens the archive there, for this member alone."""
         for attempt in range(TRIES):
             try:
                 if self.source is None or self.source[0] != archive:
                     self.source = archive, files.open_input_file(archive)
-                media = self.source[1].read_at(int(member["size"]), int(member["at"]))
-                if zlib.crc32(media) != int(member["crc"]):
-                    raise OSError(f"damaged member at {int(member['at'])} of {archive}")
+                media = self.source[1].read_at(member["size"], member["at"])
+                if zlib.crc32(media) != member["crc"]:
+                    raise OSError(f"damaged member at {member['at']} of {archive}")
                 return media
             except OSError:
                 self.source = None
@@ -191,22 +210,22 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """spark.read.format("media_archive").load(folder): doc_id, archive, offset, media."""
+    """spark.read.format("media_archive").load(folder): doc_id (of option idType), archive, offset, media."""
 
     @classmethod
     def name(cls) -> str:
         return "media_archive"
 
     def schema(self) -> str:
-        return "doc_id long, archive string, offset long, media binary"
+        return f"doc_id {self.options.get('idType', 'long')}, archive string, offset long, media binary"
 
     def reader(self, schema) -> ArchiveReader:
         return ArchiveReader(self.options["path"], int(self.options.get("rangeBytes", RANGE_BYTES)))
 
 
-def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, id_type: str = "long") -> DataFrame:
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("media_archive").option("rangeBytes", range_bytes).load(folder)
+    return spark.read.format("media_archive").option("rangeBytes", range_bytes).option("idType", id_type).load(folder)
 
 
 def describe_media(media: DataFrame) -> DataFrame:
@@ -222,12 +241,18 @@ def describe_media(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text, read it back through the data source, and describe what came back."""
+    """Store every text, read it back through the data source, and describe what came back.
+
+    One row for each row of docs; null texts count as empty, ids keep their
+    type, other columns are dropped.  The archives lie in the shared folder
+    until a ``scratch`` around the query ends.
+    """
     spark = docs.sparkSession
     folder = fresh_path(spark, "media")
     write_archives(docs, folder, id_col, text_col)
-    return describe_media(read_archives(spark, folder))
+    return describe_media(read_archives(spark, folder, id_type=docs.schema[id_col].dataType.simpleString()))

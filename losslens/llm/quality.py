@@ -29,9 +29,8 @@ COMMON = {
 }
 #: A rule rejects above its distance, from so many characters or words on.
 MOST_CLASS_DISTANCE, LEAST_CHARACTERS = 0.17, 200
-MOST_WORD_DISTANCE, LEAST_WORDS = 0.55, 150
-#: A text without any common word is only 0.367 (de) to 0.385 (es) away, so the word rule rejects from below that; op6's SQL still has MOST_WORD_DISTANCE.
-WORD_LIMIT = 0.30
+#: A text without any common word is only 0.367 (de) to 0.385 (es) away from its reference, so the word rule rejects from below that.
+MOST_WORD_DISTANCE, LEAST_WORDS = 0.30, 150
 
 
 def fenced(x: Column) -> Column:
@@ -86,8 +85,8 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     A null text has no words and fails.  Docs without a language column are
     compared with every reference, and the least distance counts.  Columns of
-    docs keep their values whatever their names, but for the names ``__w``,
-    ``__t``, ``__c`` and ``__quality``.
+    docs keep their values whatever their names, but for names of the
+    operator's own, which begin with two underscores.
     """
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
     keep = [F.col(f"`{c}`") for c in docs.columns]
@@ -118,7 +117,7 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     class_far = by_language(lang, {k: distance(F.col("__c.classes"), v) for k, v in CLASSES.items()})
     word_far = by_language(lang, {k: distance(F.transform(F.concat(F.get("__c.common", F.lit(i)), F.array(F.col("__n_words").cast("double") - F.aggregate(F.get("__c.common", F.lit(i)), F.lit(0.0), lambda a, x: a + x))), lambda x: x), (*v.values(), 1 - sum(v.values()))) for i, (k, v) in enumerate(COMMON.items())})
     judged = base.select(*keep, *[F.col(c) for c in base.columns if c.startswith("__n_") or c == "__word_chars"], fenced(failed).alias("__failed"), F.col("__c.n").alias("__n"), fenced(class_far).alias("__class"), fenced(word_far).alias("__word"))
-    far = ((F.col("__n") >= LEAST_CHARACTERS) & (F.col("__class") > MOST_CLASS_DISTANCE)) | ((F.col("__n_words") >= LEAST_WORDS) & (F.col("__word") > WORD_LIMIT))
+    far = ((F.col("__n") >= LEAST_CHARACTERS) & (F.col("__class") > MOST_CLASS_DISTANCE)) | ((F.col("__n_words") >= LEAST_WORDS) & (F.col("__word") > MOST_WORD_DISTANCE))
     return judged.select(
         *keep,
         F.struct(
@@ -153,5 +152,5 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that are kept, all their columns as they were."""
+    """The rows that are kept, all their columns as they were; null and empty texts go, repeated rows stay or go together."""
     return with_quality(docs, text_col, lang_col).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,10 +8,13 @@ rest goes through the library's merges, and each such word once per block.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +22,6 @@ from pyspark.sql import functions as F
 
 from losslens.llm.common import slices, texts_of
 
-#: The pre-token pattern of the vocabulary file.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Capitals whose small letter the library takes one by one (no final sigma) or from a newer Unicode than Python's.
 LOWER = {ord("Σ"): "σ", 0xA7CB: "\u0264", 0xA7DC: "\u019b"}
 #: Words with their merged counts kept at most before the memory starts anew.
@@ -41,17 +42,57 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+@dataclass(frozen=True)
+class Rules:
+    """What a vocabulary file says of normalizing, cutting and ending words."""
+
+    pattern: str
+    suffix: str
+    compose: bool
+    lower: bool
+
+
+@lru_cache(2)
+def rules(path: str) -> Rules:
+    """The file's rules; ValueError for a kind of vocabulary that Counter doesn't count like the library.
+
+    Known are byte-level merges over the matches of one pattern, with any of
+    canonical composition, runs of white space made one space (which no match
+    may contain) and lower case before it.
+    """
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    steps = whole.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    steps = [x["type"] for x in steps.get("normalizers", [steps]) if x != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
+    cut = whole.get("pre_tokenizer") or {}
+    cut = cut.get("pretokenizers", [cut])
+    model = whole["model"]
+    known = (
+        steps in ([], ["NFC"], ["Lowercase"], ["NFC", "Lowercase"])
+        and [x.get("type") for x in cut] == ["Split", "ByteLevel"]
+        and (cut[0]["behavior"], cut[0]["invert"], cut[1]["add_prefix_space"], cut[1]["use_regex"]) == ("Removed", True, False, False)
+        and model["type"] == "BPE"
+        and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and not any(whole.get(x) for x in ("truncation", "padding"))
+        and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in whole["added_tokens"])
+    )
+    if not known:
+        raise ValueError(f"{path}: not a vocabulary of the kind counted here")
+    return Rules(cut[0]["pattern"]["Regex"], model.get("end_of_word_suffix") or "", "NFC" in steps, "Lowercase" in steps)
+
+
 def prove_whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that, alone as a text, the library encodes as just that one token."""
+    suffix = rules(path).suffix
     tokenizer = load(path)
     back = {c: b for b, c in enumerate(byte_letters())}
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     surfaces, ids = [], []
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
-        if token in special or not token.endswith("</w>"):
+        if token in special or not token.endswith(suffix):
             continue
         try:
-            surfaces.append(bytes(back[c] for c in token.removesuffix("</w>")).decode())
+            surfaces.append(bytes(back[c] for c in token.removesuffix(suffix)).decode())
             ids.append(i)
         except (KeyError, UnicodeDecodeError):
             continue
@@ -68,9 +109,11 @@ class Counter(dict):
         super().__init__(dict.fromkeys(whole, 1))
         self.whole, self.model = whole, load(path).model
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
-        self.find = regex.compile(PRE_TOKEN).findall
+        self.rules = rules(path)
+        self.find = regex.compile(self.rules.pattern).findall
         special = [t.content for t in load(path).get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)))
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.begin = commonprefix(special)
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self.model.tokenize(word.encode().decode("latin-1").translate(self.letters)))
@@ -83,11 +126,14 @@ class Counter(dict):
 
     def count(self, text: str) -> int:
         parts = [text]
-        if "<|" in text:
+        if self.special and self.begin in text:
             parts = self.special.split(text)
         n = len(parts) - 1
         for part in parts:
-            part = unicodedata.normalize("NFC", part).translate(LOWER).lower()
+            if self.rules.compose:
+                part = unicodedata.normalize("NFC", part)
+            if self.rules.lower:
+                part = part.translate(LOWER).lower()
             n += sum(map(self.__getitem__, self.find(part)))
         return n
 
@@ -95,7 +141,9 @@ class Counter(dict):
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text.
 
-    Null and empty texts have 0 bytes and 0 tokens; rows are kept one for one.
+    Null and empty texts have 0 bytes and 0 tokens; rows are kept one for one,
+    repeated ones too, and other columns dropped whatever their names.  A
+    vocabulary whose rules aren't known here raises ValueError (see ``rules``).
     The set of whole tokens goes to the executors: it is bounded by the vocabulary.
     """
     whole = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(tokenizer_path))

@@ -72,6 +72,20 @@ def test_every_letter_counts_as_the_library_says():
     assert [counter.count(t) for t in texts] == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_rules_come_from_the_file(tmp_path):
+    import json
+
+    whole = json.load(open(P.path(WORD_BPE), encoding="utf-8"))
+    whole["normalizer"] = None
+    (tmp_path / "plain.json").write_text(json.dumps(whole))
+    path = str(tmp_path / "plain.json")
+    tokenizer, counter = Tokenizer.from_file(path), token_count.Counter(path, token_count.prove_whole_tokens(path))
+    texts = ["Hello WORLD hello", "É É x<|endoftext|>Y", ""]
+    assert [counter.count(t) for t in texts] == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    with pytest.raises(ValueError):
+        token_count.rules(P.path("byte_bpe_50k.json"))
+
+
 def check_pieces(pieces, texts, size):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     by_row, by_sequence = {}, {}
