@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from losslens.sources.saved import delete, fresh
+from losslens.sources.saved import saved as save
+
 #: ASCII white space, the only separators between words here.
 WHITE = " \t\n\x0b\x0c\r"
 #: Text handled at a time inside a Python worker, so memory doesn't follow batch sizes.
@@ -19,50 +19,6 @@ SLICE_BYTES = 4 << 20
 
 #: A key is hot beyond this many rows, and beyond one part in HOT_KEYS of all; so there are never more than HOT_KEYS hot keys.
 HOT_ROWS, HOT_KEYS = 64, 1000
-_scopes: list[list[str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; on a local master (tests) one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="losslens-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/losslens/{label}-{uuid.uuid4().hex}"
-    for made in _scopes[-1:]:
-        made.append(path)
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that operators save inside are deleted at the end; results must be written by then."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for path in _scopes.pop():
-            delete(spark, path)
-
-
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_saved(df: DataFrame) -> None:

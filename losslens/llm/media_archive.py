@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from losslens.llm.common import bytes_of, fresh_path, slices
+from losslens.llm.common import bytes_of, fresh, slices
 
 WIDTH = 64
 #: An archive is closed at this size; a byte range plans about RANGE_BYTES.
@@ -253,6 +253,6 @@ def media_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     until a ``scratch`` around the query ends.
     """
     spark = docs.sparkSession
-    folder = fresh_path(spark, "media")
+    folder = fresh(spark, "media")
     write_archives(docs, folder, id_col, text_col)
     return describe_media(read_archives(spark, folder, id_type=docs.schema[id_col].dataType.simpleString()))

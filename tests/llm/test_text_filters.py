@@ -1,6 +1,9 @@
 import collections
 import hashlib
+import itertools
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -166,6 +169,41 @@ def test_kernel_is_the_explicit_product():
     assert np.allclose(folded, weights @ weights.T, rtol=1e-4)
 
 
+def kernel_by_brute_force(machine, form):
+    """The machine's weights summed over all subsequences of four codes whose span is at most SPAN."""
+    codes = [toxicity.EDGE, *(int(toxicity.CODES[b]) for b in form), toxicity.EDGE]
+    total = 0.0
+    for i in range(len(codes)):
+        for places in itertools.combinations(range(i + 1, min(len(codes), i + toxicity.SPAN)), 3):
+            cell = sum(codes[p] * int(m) for p, m in zip((i, *places), toxicity.MIX)) & (toxicity.CELLS - 1)
+            total += toxicity.DECAY ** (places[-1] - i + 1) * float(machine.table[cell]) if cell else 0.0
+    return total
+
+
 def test_op4_whole_table(spark):
+    """The query's scores, from a machine fitted to the labelled rows picked here and a plain sum over subsequences."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    sample = sorted({(m, texts[i].encode()) for i, m in marks.items() if i in texts and m is not None and zlib.crc32(str(i).encode()) % 3 != 1 and len(texts[i]) <= toxicity.MOST_CHARS})
+    machine = toxicity.fit([t for _, t in sample], [m == 1 for m, _ in sample])
     rows = op4_string_kernel_toxicity(spark, SMALL).collect()
-    assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count() and {r.predicted for r in rows} <= {0, 1}
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    checked = 0
+    for r in rows:
+        assert r.held_out is (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+        strings = [s.strip(toxicity.PUNCTUATION).translate(None, toxicity.LEADS) for s in toxicity.strings_of(texts[r.doc_id].encode())]
+        if all(s.isalpha() and len(s) <= toxicity.WINDOW - 2 for s in strings) and len(texts[r.doc_id]) < 3000:
+            margin = max((kernel_by_brute_force(machine, s) + machine.bias for s in strings), default=-math.inf)
+            checked += 1
+            assert r.score == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, machine.slope * max(margin, -20) + machine.shift)))), abs=1e-3)
+    assert checked > 20
+
+
+def test_toxicity_learns_only_from_texts(spark):
+    """Labels of copies of one text, texts beyond the length bound and the held-out fold teach nothing else."""
+    rows = labelled(spark)
+    docs, marks = rows.select("doc_id", "text"), rows.select("doc_id", "toxic")
+    whole = toxicity.train(docs, marks)
+    more = docs.unionByName(spark.createDataFrame([(10_000 + i, "walk " * 9000, ) for i in range(50)], docs.schema))
+    again = toxicity.train(more.unionByName(docs), marks.unionByName(spark.createDataFrame([(10_000 + i, 1) for i in range(50)], marks.schema)))
+    assert np.allclose(whole.table, again.table) and (whole.bias, whole.slope) == (again.bias, again.slope)
