@@ -28,7 +28,9 @@ from losslens.llm.common import bytes_of, drop_saved, hot_join, save, slices
 
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
 #: Hashes a shard holds on average, and bits of its filters for each.
-SHARD_LINES, BITS_A_LINE = 1 << 20, 16
+SHARD_LINES, BITS_A_LINE = 1 << 18, 16
+#: Most partitions of the shards; one with several works through them in turn.
+MOST_PARTITIONS = 10_000
 #: Positions set for each hash.
 PROBES = 3
 #: Distinct lines a task counts before it passes them on, and hashes handled at a time.
@@ -139,7 +141,7 @@ def suspects(hashed: DataFrame, shards: int) -> DataFrame:
                 often.append(times)
         yield from repeats(packed, often)
 
-    return hashed.mapInArrow(deal, "shard long, hashes binary, times binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(pick, "hash binary, times long")
+    return hashed.mapInArrow(deal, "shard long, hashes binary, times binary").repartition(min(shards, MOST_PARTITIONS), "shard").sortWithinPartitions("shard").mapInArrow(pick, "hash binary, times long")
 
 
 def repeats(packed: list[bytes], often: list[bytes]) -> Iterator[pa.RecordBatch]:
