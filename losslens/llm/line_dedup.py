@@ -247,7 +247,7 @@ def drop_repeated_lines(
     n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
     if keep_first or n > broadcast_lines or size > BROADCAST_BYTES:
         return _drop_by_join(docs, found, passing, text_col, least, keep_first, report)
-    known = spark.sparkContext.broadcast(frozenset(bytes(r.key) for r in found.select("key").toLocalIterator()))
+    known = spark.sparkContext.broadcast(frozenset(found.select("key").toArrow().column(0).to_pylist()))  # at most broadcast_lines, BROADCAST_BYTES
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,7 +142,7 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["name", "size", "members"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    done = sorted(map(tuple, rows.mapInArrow(run, "name string, size long, members long").toLocalIterator()))  # a row for each ARCHIVE_BYTES
+    done = sorted(map(tuple, rows.mapInArrow(run, "name string, size long, members long").collect()))  # a row for each ARCHIVE_BYTES
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
     with files.open_output_stream(posixpath.join(root, COMMIT)) as f:
