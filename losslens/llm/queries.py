@@ -44,7 +44,7 @@ def op5_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     fixed = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return reply_trees.read_back(reply_trees.conversations(reply_trees.link_turns(rows.unionByName(fixed))))
+    return reply_trees.read_back(reply_trees.conversations(reply_trees.link_turns(rows.unionByName(fixed)), unique=True))
 
 
 def op6_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

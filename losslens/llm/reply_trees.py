@@ -14,12 +14,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from losslens.llm.common import hot_join, save
-from losslens.sources.saved import numbered
+from losslens.llm.common import save
 
 # The template's own control strings, and those of other common
 # templates, which are escaped too.
@@ -63,14 +64,34 @@ def link_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Da
 
     Rows go by turn (null first), equal turns by role and text; repeated rows
     stay.  The score of a message is 0.  Nodes are numbered range by range over
-    all conversations, so a conversation with a third of all rows is many ranges.
+    all conversations, so a conversation with a third of all rows is many ranges;
+    the driver gets one row of each range.
     """
     named = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("__turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = [F.col(c).asc_nulls_first() for c in ("conv", "__turn", "role", "text")]
-    placed = save(numbered(named, *order, name="node"), "reply-rows")
-    first = placed.groupBy("conv").agg(F.min("node").alias("first"), F.count("*").alias("rows"))
-    joined = hot_join(placed, first, "conv", "rows", placed.count())
-    return joined.select("conv", "node", F.when(F.col("node") > F.col("first"), F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    kind = named.schema["conv"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's range, its place there, and whether the row before has the same conversation (unknown for a range's first)."""
+        part, at, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            convs = batch.column(0).to_pylist()
+            before = [last, *convs[:-1]]
+            goes_on = [None if at + i == 0 else a == b for i, (a, b) in enumerate(zip(before, convs))]
+            places = np.arange(at, at + len(convs))
+            at, last = at + len(convs), convs[-1] if convs else last
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(convs), pa.int64()), pa.array(places, pa.int64()), pa.array(goes_on, pa.bool_())], ["conv", "role", "text", "range", "place", "goes_on"])
+
+    sorted_rows = named.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "role", "text")
+    cut = save(sorted_rows.mapInArrow(run, f"conv {kind}, role string, text string, range long, place long, goes_on boolean"), "reply-rows")
+    ends = cut.groupBy("range").agg(F.count("*").alias("n"), F.min_by(F.struct("conv"), "place").alias("first"), F.max_by(F.struct("conv"), "place").alias("last"))
+    starts, total, before = [], 0, None
+    for r in sorted(ends.collect(), key=lambda r: r["range"]):  # a row for each range
+        starts.append((r["range"], total, before is not None and before.conv == r.first.conv))
+        total, before = total + r.n, r.last
+    starts = rows.sparkSession.createDataFrame(starts, "range long, start long, joins boolean")
+    numbered = cut.join(F.broadcast(starts), "range").withColumn("node", F.col("start") + F.col("place"))
+    return numbered.select("conv", "node", F.when(F.coalesce("goes_on", "joins"), F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def same(conv: str, node: str, other: str, at: str) -> Column:
@@ -147,18 +168,20 @@ def choose_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     return path.join(depth, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2"))).select("conv", "root", "leaf", "rank", "node", "depth")
 
 
-def conversations(nodes: DataFrame, best: int | None = 1) -> DataFrame:
+def conversations(nodes: DataFrame, best: int | None = 1, unique: bool = False) -> DataFrame:
     """(conv, root, leaf, rank, formatted, loss array<struct<start, end>>) for each chosen path.
 
     nodes needs conv, node, parent, role, text and score; other columns, of any
     name, are left out.  A message (conv, node) that is there more than once
-    counts once, its least row.  Null roles and texts count as empty, a null
+    counts once, its least row (``unique`` says that there is none, and that
+    nodes is a saved table or cheap to read again).  Null roles and texts count as empty, a null
     score as 0, a null conv is a conversation of its own; messages without a
     node are left out.  A circle of replies begins at its least message.  Rows
     of a path come sorted to one task, one conversation held at a time.
     """
-    own = nodes.where("node is not null").select("conv", "node", F.struct(F.col("parent"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).alias("m"))
-    nodes = save(own.groupBy("conv", "node").agg(F.min("m").alias("m")).select("conv", "node", "m.*"), "reply-nodes")
+    if not unique:
+        own = nodes.where("node is not null").select("conv", "node", F.struct(F.col("parent"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).alias("m"))
+        nodes = save(own.groupBy("conv", "node").agg(F.min("m").alias("m")).select("conv", "node", "m.*"), "reply-nodes")
     said = nodes.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), "role", "text")
     rows = choose_paths(nodes, best).join(said, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")))
     by = ["conv", "root", "leaf"]
