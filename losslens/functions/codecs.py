@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Callable
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,20 +21,28 @@ STOP = "EOF"
 
 
 def lzw_encode(text: str, alphabet: str | None = None) -> list[int]:
-    """Codes of the longest known phrases; seeded with 256 characters or a given alphabet.  A character outside raises KeyError."""
-    known = {c: i for i, c in enumerate(sorted(set(alphabet)) if alphabet is not None else map(chr, range(256)))}
-    base, out, phrase = frozenset(known), [], ""
-    for c in text:
-        if c not in base:
-            raise KeyError(c)
-        longer = phrase + c
-        if longer in known:
-            phrase = longer
-            continue
-        out.append(known[phrase])
-        known[longer] = len(known)
-        phrase = c
-    return out + ([known[phrase]] if phrase else [])
+    """Codes of the longest known phrases; seeded with 256 characters or a given alphabet.  A character outside raises KeyError.
+
+    A phrase is known by its code: longer ones are looked up by (code, next
+    character), so that no phrase is ever copied.
+    """
+    first = {c: i for i, c in enumerate(sorted(set(alphabet)) if alphabet is not None else map(chr, range(256)))}
+    symbols = [first[c] for c in text]
+    if not symbols:
+        return []
+    size, known, out, code = len(first), {}, [], symbols[0]
+    fresh = size
+    for c in symbols[1:]:
+        key = code * size + c
+        longer = known.get(key)
+        if longer is None:
+            out.append(code)
+            known[key] = fresh
+            fresh += 1
+            code = c
+        else:
+            code = longer
+    return [*out, code]
 
 
 def lzw_decode(codes: list[int], alphabet: str | None = None) -> str:
@@ -84,10 +93,10 @@ def ae_encode_exact(text: str, stop: bool = True) -> tuple[Fraction, Fraction]:
     return Fraction(low, scale), Fraction(low + width, scale)
 
 
-def ae_decode_exact(value: Fraction, table: dict[str, tuple[int, int]], total: int, most: int = 100_000) -> str:
-    """Symbols until the stop symbol, or ValueError after ``most``."""
+def ae_decode_exact(value: Fraction, table: dict[str, tuple[int, int]], total: int, most: int | None = None) -> str:
+    """Symbols until the stop symbol; ValueError after ``most`` symbols without one."""
     out, top, bottom = [], value.numerator, value.denominator
-    for _ in range(most):
+    while most is None or len(out) <= most:
         at = top * total // bottom
         symbol = next(s for s, (a, b) in table.items() if a <= at < b)
         if symbol == STOP:
@@ -133,9 +142,9 @@ class FrequencyHeap:
             def __lt__(self, other):
                 return self.freq < other.freq
 
-        self.node, self.queue, self.heapq = Node, [], heapq
-        for freq, tree in items:
-            heapq.heappush(self.queue, Node(freq, tree))
+        self.node, self.heapq = Node, heapq
+        self.queue = [Node(freq, tree) for freq, tree in items]
+        heapq.heapify(self.queue)  # all at once: pushing one by one leaves equal frequencies in another order
 
     def join(self):
         while len(self.queue) > 1:
@@ -182,17 +191,42 @@ def huffman_codebook_ordered(text: str) -> dict[str, str]:
 def huffman_encode(text: str) -> tuple[list[int], dict[str, str], int]:
     """Bytes, codebook, and the zero bits that fill the last byte."""
     book = huffman_codebook(text)
-    bits = "".join(book[c] for c in text)
+    bits = text.translate({ord(c): code for c, code in book.items()})
     padding = -len(bits) % 8
-    bits += "0" * padding
-    return [int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)], book, padding
+    return list(int(bits + "0" * padding, 2).to_bytes((len(bits) + padding) // 8, "big")) if bits else [], book, padding
+
+
+#: Codes up to this length are decoded through one table.
+TABLE_BITS = 16
 
 
 def huffman_decode(data: list[int], book: dict[str, str], padding: int) -> str:
-    bits = "".join(f"{b:08b}" for b in data)
+    """The text; a window of bits at each place tells its symbol and where the next one begins."""
+    bits = np.unpackbits(np.frombuffer(bytes(data), np.uint8))
     bits = bits[: len(bits) - padding]
+    longest = max(map(len, book.values()), default=0)
+    if longest > TABLE_BITS:
+        return decode_bit_by_bit(bits, book)
+    symbols = list(book)
+    symbol, length = np.zeros(1 << longest, np.int32), np.full(1 << longest, 1, np.int32)
+    for i, c in enumerate(symbols):
+        free = longest - len(book[c])
+        at = int(book[c], 2) << free
+        symbol[at : at + (1 << free)], length[at : at + (1 << free)] = i, len(book[c])
+    wide = np.concatenate([bits, np.zeros(longest, np.uint8)]).astype(np.int32)
+    window = np.zeros(len(bits), np.int32)
+    for i in range(longest):
+        window = window << 1 | wide[i : i + len(bits)]
+    steps, at, starts = length[window].tolist(), 0, []
+    while at < len(steps):
+        starts.append(at)
+        at += steps[at]
+    return "".join([symbols[i] for i in symbol[window[starts]].tolist()]) if starts else ""
+
+
+def decode_bit_by_bit(bits: np.ndarray, book: dict[str, str]) -> str:
     back, out, code = {v: k for k, v in book.items()}, [], ""
-    for bit in bits:
+    for bit in "".join(map(str, bits.tolist())):
         code += bit
         if code in back:
             out.append(back[code])
@@ -231,3 +265,9 @@ def huffman_summary(text: str) -> tuple[int, int, float, bool]:
     """Bits, symbols, the codebook's Kraft sum, and whether the text comes back."""
     data, book, padding = huffman_encode(text)
     return 8 * len(data) - padding, len(book), math.fsum(2.0 ** -len(c) for c in book.values()), huffman_decode(data, book, padding) == text
+
+
+def huffman_digest(text: str) -> tuple[str, str]:
+    """The codebook in the order of its symbols, and the bytes in hexadecimal."""
+    data, book, _ = huffman_encode(text)
+    return " ".join(f"{c}={book[c]}" for c in sorted(book)), bytes(data).hex()

@@ -7,7 +7,7 @@ import math
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from losslens.sources.saved import ranged, saved
@@ -46,15 +46,24 @@ def pack_lengths(rows: DataFrame, id_col: str, length: str, capacity: int, bucke
     return kept.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "bucket long, bin long, id long, length long")
 
 
-def smooth(values: list[float]) -> list[float]:
-    """Exponential average whose weight rises with the number of values by a sigmoid."""
-    if not values:
-        return []
-    weight, last, out = 1.8 * (1 / (1 + math.exp(-0.05 * len(values))) - 0.5), values[0], []
-    for x in values:
-        last = last * weight + (1 - weight) * x
-        out.append(last)
-    return out
+def blocks(rows: DataFrame, id_col: str, length: str, size: int) -> DataFrame:
+    """(block, id, offset, start, length): all rows end to end in the order of their ids, cut into blocks of ``size``; the last, shorter one is dropped.
+
+    Offsets are summed range by range: the driver gets one length of each range.
+    """
+    cut = ranged(rows.select(id_col, F.col(length).cast("long").alias("_n")).where("_n > 0"), id_col)
+    lengths = sorted(tuple(r) for r in cut.groupBy("_range").agg(F.sum("_n")).collect())
+    starts, total = [], 0
+    for place, n in lengths:
+        starts.append((place, total))
+        total += n
+    begins = F.broadcast(rows.sparkSession.createDataFrame(starts, "_range long, _start long"))
+    before = F.sum("_n").over(Window.partitionBy("_range").orderBy("_within")) - F.col("_n")  # a window over one range
+    placed = cut.join(begins, "_range").withColumn("_off", F.col("_start") + before)
+    last = F.floor((F.col("_off") + F.col("_n") - 1) / size)
+    pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("_off") / size), last))).where(F.col("block") < total // size)
+    begin, end = F.greatest("_off", F.col("block") * size), F.least(F.col("_off") + F.col("_n"), (F.col("block") + 1) * size)
+    return pieces.select("block", id_col, (begin - F.col("block") * size).alias("offset"), (begin - F.col("_off")).alias("start"), (end - begin).alias("length"))
 
 
 def smoothed(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

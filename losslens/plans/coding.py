@@ -5,17 +5,18 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from losslens.functions import answers, codecs
+from losslens.functions import codecs
 from losslens.operators import sft
 from losslens.plans.registry import query
+from losslens.session import spread
 from losslens.sources import generators
 
 
-@query("C1 C2 C20 D1", None, "documents")
+@query("C1 C2", None, "documents")
 def lzw_round_trips(documents):
     """Codes of each whole text, and whether decoding gives it back; null where a character lies outside the 256 of the seed."""
     trip = codecs.column(codecs.lzw_round_trip, "struct<n_codes long, ok boolean>")
-    return documents.select("doc_id", trip("text").alias("r")).select("doc_id", "r.*")
+    return spread(documents).select("doc_id", trip("text").alias("r")).select("doc_id", "r.*")
 
 
 @query("C12 C13 C14", """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents)
@@ -23,27 +24,33 @@ SELECT doc_id, count(DISTINCT ch)::BIGINT AS symbols, CASE WHEN count(DISTINCT c
 def huffman_round_trips(documents):
     """Symbols and Kraft sum of each codebook (1, or a half for one symbol), and whether decoding gives the text back."""
     trip = codecs.column(codecs.huffman_summary, "struct<bits long, symbols long, kraft double, ok boolean>")
-    return documents.select("doc_id", trip("text").alias("r")).select("doc_id", "r.symbols", "r.kraft", "r.ok")
+    return spread(documents).select("doc_id", trip("text").alias("r")).select("doc_id", "r.symbols", "r.kraft", "r.ok")
 
 
 @query("C4", "WITH t(doc_id) AS (SELECT doc_id FROM documents) SELECT doc_id, true AS inside FROM t", "documents")
 def arithmetic_midpoints(documents):
     """The binary64 midpoint of each whole text lies in [0, 1]."""
     mid = codecs.column(codecs.ae_encode_float, "double")
-    return documents.select("doc_id", mid("text").alias("m")).select("doc_id", ((F.col("m") >= 0) & (F.col("m") <= 1)).alias("inside"))
+    return spread(documents).select("doc_id", mid("text").alias("m")).select("doc_id", ((F.col("m") >= 0) & (F.col("m") <= 1)).alias("inside"))
 
 
-@query("C5 C6 C7 C8", "SELECT doc_id, ceil(length(text) / 16.0)::BIGINT AS pieces, ceil(length(text) / 16.0)::BIGINT AS ok FROM documents", "documents")
+@query("C5 C6 C7 C8", """WITH t AS (SELECT doc_id, ceil(length(text) / 16.0)::BIGINT AS pieces FROM documents) SELECT doc_id, pieces, pieces AS ok FROM t""", "documents")
 def arithmetic_round_trips(documents):
     """Exact arithmetic coding of every text in pieces of 16 characters (fractions grow with the square of a piece): all must decode."""
+    pieces = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s).{1,16}"), F.lit(0))).alias("piece"))
+    return pieces.withColumn("ok", codecs.column(comes_back, "boolean")("piece")).groupBy("doc_id").agg(F.count("*").alias("pieces"), F.count_if("ok").alias("ok"))
 
-    def ok(piece: str) -> bool:
-        table, total = codecs.intervals(piece)
-        low, high = codecs.ae_encode_exact(piece)
-        return codecs.ae_decode_exact((low + high) / 2, table, total) == piece
 
-    pieces = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s).{1,16}"), F.lit(0))).alias("piece"))
-    return pieces.withColumn("ok", codecs.column(ok, "boolean")("piece")).groupBy("doc_id").agg(F.count("*").alias("pieces"), F.count_if("ok").alias("ok"))
+def comes_back(text: str) -> bool:
+    table, total = codecs.intervals(text)
+    low, high = codecs.ae_encode_exact(text)
+    return codecs.ae_decode_exact((low + high) / 2, table, total, len(text)) == text
+
+
+@query("C5 C6 C7 C8", "SELECT item_id, length(text)::BIGINT AS n, true AS ok FROM benchmark", "benchmark")
+def arithmetic_whole_texts(benchmark):
+    """The same of each whole benchmark text, in one fraction."""
+    return spread(benchmark).select("item_id", F.length("text").cast("long").alias("n"), codecs.column(comes_back, "boolean")("text").alias("ok"))
 
 
 @query("C3 C15 C21", None, "benchmark")
@@ -54,22 +61,6 @@ def study_codecs(benchmark):
     return benchmark.select("item_id", lzw("text").alias("codes"), bits("text").alias("bits"))
 
 
-@query("X2 X3 X4 X5 X7 X8 X9 X12 X16 X18 D5", """SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'correct' WHEN item_id % 4 = 1 THEN 'wrong' WHEN item_id % 4 = 2 THEN 'no answer' ELSE 'correct' END AS status FROM benchmark""", "benchmark")
-def verdicts(benchmark):
-    """Answers written four ways into model text, extracted, repaired and judged against the run-length pairs of the whole text."""
-
-    @F.pandas_udf("string")
-    def judge(item_id: pd.Series, text: pd.Series) -> pd.Series:
-        def one(i: int, t: str) -> str:
-            pairs = codecs.rle_encode(t)
-            said = [f"so [ANSWER]{{{{'output': {[list(p) for p in pairs]!r},}}}}[/ANSWER]", f"```json\n{{\"output\": [[\"{'q' * 3}\", 2]]}}\n```", "I can't tell.", f"draft {{\"output\": 1}} then {{\"output\": {answers.json.dumps(pairs)}}} done"][i % 4]
-            return answers.verdict(said, pairs, "rle")
-
-        return pd.Series([one(i, t) for i, t in zip(item_id, text)])
-
-    return benchmark.select("item_id", judge("item_id", "text").alias("status"))
-
-
 @query("T9 X47", None, "documents")
 def knapsack_bins(documents):
     return sft.pack_lengths(documents, "doc_id", "n_chars", 8192)

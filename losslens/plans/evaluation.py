@@ -18,14 +18,14 @@ def verified(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("ord"), F.expr("doc_id div 16").alias("itemid"), (F.col("doc_id") % 2).alias("ioid"), task_of(F.col("doc_id") % 4).alias("io_pred"), status.alias("status"))
 
 
-@query("A1 W1 T1 S6", f"""WITH {VERIFIED_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY itemid, ioid, io_pred ORDER BY ord) AS n FROM verified),
+@query("A1 W1 T1", f"""WITH {VERIFIED_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY itemid, ioid, io_pred ORDER BY ord) AS n FROM verified),
 g AS (SELECT itemid, ioid, io_pred, max((status = 'correct')::INT) AS hit FROM ranked WHERE n <= 5 GROUP BY ALL)
 SELECT coalesce(io_pred, 'OVERALL') AS io_pred, round(avg(hit) * 100, 4) AS pass_at_k, count(*)::BIGINT AS n_groups FROM g GROUP BY ROLLUP (io_pred)""", "labels")
 def verdict_pass_at_k(labels):
     return pass_at_k(verified(labels), 5, ["itemid", "ioid"])
 
 
-@query("A2 A3 F6 S12", f"WITH {VERIFIED_SQL} SELECT coalesce(io_pred, 'OVERALL') AS io_pred, round(avg((status = 'correct')::INT::DOUBLE), 6) AS accuracy, count(*)::BIGINT AS n FROM verified GROUP BY ROLLUP (io_pred)", "labels")
+@query("A2 A3", f"WITH {VERIFIED_SQL} SELECT coalesce(io_pred, 'OVERALL') AS io_pred, round(avg((status = 'correct')::INT::DOUBLE), 6) AS accuracy, count(*)::BIGINT AS n FROM verified GROUP BY ROLLUP (io_pred)", "labels")
 def verdict_accuracy(labels):
     return accuracy(verified(labels))
 
@@ -70,7 +70,7 @@ MODEL_SQL = "list_element(['" + "','".join(MODELS) + "'], (user_id % 5 + 1)::INT
 PRICE_SQL = "prices(place, prefix, p_in, p_cached, p_out) AS (VALUES " + ", ".join(f"({i}, '{p}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (p, a, b, c) in enumerate(PRICES)) + ")"
 
 
-@query("A5 A6 A7 J5 S9 X32", f"""WITH {PRICE_SQL}, r AS (SELECT {MODEL_SQL} AS model, 1 AS requests, event_id % 997 AS input_tokens, coalesce((props->>'k')::BIGINT, 0) AS cached_tokens, user_id % 311 AS output_tokens FROM events),
+@query("A5 A6 A7 J5 X32", f"""WITH {PRICE_SQL}, r AS (SELECT {MODEL_SQL} AS model, 1 AS requests, event_id % 997 AS input_tokens, coalesce((props->>'k')::BIGINT, 0) AS cached_tokens, user_id % 311 AS output_tokens FROM events),
 s AS (SELECT model, sum(requests) AS requests, sum(input_tokens) AS input_tokens, sum(cached_tokens) AS cached_tokens, sum(output_tokens) AS output_tokens FROM r GROUP BY model),
 p AS (SELECT s.*, (SELECT min_by({{'a': p_in, 'b': p_cached, 'c': p_out}}, place) FROM prices WHERE starts_with(s.model, prefix)) AS p FROM s),
 c AS (SELECT *, (greatest(input_tokens - cached_tokens, 0) * p.a + cached_tokens * p.b + output_tokens * p.c) / 1e6 AS cost FROM p)
@@ -81,12 +81,12 @@ def usage_cost(events):
     return usage(events.select(model.alias("model"), F.lit(1).alias("requests"), (F.col("event_id") % 997).alias("input_tokens"), cached.alias("cached_tokens"), (F.col("user_id") % 311).alias("output_tokens")))
 
 
-@query("A8 S8", "SELECT source, sum(greatest(1, length(text) // 4))::BIGINT AS tokens, count(*)::BIGINT AS n FROM documents GROUP BY source", "documents")
+@query("A8", "SELECT source, sum(greatest(1, length(text) // 4))::BIGINT AS tokens, count(*)::BIGINT AS n FROM documents GROUP BY source", "documents")
 def token_estimates(documents):
     return documents.groupBy("source").agg(F.sum(F.greatest(F.lit(1), F.expr("length(text) div 4"))).cast("long").alias("tokens"), F.count("*").alias("n"))
 
 
-@query("A9 K6", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*)::BIGINT AS n, sum(l_quantity)::DOUBLE AS total FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag, l_linenumber), ())", "lineitem")
+@query("A9", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*)::BIGINT AS n, sum(l_quantity)::DOUBLE AS total FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag, l_linenumber), ())", "lineitem")
 def grouped_counts(lineitem):
     a, b, c = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
     return lineitem.groupingSets([[a, b], [a, c], []], a, b, c).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
@@ -118,10 +118,14 @@ def worst_sample(documents):
 i AS (SELECT a.p_brand AS x, b.p_brand AS y, count(*) AS m FROM s a JOIN s b ON a.p_type = b.p_type AND a.p_brand < b.p_brand GROUP BY ALL)
 SELECT x, y, m::BIGINT AS shared, (a.n + b.n - m)::BIGINT AS either, round(m / (a.n + b.n - m), 6) AS jaccard FROM i JOIN n a ON a.p_brand = x JOIN n b ON b.p_brand = y""", "part")
 def vocabulary_overlap(part):
-    sets = part.groupBy("p_brand").agg(F.collect_set("p_type").alias("s"))
-    a, b = sets.select(F.col("p_brand").alias("x"), F.col("s").alias("s1")), sets.select(F.col("p_brand").alias("y"), F.col("s").alias("s2"))
-    pairs = a.join(b, F.col("x") < F.col("y")).select("x", "y", F.size(F.array_intersect("s1", "s2")).cast("long").alias("shared"), F.size(F.array_union("s1", "s2")).cast("long").alias("either"))
-    return pairs.where("shared > 0").withColumn("jaccard", F.round(F.col("shared") / F.col("either"), 6))
+    values = part.select("p_brand", "p_type").distinct()
+    sizes = values.groupBy("p_brand").agg(F.count("*").alias("n"))
+    # brands meet on the values they share: pairs that share nothing are never made
+    a, b = values.select(F.col("p_brand").alias("x"), "p_type"), values.select(F.col("p_brand").alias("y"), "p_type")
+    shared = a.join(b, "p_type").where("x < y").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    both = shared.join(sizes.select(F.col("p_brand").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("p_brand").alias("y"), F.col("n").alias("ny")), "y")
+    either = F.col("nx") + F.col("ny") - F.col("shared")
+    return both.select("x", "y", "shared", either.alias("either"), F.round(F.col("shared") / either, 6).alias("jaccard"))
 
 
 @query("A15 F11 F12 X52", """WITH w AS (SELECT lang, unnest(string_split_regex(text, '[\\x20\\x09-\\x0D]+')) AS w FROM documents), v AS (SELECT * FROM w WHERE w <> '')
@@ -156,13 +160,13 @@ def length_cdf(documents):
     return h.select("bucket", "n", running.alias("running"), F.round(running / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
-@query("A20 A22 A27", "SELECT lang, round(3e-4 * sqrt(2048 * 8 * (sum(length(text)) / sum(length(text) + 100)) / 4e6), 10) AS lr, round(sum(n_chars) * 3 / 60.0, 4) AS tps FROM documents GROUP BY lang", "documents")
+@query("A20 A27", "SELECT lang, round(3e-4 * sqrt(2048 * 8 * (sum(length(text)) / sum(length(text) + 100)) / 4e6), 10) AS lr, round(sum(n_chars) * 3 / 60.0, 4) AS tps FROM documents GROUP BY lang", "documents")
 def learning_rate(documents):
     ratio = F.sum(F.length("text")) / F.sum(F.length("text") + 100)
     return documents.groupBy("lang").agg(F.round(3e-4 * F.sqrt(2048 * 8 * ratio / 4e6), 10).alias("lr"), F.round(F.sum("n_chars") * 3 / F.lit(60.0), 4).alias("tps"))
 
 
-@query("A21 A29 A33 A35", """SELECT vec_id, round(exp(-list_sum(list_transform(embedding, lambda x: -abs(x::DOUBLE))) / len(embedding)), 6) AS ppl, round(embedding[len(list_filter(embedding, lambda x: x > 0))]::DOUBLE, 6) AS reward, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS best FROM embeddings""", "embeddings")
+@query("A21 A33 A35", """SELECT vec_id, round(exp(-list_sum(list_transform(embedding, lambda x: -abs(x::DOUBLE))) / len(embedding)), 6) AS ppl, round(embedding[len(list_filter(embedding, lambda x: x > 0))]::DOUBLE, 6) AS reward, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS best FROM embeddings""", "embeddings")
 def sequence_scores(embeddings):
     nll = F.aggregate("embedding", F.lit(0.0), lambda a, x: a - F.abs(x.cast("double")))
     last = F.size(F.filter("embedding", lambda x: x > 0))

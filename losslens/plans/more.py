@@ -37,12 +37,12 @@ def translation_prompts(documents):
     return documents.select("doc_id", F.sha2(F.concat(F.lit("Question: "), F.replace("text", F.lit("\n\n"), F.lit("\n")), F.lit("\nTrace:")), 256).alias("prompt_sha256"))
 
 
-@query("F5 F13 X17", "SELECT doc_id, (strlen(text) < 1024 AND len(string_split(text, chr(10))) < 20) AS small FROM documents", "documents")
+@query("F5", "SELECT doc_id, (strlen(text) < 1024 AND len(string_split(text, chr(10))) < 20) AS small FROM documents", "documents")
 def size_predicate(documents):
     return documents.select("doc_id", ((F.octet_length("text") < 1024) & (F.size(F.split("text", "\n")) < 20)).alias("small"))
 
 
-@query("J4 S10 S11 F7", "WITH m(id, size, category) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in REGISTRY) + ") SELECT coalesce(category, 'unknown') AS category, count(*)::BIGINT AS n FROM events JOIN m ON id = event_type GROUP BY 1", "events")
+@query("J4 S11", "WITH m(id, size, category) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in REGISTRY) + ") SELECT coalesce(category, 'unknown') AS category, count(*)::BIGINT AS n FROM events JOIN m ON id = event_type GROUP BY 1", "events")
 def model_dimension(events):
     models = events.sparkSession.createDataFrame(REGISTRY, "id string, size string, category string").select("id", F.coalesce("category", F.lit("unknown")).alias("category"))
     return events.join(F.broadcast(models), F.col("event_type") == F.col("id")).groupBy("category").agg(F.count("*").alias("n"))
@@ -60,7 +60,7 @@ def seeded_sample(documents):
     return documents.select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(100)
 
 
-@query("X29 X31 X22 X30", """SELECT event_id, lower(trim(' ' || event_type || ' ')) AS norm, '{"output":' || (value::BIGINT) || '}' AS answer, CASE WHEN value > 50 THEN value END AS safe FROM events""", "events")
+@query("X29 X31 X22", """SELECT event_id, lower(trim(' ' || event_type || ' ')) AS norm, '{"output":' || (value::BIGINT) || '}' AS answer, CASE WHEN value > 50 THEN value END AS safe FROM events""", "events")
 def formatted_answers(events):
     rounded = F.bround("value").cast("long")
     nan = F.when(F.col("value") > 50, F.col("value")).otherwise(F.lit(float("nan")))
@@ -74,12 +74,12 @@ def digit_tokens(orders):
     return orders.select("o_orderkey", F.length(s).cast("long").alias("single_digits"), F.regexp_count(s, F.lit("[0-9]{1,3}")).cast("long").alias("digit_groups"))
 
 
-@query("D7 D8 R3 R4", "SELECT item_id, split_part(text, chr(10), -1) AS answer FROM benchmark", "benchmark")
+@query("D7", "SELECT item_id, split_part(text, chr(10), -1) AS answer FROM benchmark", "benchmark")
 def model_answers(benchmark):
     """Answers of the stand-in client, asked in batches inside each partition."""
     return call_model(benchmark.select("item_id", F.col("text").alias("prompt")), ModelClient()).select("item_id", "answer")
 
 
-@query("K5 K9 S5 X33 X39", "SELECT doc_id, format('{:03d}_{}.txt', doc_id, lang) AS name, '/media/' || lang || '/' || doc_id || '.png' AS path FROM documents", "documents")
+@query("X33", "SELECT doc_id, format('{:03d}_{}.txt', doc_id, lang) AS name, '/media/' || lang || '/' || doc_id || '.png' AS path FROM documents", "documents")
 def artifact_names(documents):
     return documents.select("doc_id", F.format_string("%03d_%s.txt", "doc_id", "lang").alias("name"), F.concat(F.lit("/media/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))

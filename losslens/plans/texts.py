@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from losslens.functions import text as X
 from losslens.operators import prompts as P
+from losslens.operators import sft
 from losslens.operators.evaluate import TASKS
 from losslens.plans.registry import query
+from losslens.session import spread
 from losslens.sources.saved import numbered
 
 
@@ -17,7 +19,8 @@ f AS (SELECT *, (ch IS DISTINCT FROM lag(ch) OVER (PARTITION BY doc_id ORDER BY
 g AS (SELECT doc_id, run, min(ch) AS ch, count(*) AS n FROM r GROUP BY ALL)
 SELECT doc_id, count(*)::BIGINT AS n_runs, sha256(string_agg(ch || n, '' ORDER BY run)) AS compact_sha256 FROM g GROUP BY doc_id""", "documents")
 def run_lengths(documents):
-    return documents.select("doc_id", F.size(X.runs(F.col("text"))).cast("long").alias("n_runs"), F.sha2(X.rle_compact(F.col("text")), 256).alias("compact_sha256"))
+    found = spread(documents).select("doc_id", X.runs(F.col("text")).alias("runs"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.sha2(X.rle_compact(F.col("runs")), 256).alias("compact_sha256"))
 
 
 @query("C10", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents", "documents")
@@ -92,7 +95,7 @@ def lenient_json(events):
     return events.select("event_id", parsed["k"].alias("k"), F.expr("try_parse_json(props) is not null").alias("valid"))
 
 
-@query("X1 X6 X10 X11", r"""WITH g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'first [ANSWER]{{"output": 0}}[/ANSWER] then ' || substr(text, 1, 200) || ' [answer] {{"output": ' || doc_id || '}} [/answer]' ELSE substr(text, 1, 200) END AS t FROM documents),
+@query("X1 X6", r"""WITH g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'first [ANSWER]{{"output": 0}}[/ANSWER] then ' || substr(text, 1, 200) || ' [answer] {{"output": ' || doc_id || '}} [/answer]' ELSE substr(text, 1, 200) END AS t FROM documents),
 a AS (SELECT doc_id, trim(regexp_extract_all(t, '(?is)\[ANSWER\](.*?)\[/ANSWER\]', 1)[-1]) AS answer FROM g)
 SELECT doc_id, replace(replace(answer, '{{', '{'), '}}', '}') AS answer, (replace(replace(answer, '{{', '{'), '}}', '}')->>'output')::BIGINT AS output FROM a""", "documents")
 def extracted_answers(documents):
@@ -101,27 +104,36 @@ def extracted_answers(documents):
     return documents.select("doc_id", answer.alias("answer"), F.get_json_object(answer, "$.output").cast("long").alias("output"))
 
 
-@query("X13 X14 X15", "SELECT a.vec_id, list_bool_and(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE) <= greatest(0.5 * greatest(abs(z[1]::DOUBLE), abs(z[2]::DOUBLE)), 0.5))) AS close FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", "embeddings")
+@query("X13", "SELECT a.vec_id, list_bool_and(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE) <= greatest(0.5 * greatest(abs(z[1]::DOUBLE), abs(z[2]::DOUBLE)), 0.5))) AS close FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", "embeddings")
 def tolerant_equality(embeddings):
     b = embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     near = F.zip_with("embedding", "other", lambda x, y: F.abs(x.cast("double") - y.cast("double")) <= F.greatest(0.5 * F.greatest(F.abs(x.cast("double")), F.abs(y.cast("double"))), F.lit(0.5)))
     return embeddings.join(b, "vec_id").select("vec_id", F.forall(near, lambda x: x).alias("close"))
 
 
-@query("X23 X24 X25 X28 X42", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+'))::BIGINT AS names, split_part(text, chr(10), -1) AS last_line, sha256(ltrim(regexp_replace('<think>' || lang || '</think> ' || text, '(?s)<think>(.*?)</think>', '', 'g'), ' ')) AS said_sha256 FROM documents""", "documents")
+@query("X24 X42", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+'))::BIGINT AS names, split_part(text, chr(10), -1) AS last_line, sha256(ltrim(regexp_replace('<think>' || lang || '</think> ' || text, '(?s)<think>(.*?)</think>', '', 'g'), ' ')) AS said_sha256 FROM documents""", "documents")
 def trace_texts(documents):
     thought = F.concat(F.lit("<think>"), "lang", F.lit("</think> "), "text")
     return documents.select("doc_id", F.regexp_count("text", F.lit("[A-Z][a-z]+")).cast("long").alias("names"), F.substring_index("text", "\n", -1).alias("last_line"), F.sha2(X.strip_thought(thought), 256).alias("said_sha256"))
 
 
-@query("X26", "SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, sha256(CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, 1, 800) || chr(10) || '...' || chr(10) || right(text, 1195) END) AS clamped_sha256 FROM documents", "documents")
+@query("X26", "SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, sha256(CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, 1, 200) || chr(10) || '...' || chr(10) || right(text, 1795) END) AS clamped_sha256 FROM documents", "documents")
 def clamped_texts(documents):
     return documents.select("doc_id", X.estimated_tokens(F.col("text")).cast("long").alias("tokens"), F.sha2(X.clamp(F.col("text"), 2000), 256).alias("clamped_sha256"))
 
 
-@query("X27", "SELECT doc_id, split_part(text, '. ', -1) AS focus FROM documents", "documents")
+FOCUS_SQL = "'one The input and output requirements are as follows: two ' || text || CASE WHEN doc_id % 2 = 0 THEN ' The input and output requirements are as follows: three ' || text || ' [PYTHON] four' ELSE '' END"
+
+
+@query("X27", f"""WITH t AS (SELECT doc_id, {FOCUS_SQL} AS t, 'The input and output requirements are as follows:' AS m FROM documents), a AS (SELECT doc_id, m || split_part(t, m, -1) AS t FROM t),
+c AS (SELECT doc_id, CASE WHEN contains(t, '[PYTHON]') THEN substr(t, greatest(0, length(t) - length(split_part(t, '[PYTHON]', -1)) - 8 - 2000) + 1) ELSE t END AS t FROM a)
+SELECT doc_id, sha256(CASE WHEN length(t) <= 10000 THEN t ELSE substr(t, 1, 800) || chr(10) || '...' || chr(10) || right(t, 9195) END) AS focus_sha256 FROM c""", "documents")
 def focus_texts(documents):
-    return documents.select("doc_id", F.substring_index("text", ". ", -1).alias("focus"))
+    """What a conversation says from its last task on."""
+    anchor = "The input and output requirements are as follows:"
+    more = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(f" {anchor} three "), "text", F.lit(" [PYTHON] four"))).otherwise("")
+    said = documents.select("doc_id", F.concat(F.lit(f"one {anchor} two "), "text", more).alias("said"))
+    return said.select("doc_id", F.sha2(X.latest_task(F.col("said")), 256).alias("focus_sha256"))
 
 
 @query("X34", "SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS month, (o_orderdate::DATE + 1) AS next_day, epoch(o_orderdate::DATE)::BIGINT AS midnight FROM orders", "orders")
@@ -142,7 +154,7 @@ def truncation_budgets(documents):
     return documents.select("doc_id", source.cast("long").alias("source"), target.cast("long").alias("target"))
 
 
-@query("X37 X38 W9 F8", """WITH c AS (SELECT conv_id, list(role ORDER BY turn) FILTER (role <> 'system') AS roles, max(text) FILTER (role = 'system') AS system FROM conversations GROUP BY conv_id)
+@query("X38 W9", """WITH c AS (SELECT conv_id, list(role ORDER BY turn) FILTER (role <> 'system') AS roles, max(text) FILTER (role = 'system') AS system FROM conversations GROUP BY conv_id)
 SELECT conv_id, coalesce(length(system), 0)::BIGINT AS system_chars, len(roles)::BIGINT AS n, list_bool_and(list_transform(roles, lambda r, i: r = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) AND len(roles) % 2 = 0 AS aligned FROM c""", "conversations")
 def aligned_chats(conversations):
     turn = F.when(F.col("role") != "system", F.struct("turn", "role"))
@@ -151,21 +163,22 @@ def aligned_chats(conversations):
     return c.select("conv_id", F.coalesce(F.length("system"), F.lit(0)).cast("long").alias("system_chars"), F.size("turns").cast("long").alias("n"), (F.forall(parity, lambda x: x) & (F.size("turns") % 2 == 0)).alias("aligned"))
 
 
-@query("X46 X49 X53", """WITH c AS (SELECT conv_id, sum(length(text)) AS total, sum(length(text)) FILTER (role = 'assistant') AS learned, arg_max(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END, turn) AS last FROM conversations GROUP BY conv_id)
+@query("X46", """WITH c AS (SELECT conv_id, sum(length(text)) AS total, sum(length(text)) FILTER (role = 'assistant') AS learned, arg_max(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END, turn) AS last FROM conversations GROUP BY conv_id)
 SELECT conv_id, (total - coalesce(learned, 0))::BIGINT AS ignored, coalesce(learned, 0)::BIGINT AS learned, last::BIGINT AS last_only FROM c""", "conversations")
 def label_masks(conversations):
     n, said = F.length("text"), F.col("role") == "assistant"
     return conversations.groupBy("conv_id").agg(F.sum(F.when(~said, n).otherwise(0)).alias("ignored"), F.sum(F.when(said, n).otherwise(0)).alias("learned"), F.max_by(F.when(said, n).otherwise(0), "turn").cast("long").alias("last_only"))
 
 
-@query("X48 A28 W12", """WITH o AS (SELECT doc_id, source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS off FROM documents)
-SELECT source, (off // 4096)::BIGINT AS block, count(*)::BIGINT AS docs, min(off)::BIGINT AS first_offset FROM o GROUP BY ALL""", "documents")
+@query("X48 A28 W12", """WITH o AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS off FROM documents), w AS (SELECT sum(n_chars) // 4096 AS whole FROM documents),
+p AS (SELECT doc_id, off, n_chars, unnest(range((off // 4096)::BIGINT, ((off + n_chars - 1) // 4096 + 1)::BIGINT)) AS block FROM o WHERE n_chars > 0)
+SELECT block::BIGINT AS block, count(*)::BIGINT AS pieces, sum(least(off + n_chars, (block + 1) * 4096) - greatest(off, block * 4096))::BIGINT AS length, min(doc_id) AS first FROM p, w WHERE block < whole GROUP BY block""", "documents")
 def pretrain_blocks(documents):
-    off = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id")) - F.col("n_chars")
-    return documents.select("source", off.alias("off")).groupBy("source", F.expr("off div 4096").alias("block")).agg(F.count("*").alias("docs"), F.min("off").alias("first_offset"))
+    """All texts end to end, cut into blocks of 4096; the tail is dropped."""
+    return sft.blocks(documents, "doc_id", "n_chars", 4096).groupBy("block").agg(F.count("*").alias("pieces"), F.sum("length").alias("length"), F.min("doc_id").alias("first"))
 
 
-@query("X51 S20", "SELECT item_id, sha256('Q: ' || text || chr(10) || 'A. ' || length(text) || chr(10) || 'B. ' || item_id || chr(10) || 'Answer:') AS prompt_sha256, chr((65 + item_id % 4)::INT) AS letter FROM benchmark", "benchmark")
+@query("X51", "SELECT item_id, sha256('Q: ' || text || chr(10) || 'A. ' || length(text) || chr(10) || 'B. ' || item_id || chr(10) || 'Answer:') AS prompt_sha256, chr((65 + item_id % 4)::INT) AS letter FROM benchmark", "benchmark")
 def choice_prompts(benchmark):
     prompt = F.concat(F.lit("Q: "), "text", F.lit("\nA. "), F.length("text").cast("string"), F.lit("\nB. "), F.col("item_id").cast("string"), F.lit("\nAnswer:"))
     return benchmark.select("item_id", F.sha2(prompt, 256).alias("prompt_sha256"), F.chr(65 + F.col("item_id") % 4).alias("letter"))
@@ -203,7 +216,8 @@ def interleaved_sources(documents, benchmark):
 @query("U3 G8 G9", "SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents GROUP BY text", "documents")
 def keep_first(documents):
     """Keep-first dedup as an aggregate: copies fold before the shuffle, so a hot text is no hot task."""
-    return documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    digest = F.sha2("text", 256)  # what is shuffled in the text's place
+    return documents.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query("U4", "SELECT min(event_id) AS event_id, props FROM events GROUP BY props", "events")
@@ -237,7 +251,7 @@ def variant_verdicts(events):
     return events.select("event_id", status.alias("status"))
 
 
-@query("X41 X44 X45 S16", """WITH c AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) WHEN 'assistant' THEN text || '<|im_end|>' || chr(10) ELSE '<|im_start|>system' || chr(10) || text || '<|im_end|>' || chr(10) END, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+@query("X41", """WITH c AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) WHEN 'assistant' THEN text || '<|im_end|>' || chr(10) ELSE '<|im_start|>system' || chr(10) || text || '<|im_end|>' || chr(10) END, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, sha256(t) AS text_sha256 FROM c""", "conversations")
 def rendered_chats(conversations):
     from losslens.operators.templates import render
@@ -246,7 +260,7 @@ def rendered_chats(conversations):
     return chat.select("conv_id", F.sha2(render("chatml", F.col("chat")), 256).alias("text_sha256"))
 
 
-@query("S18 S19", """WITH c AS (SELECT conv_id, count(*) FILTER (role <> 'system') AS n FROM conversations GROUP BY conv_id) SELECT conv_id, n::BIGINT AS n, n::BIGINT AS turns FROM c""", "conversations")
+@query("S18", """WITH c AS (SELECT conv_id, count(*) FILTER (role <> 'system') AS n FROM conversations GROUP BY conv_id) SELECT conv_id, n::BIGINT AS n, n::BIGINT AS turns FROM c""", "conversations")
 def transcripts(conversations):
     """Conversations written as transcripts and parsed again."""
     from losslens.operators.templates import transcript_turns
@@ -257,7 +271,7 @@ def transcripts(conversations):
     return c.select("conv_id", "n", F.size(transcript_turns(text)).cast("long").alias("turns"))
 
 
-@query("T10 X51", "SELECT item_id AS id, least(3, (SELECT count(*) FROM documents d WHERE d.doc_id % 5 = item_id % 5))::BIGINT AS n_shots FROM benchmark", "benchmark", "documents")
+@query("T10", "SELECT item_id AS id, least(3, (SELECT count(*) FROM documents d WHERE d.doc_id % 5 = item_id % 5))::BIGINT AS n_shots FROM benchmark", "benchmark", "documents")
 def few_shot_prompts(benchmark, documents):
     from losslens.operators.templates import few_shot
 
@@ -276,7 +290,7 @@ def padded_batches(embeddings):
     return embeddings.select("vec_id", F.size(ids).cast("long").alias("n"), F.greatest(F.size(padded(labels, F.lit(80), -100)), F.lit(80)).cast("long").alias("padded"), ignored.cast("long").alias("ignored"))
 
 
-@query("D3 D4 F1", "SELECT item_id, true AS ok FROM benchmark", "benchmark")
+@query("D3 D4", "SELECT item_id, true AS ok FROM benchmark", "benchmark")
 def codec_traces(benchmark):
     """Traces of run-length encoding of each benchmark text end with the returned value."""
     from losslens.functions import codecs, traces

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from losslens.functions.answers import MISSING, extract_scalar
+from losslens.functions.text import with_budget
 from losslens.sources.files import reload
 
 
@@ -62,19 +67,65 @@ class ModelClient:
         return [(p.splitlines() or [""])[-1] for p in prompts]
 
 
-def call_model(rows: DataFrame, client: ModelClient, prompt: str = "prompt", answer: str = "answer", batch: int = 64) -> DataFrame:
-    """Rows with the client's answers, asked for in batches inside each partition; repartition rows to bound concurrency."""
+def ask(client: ModelClient, prompts: list[str], workers: int, tries: int, pause: float) -> list[str | None]:
+    """The client's answers in order, ``workers`` prompts at a time; one that fails ``tries`` times, with a pause between, has none."""
+
+    def one(prompt: str) -> str | None:
+        for left in reversed(range(tries)):
+            try:
+                return client.complete([prompt])[0]
+            except Exception:  # a client's own errors: the next try may do
+                if left:
+                    time.sleep(pause)
+        return None
+
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(one, prompts))
+
+
+def call_model(rows: DataFrame, client: ModelClient, prompt: str = "prompt", answer: str = "answer", batch: int = 64, workers: int = 1, tries: int = 2, pause: float = 5.0) -> DataFrame:
+    """Rows with the client's answers: in batches inside each partition, or with ``workers`` prompts at a time in each.
+
+    The partitions of rows times ``workers`` bound the calls that run at once.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             texts = pdf[prompt].fillna("").tolist()
-            answers = [a for at in range(0, len(texts), batch) for a in client.complete(texts[at : at + batch])]
+            if workers > 1:
+                answers = ask(client, texts, workers, tries, pause)
+            else:
+                answers = [a for at in range(0, len(texts), batch) for a in client.complete(texts[at : at + batch])]
             yield pdf.assign(**{answer: answers})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, f"{kinds}, `{answer}` string")
 
 
+# What a model is asked to bring an answer into its form.
+REPAIR_SYSTEM = 'You must output ONLY:\n[ANSWER]\n{"output": <value>}\n[/ANSWER]\nNo other text, code, or explanations.'
+REPAIR_USER = ("Rewrite into the required format. If it already contains the needed value, keep it.\n------\n", "\n------")
+
+
+def repair_formats(rows: DataFrame, client: ModelClient, text: str = "text", context: int = 4096, answer: int = 256, margin: int = 128, most_chars: int = 8000, per_token: float = 2.0, workers: int = 4, pause: float = 0.1) -> DataFrame:
+    """Rows with ``value``, the plain answer in their text as JSON; texts without one are first given to the model to reformat, within its budget.
+
+    ``repaired`` says so; a text that has none even then has a null value.
+    """
+
+    @F.pandas_udf("string")
+    def value(said: pd.Series) -> pd.Series:
+        found = [MISSING if t is None else extract_scalar(t) for t in said]
+        return pd.Series([None if x is MISSING else json.dumps(x) for x in found], dtype=object)
+
+    read = rows.withColumn("value", value(text))
+    asked = read.where(F.col("value").isNull()).withColumn("_system", F.lit(REPAIR_SYSTEM)).withColumn("_user", F.concat(F.lit(REPAIR_USER[0]), F.coalesce(text, F.lit("")), F.lit(REPAIR_USER[1])))
+    asked = with_budget(asked, "_system", "_user", context, answer, margin, most_chars, per_token).withColumn("_prompt", F.concat("_system", F.lit("\n"), "_user"))
+    fixed = call_model(asked, client, "_prompt", "_fixed", workers=workers, pause=pause).withColumn("value", value("_fixed"))
+    names = [*rows.columns, "value"]
+    return read.where(F.col("value").isNotNull()).select(*names, F.lit(False).alias("repaired")).unionByName(fixed.select(*names, F.lit(True).alias("repaired")))
+
+
 def reflect(rows: DataFrame, client: ModelClient, score: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, int], DataFrame], rounds: int = 3) -> DataFrame:
     """Critique and revise: every round takes all unresolved rows at once.
 

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from losslens.plans import catalog
-from tests.conftest import SMALL
+from tests.conftest import SMALL, faded
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -52,14 +52,12 @@ def test_knapsack_bins_hold_each_row_once(spark):
 
 
 def test_smoothed_series(spark):
-    from losslens.operators.sft import smooth
-
     rows = sorted(map(tuple, catalog.QUERIES["smoothed_series"](spark, SMALL).collect()))
     series = {}
     for user, event, value, got in rows:
         series.setdefault(user, []).append((value, got))
     for points in series.values():
-        assert [g for _, g in points] == pytest.approx(smooth([v for v, _ in points]))
+        assert [g for _, g in points] == pytest.approx(faded([v for v, _ in points]))
 
 
 def test_round_trips(spark):
