@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from losslens.session import spread
 from losslens.sources.saved import delete, fresh
 from losslens.sources.saved import saved as save
 
@@ -72,4 +73,4 @@ def bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
