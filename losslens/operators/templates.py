@@ -41,10 +41,10 @@ def register(name: str, template: Template) -> None:
 
 
 # The formats of common templates.
-register("default", Template("Human: {{content}}", "\nAssistant:{{content}}\n", "System: {{content}}\n"))
-register("alpaca", Template("### Instruction:\n{{content}}\n\n### Response:\n", "{{content}}\n\n", "{{content}}\n\n"))
+register("default", Template("Human: {{content}}{{eos}}\nAssistant:", "{{content}}{{eos}}\n", "System: {{content}}{{eos}}\n"))
+register("alpaca", Template("### Instruction:\n{{content}}\n\n### Response:\n", "{{content}}{{eos}}\n\n", default_system="Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n"))
 register("chatml", Template("<|im_start|>user\n{{content}}<|im_end|>\n<|im_start|>assistant\n", "{{content}}<|im_end|>\n", "<|im_start|>system\n{{content}}<|im_end|>\n", observation="<|im_start|>tool\n{{content}}<|im_end|>\n<|im_start|>assistant\n"))
-register("llama3", Template("<|start_header_id|>user<|end_header_id|>\n\n{{content}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "{{content}}<|eot_id|>", "<|start_header_id|>system<|end_header_id|>\n\n{{content}}<|eot_id|>", "<|begin_of_text|>"))
+register("llama3", Template("<|start_header_id|>user<|end_header_id|>\n\n{{content}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "{{content}}<|eot_id|>", "<|start_header_id|>system<|end_header_id|>\n\n{{content}}<|eot_id|>", "{{bos}}", observation="<|start_header_id|>ipython<|end_header_id|>\n\n{{content}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n"))
 register("vicuna", Template("USER: {{content}} ASSISTANT:", default_system="A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."))
 register("llama2", Template("{{bos}}[INST] {{content}} [/INST]", system="<<SYS>>\n{{content}}\n<</SYS>>\n\n", inside=True))
 register("mistral", Template("[INST] {{content}}[/INST]", " {{content}}{{eos}}", "{{content}}\n\n", "{{bos}}", observation='[TOOL_RESULTS] {"content": {{content}}}[/TOOL_RESULTS]', function="[TOOL_CALLS] {{content}}{{eos}}", inside=True))

@@ -9,7 +9,6 @@ from losslens.functions import codecs
 from losslens.operators import sft
 from losslens.plans.registry import query
 from losslens.session import spread
-from losslens.sources import generators
 
 
 @query("C1 C2", None, "documents")
@@ -83,8 +82,3 @@ def text_metrics(conversations):
         return pd.DataFrame(rows, columns=["bleu", "rouge1", "rouge2", "rouge_l"])
 
     return pairs.select("conv_id", metrics("text", "asked").alias("m")).groupBy("conv_id").agg(*[F.avg(f"m.{c}").alias(c) for c in ("bleu", "rouge1", "rouge2", "rouge_l")])
-
-
-@query("G1 G3 G4 G7 G8", None, "region")
-def generated_samples(region):
-    return generators.mixed(region.sparkSession, 2000)

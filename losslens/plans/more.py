@@ -11,17 +11,6 @@ from losslens.streaming.incremental import ModelClient, call_model
 CODE = {("rle", False): "def rle(x): ...", ("rle", True): "def f(x): ...", ("lzw", False): "def lzw(x): ...", ("lzw", True): "def g(x): ..."}
 CODE_SQL = "code(algo, blind, text) AS (VALUES " + ", ".join(f"('{a}', {b}, '{t}')" for (a, b), t in CODE.items()) + ")"
 REGISTRY = [("click", "small", "api"), ("view", "large", "local"), ("purchase", "large", None), ("signup", None, "api"), ("logout", None, None)]
-#: Replacements by which a base document is varied, in turn.
-CHANGES = [("a", "b"), (".", ";"), (" ", "_"), ("e", "3"), ("\n", " "), ("t", "T"), ("o", "0"), (",", " ,"), ("s", "z"), ("n", "m")]
-
-
-@query("G6", "SELECT doc_id, sha256(CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN replace(text, " + ("chr(10)" if a == "\n" else f"'{a}'") + f", '{b}')" for i, (a, b) in enumerate(CHANGES)) + " END) AS varied_sha256 FROM documents", "documents")
-def varied_documents(documents):
-    case = None
-    for i, (a, b) in enumerate(CHANGES):
-        one = F.replace("text", F.lit(a), F.lit(b))
-        case = F.when(F.col("doc_id") % 10 == i, one) if case is None else case.when(F.col("doc_id") % 10 == i, one)
-    return documents.select("doc_id", F.sha2(case, 256).alias("varied_sha256"))
 
 
 @query("P6 P10 P11 P12 J2", f"WITH {CODE_SQL} SELECT item_id, c.text || chr(10) || 'def decode(x): ...' AS refcode, CASE WHEN item_id % 3 = 0 THEN 'raw' ELSE 'Input is base64. ' || 'raw' END AS io_req FROM benchmark b JOIN code c ON c.algo = CASE WHEN item_id % 2 = 0 THEN 'rle' ELSE 'lzw' END AND c.blind = (item_id % 5 = 0)", "benchmark")

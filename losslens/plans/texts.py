@@ -78,18 +78,18 @@ def length_filter(documents):
     return documents.groupBy("lang").agg(F.count_if(n <= 4000).alias("fits"), F.count_if(n > 4000).alias("too_long"))
 
 
-@query("F14", "SELECT page_id, len(regexp_extract_all(html, '<p')) ::BIGINT AS marks, (len(regexp_extract_all(html, '<p')) = len(regexp_extract_all(html, '</p>'))) AS balanced FROM pages", "pages")
+@query("", "SELECT page_id, len(regexp_extract_all(html, '<p')) ::BIGINT AS marks, (len(regexp_extract_all(html, '<p')) = len(regexp_extract_all(html, '</p>'))) AS balanced FROM pages", "pages")
 def media_counts(pages):
     a, b = F.regexp_count("html", F.lit("<p")), F.regexp_count("html", F.lit("</p>"))
     return pages.select("page_id", a.cast("long").alias("marks"), (a == b).alias("balanced"))
 
 
-@query("S7 X54", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '([^/?#]*)$', 1) AS leaf, regexp_replace(url, '^https?://', '') AS bare FROM pages", "pages")
+@query("", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '([^/?#]*)$', 1) AS leaf, regexp_replace(url, '^https?://', '') AS bare FROM pages", "pages")
 def path_columns(pages):
     return pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "([^/?#]*)$", 1).alias("leaf"), F.regexp_replace("url", "^https?://", "").alias("bare"))
 
 
-@query("S1 S3 X3 X32", "SELECT event_id, (props->>'k')::BIGINT AS k, json_valid(props) AS valid FROM events", "events")
+@query("S1 S3 X32", "SELECT event_id, (props->>'k')::BIGINT AS k, json_valid(props) AS valid FROM events", "events")
 def lenient_json(events):
     parsed = F.from_json("props", "k long")
     return events.select("event_id", parsed["k"].alias("k"), F.expr("try_parse_json(props) is not null").alias("valid"))
@@ -236,21 +236,6 @@ def reverse_complements(benchmark):
     return benchmark.select("item_id", X.reverse_complement(F.col("text")).alias("rc"))
 
 
-@query("G5", "SELECT event_id, format('[{}] {}: user {}', event_type, event_id, user_id) AS line, CASE WHEN value > 90 THEN 'slow' WHEN event_type = 'purchase' THEN 'sale' WHEN user_id % 10 = 0 THEN 'sampled' ELSE 'plain' END AS category FROM events", "events")
-def log_lines(events):
-    category = F.when(F.col("value") > 90, "slow").when(F.col("event_type") == "purchase", "sale").when(F.col("user_id") % 10 == 0, "sampled").otherwise("plain")
-    return events.select("event_id", F.format_string("[%s] %d: user %d", "event_type", "event_id", "user_id").alias("line"), category.alias("category"))
-
-
-@query("X19 X20 X21", r"""WITH v AS (SELECT event_id, event_id::VARCHAR || ',' || user_id AS expected, CASE WHEN event_id % 5 = 0 THEN event_id::VARCHAR || ';' || user_id WHEN event_id % 7 = 0 THEN event_id::VARCHAR || ', ' || (user_id + 1) ELSE event_id::VARCHAR || ', ' || user_id END AS pred FROM events)
-SELECT event_id, CASE WHEN NOT regexp_full_match(pred, '\s*\d+(\s*,\s*\d+)*\s*') THEN 'no answer' WHEN replace(pred, ' ', '') = expected THEN 'correct' ELSE 'wrong' END AS status FROM v""", "events")
-def variant_verdicts(events):
-    a, b = F.col("event_id").cast("string"), F.col("user_id")
-    pred = F.when(F.col("event_id") % 5 == 0, F.concat(a, F.lit(";"), b.cast("string"))).when(F.col("event_id") % 7 == 0, F.concat(a, F.lit(", "), (b + 1).cast("string"))).otherwise(F.concat(a, F.lit(", "), b.cast("string")))
-    status = F.when(~pred.rlike(r"^\s*\d+(\s*,\s*\d+)*\s*$"), "no answer").when(F.replace(pred, F.lit(" ")) == F.concat(a, F.lit(","), b.cast("string")), "correct").otherwise("wrong")
-    return events.select("event_id", status.alias("status"))
-
-
 @query("X41", """WITH c AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) WHEN 'assistant' THEN text || '<|im_end|>' || chr(10) ELSE '<|im_start|>system' || chr(10) || text || '<|im_end|>' || chr(10) END, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, sha256(t) AS text_sha256 FROM c""", "conversations")
 def rendered_chats(conversations):

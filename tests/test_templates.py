@@ -27,9 +27,9 @@ def test_packed_masks_and_padding(spark):
 def test_rendering_and_transcripts(spark):
     rows = spark.createDataFrame([("Human: hi\nAssistant: yo Human: more",)], "t string")
     got = rows.select(T.transcript_turns(F.col("t")).alias("x")).first().x
-    assert [(r.role, r.content) for r in got] == [("user", "hi\n"), ("assistant", "yo"), ("user", "more")] or [(r.role, r.content.strip()) for r in got] == [("user", "hi"), ("assistant", "yo"), ("user", "more")]
+    assert [(r.role, r.content.strip()) for r in got] == [("user", "hi"), ("assistant", "yo"), ("user", "more")]
     chat = F.array(F.struct(F.lit("user").alias("role"), F.lit("q").alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("a").alias("content")))
-    assert rows.select(T.render("alpaca", chat, F.lit("s")).alias("x")).first().x == "s\n\n### Instruction:\nq\n\n### Response:\na\n\n"
+    assert rows.select(T.render("alpaca", chat, F.lit("s"), eos="</s>").alias("x")).first().x == "s### Instruction:\nq\n\n### Response:\na</s>\n\n"
 
 
 def test_traces():
