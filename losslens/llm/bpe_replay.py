@@ -247,7 +247,9 @@ def bpe_encode_decode(
     """Encode each text and decode the ids again.
 
     A null text counts as empty: no ids, empty decoded bytes.  Rows are kept as
-    they are, repeated rows and null ids too; other columns are dropped.
+    they are, repeated rows and null ids too; other columns are dropped whatever
+    their names.  A text longer than a block is a block of its own, which is
+    then as large as that text.
 
     digests=False returns (id, ids array<int>, decoded binary); digests=True
     returns (doc_id, n_tokens, ids_sha256, decoded_sha256).

@@ -80,10 +80,11 @@ def by_language(lang: Column, per: dict[str, Column]) -> Column:
     return out.otherwise(F.least(*per.values()))
 
 
-def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_words: int = 50) -> DataFrame:
     """All columns of docs and a struct ``__quality`` with the base counts, the distances and the verdict.
 
-    A null text has no words and fails.  Docs without a language column are
+    A text of fewer than ``least_words`` words fails, and one most of whose
+    words lie in repeated windows; a null text has no words.  Docs without a language column are
     compared with every reference, and the least distance counts.  Columns of
     docs keep their values whatever their names, but for names of the
     operator's own, which begin with two underscores.
@@ -113,7 +114,7 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long").alias("__n_dup_lines"),
         fenced(repeated_words(F.col("__w"))).alias("__n_repeat_words"),
     )
-    failed = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
+    failed = (F.col("__n_words") < least_words) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
     class_far = by_language(lang, {k: distance(F.col("__c.classes"), v) for k, v in CLASSES.items()})
     word_far = by_language(lang, {k: distance(F.transform(F.concat(F.get("__c.common", F.lit(i)), F.array(F.col("__n_words").cast("double") - F.aggregate(F.get("__c.common", F.lit(i)), F.lit(0.0), lambda a, x: a + x))), lambda x: x), (*v.values(), 1 - sum(v.values()))) for i, (k, v) in enumerate(COMMON.items())})
     judged = base.select(*keep, *[F.col(c) for c in base.columns if c.startswith("__n_") or c == "__word_chars"], fenced(failed).alias("__failed"), F.col("__c.n").alias("__n"), fenced(class_far).alias("__class"), fenced(word_far).alias("__word"))
@@ -146,11 +147,15 @@ def by_words(w: Column, lang: Column) -> Column:
     return F.array(*[F.when((lang == k) | ~F.coalesce(known, F.lit(False)), counts(list(v))).otherwise(zero(v)) for k, v in COMMON.items()])
 
 
-def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_words: int = 50) -> DataFrame:
     """doc_id and the fields of ``__quality`` for every row."""
-    return with_quality(docs, text_col, lang_col).select("doc_id", "__quality.*")
+    return with_quality(docs, text_col, lang_col, least_words).select("doc_id", "__quality.*")
 
 
-def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that are kept, all their columns as they were; null and empty texts go, repeated rows stay or go together."""
-    return with_quality(docs, text_col, lang_col).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_words: int = 50) -> DataFrame:
+    """The rows that are kept, all their columns as they were; texts without words go, repeated rows stay or go together.
+
+    With ``least_words`` of 1 short texts are judged by their repeats only: the
+    histograms have least lengths of their own.
+    """
+    return with_quality(docs, text_col, lang_col, least_words).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -343,7 +343,7 @@ def score_texts(machine: Machine | None, texts: list[bytes]) -> np.ndarray:
 
 
 def drop_toxic(docs: DataFrame, machine: Machine | None, threshold: float = 0.7) -> DataFrame:
-    """The rows whose text scores below ``threshold``, all their columns as they were."""
+    """The rows whose text scores below ``threshold``, all their columns as they were; null and empty texts score as texts without strings and stay, repeated rows stay or go together."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
