@@ -18,6 +18,8 @@ WHITE = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 4 << 20
 
 
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1000
 #: A key is hot beyond this many rows, and beyond one part in HOT_KEYS of all; so there are never more than HOT_KEYS hot keys.
 HOT_ROWS, HOT_KEYS = 64, 1000
 
@@ -72,5 +74,13 @@ def bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let the session pass at most so many rows at a time to Python workers: whole texts may be long, and a batch lies in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
