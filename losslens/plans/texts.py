@@ -41,16 +41,16 @@ def character_frequencies(documents):
 def text_variants(documents):
     raw = F.encode("text", "UTF-8")
     sha = lambda x: F.sha2(x, 256)
-    return documents.select("doc_id", sha(X.base64_line(raw)).alias("base64_sha256"), sha(X.hex_lower(raw)).alias("hex_sha256"), sha(X.codepoints(F.col("text"))).alias("codepoints_sha256"))
+    return spread(documents).select("doc_id", sha(X.base64_line(raw)).alias("base64_sha256"), sha(X.hex_lower(raw)).alias("hex_sha256"), sha(X.codepoints(F.col("text"))).alias("codepoints_sha256"))
 
 
-FILLED_SQL = "replace(replace(replace(replace(replace('" + P.TEMPLATE + "', '<<<<query>>>>', text), '<<<<io_req>>>>', 'io of ' || code), '<<<<refcode>>>>', 'def ' || code || '(x): ...'), '<<<<input>>>>', substr(text, 1, 40)), '<<<<return_type>>>>', 'list')"
+FILLED_SQL = "replace(replace(replace(replace(replace('" + P.TEMPLATE + "', '<<<<query>>>>', text), '<<<<io_req>>>>', 'io of ' || code), '<<<<refcode>>>>', 'def ' || code || '(x): ...'), '<<<<input>>>>', text), '<<<<return_type>>>>', 'list')"
 
 
 @query("P1 P2 P3 P4 P7 P13 P14 X33", "WITH t(n_task, io_pred, code) AS (VALUES " + ", ".join(f"({i}, '{t}', '{P.TASK_CODE[t]}')" for i, t in enumerate(TASKS)) + f") SELECT format('{{}}_0_{{}}', item_id, n_task) AS id, io_pred, length({FILLED_SQL})::BIGINT AS n, sha256({FILLED_SQL}) AS prompt_sha256 FROM benchmark CROSS JOIN t", "benchmark")
 def task_prompts(benchmark):
     rows = P.fan_out(benchmark)
-    values = {"query": F.col("text"), "io_req": F.concat(F.lit("io of "), "code"), "refcode": F.concat(F.lit("def "), "code", F.lit("(x): ...")), "input": F.substring("text", 1, 40), "return_type": F.lit("list")}
+    values = {"query": F.col("text"), "io_req": F.concat(F.lit("io of "), "code"), "refcode": F.concat(F.lit("def "), "code", F.lit("(x): ...")), "input": F.col("text"), "return_type": F.lit("list")}
     prompt = P.fill(P.TEMPLATE, values)
     return rows.select(F.format_string("%d_0_%d", "item_id", "n_task").alias("id"), "io_pred", F.length(prompt).cast("long").alias("n"), F.sha2(prompt, 256).alias("prompt_sha256"))
 
@@ -95,7 +95,7 @@ def lenient_json(events):
     return events.select("event_id", parsed["k"].alias("k"), F.expr("try_parse_json(props) is not null").alias("valid"))
 
 
-@query("X1 X6", r"""WITH g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'first [ANSWER]{{"output": 0}}[/ANSWER] then ' || substr(text, 1, 200) || ' [answer] {{"output": ' || doc_id || '}} [/answer]' ELSE substr(text, 1, 200) END AS t FROM documents),
+@query("X1 X6", r"""WITH g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'first [ANSWER]{{"output": 0}}[/ANSWER] then ' || text || ' [answer] {{"output": ' || doc_id || '}} [/answer]' ELSE text END AS t FROM documents),
 a AS (SELECT doc_id, trim(regexp_extract_all(t, '(?is)\[ANSWER\](.*?)\[/ANSWER\]', 1)[-1]) AS answer FROM g)
 SELECT doc_id, replace(replace(answer, '{{', '{'), '}}', '}') AS answer, (replace(replace(answer, '{{', '{'), '}}', '}')->>'output')::BIGINT AS output FROM a""", "documents")
 def extracted_answers(documents):
