@@ -18,8 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from losslens.sources.files import read_files
 
-#: What stands around a model's name in the file names of its results.
-RESULT_PREFIX, RESULT_SUFFIX = "codeio_1k_gens_model_", "_verified.jsonl"
+#: What stands around a model's name in the file names of its results: a pattern before, a text after.
+RESULT_PREFIX, RESULT_SUFFIX = ".*_gens_model_", "_verified.jsonl"
 
 
 def write_named(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
