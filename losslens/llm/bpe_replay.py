@@ -1,11 +1,14 @@
-"""Byte-level BPE by merge replay over the distinct pre-tokens of a block of documents.
-
-Words of a block are laid out once in one linked list of symbols.  An inverted
-index maps each mergeable pair (by the rank of what it makes) to the positions
-where it stands.  Ranks are applied in order; a merge touches only its two
-neighbours, whose new pairs enter the index.  Blocks are bounded by bytes, so
-memory is bounded too, and no shuffle is needed: equal words give equal ids
-wherever they are replayed.
+"""Byte-level BPE by merge replay over the distinct pre-tokens of the whole corpus.
+
+A first pass cuts texts into pre-tokens and packs them, block by block, as
+codes: a token's id where a pre-token is a token, else the place of the
+pre-token among the block's distinct others.  Those are dealt into buckets by
+hash, so that equal words of all blocks meet in one place and are replayed
+once: they are laid out in one linked list of symbols, and an inverted index
+maps each mergeable pair (by the rank of what it makes) to the positions where
+it stands.  Ranks are applied in order; a merge touches only its two
+neighbours, whose new pairs enter the index.  The ids go back to the blocks,
+in the order in which the words came, and the texts' ids are read off.
 """
 
 from __future__ import annotations
@@ -13,20 +16,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from losslens.llm.common import slices, texts_of
+from losslens.llm.common import texts_of
 
-#: Most words kept between blocks of a task; beyond that the memory starts anew.
-KEPT_WORDS = 400_000
-#: Text of a block.
-BLOCK_BYTES = 8 << 20
+#: Text and rows of a block.
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
+#: Buckets of words for each shuffle partition; a bucket's distinct words lie in memory together.
+BUCKETS = 16
+#: Most words remembered in a bucket; beyond that the memory starts anew.
+KEPT_WORDS = 1_000_000
 NO_IDS = np.zeros(0, "<u4")
 
 
@@ -43,6 +50,7 @@ class MergeTable:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
+        self.base = max(ranks.values()) + 1
         self.byte_table = np.array(self.byte_ids)
         self.pair_keys = np.array(sorted(self.pairs))
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()])
@@ -221,24 +229,98 @@ def merge_table(path: str) -> MergeTable:
         return MergeTable({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-class BlockEncoder:
-    """Encodes texts block by block; words of earlier blocks are remembered up to KEPT_WORDS."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte planes apart, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    def __init__(self, table: MergeTable, pattern: str):
-        import regex
 
-        self.table, self.find, self.known = table, regex.compile(pattern).findall, {}
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), "u1")
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    """Words as their lengths and all their bytes."""
+    lengths, text = packed(np.fromiter(map(len, words), "<u4", len(words))), b"".join(words)
+    return len(lengths).to_bytes(8, "little") + lengths + len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    at = 8 + int.from_bytes(data[:8], "little")
+    text = pa.decompress(data[at + 8 :], int.from_bytes(data[at : at + 8], "little"), codec="zstd", asbytes=True)
+    ends = np.cumsum(unpacked(data[8:at]), dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class Codes(dict):
+    """Code of each pre-token: its id if it is a token, else ``base`` and its place among the others seen so far."""
+
+    def __init__(self, ranks: dict[bytes, int], base: int):
+        super().__init__()
+        self.ranks, self.base, self.others = ranks, base, []
+
+    def __missing__(self, word: str) -> int:
+        data = word.encode()
+        code = self.ranks.get(data)
+        if code is None:
+            code = self.base + len(self.others)
+            self.others.append(data)
+        self[word] = code
+        return code
+
+
+class Block:
+    """Texts of a block as codes; its other words lie in the order of their buckets."""
+
+    def __init__(self, table: MergeTable, find, buckets: int):
+        self.find, self.buckets, self.codes = find, buckets, Codes(table.ranks, table.base)
+        self.ids, self.texts, self.held = [], [], 0
+
+    def add(self, doc_id, text: str) -> None:
+        words = self.find(text)
+        self.ids.append(doc_id)
+        self.texts.append(np.fromiter(map(self.codes.__getitem__, words), "<u4", len(words)))
+        self.held += len(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        found = [self.find(t) for t in texts]
-        fresh = list(set().union(*found).difference(self.known))
-        for word, ids in zip(fresh, self.table.replay([w.encode() for w in fresh])):
-            self.known[word] = ids.tobytes()
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in found]
+    @property
+    def full(self) -> bool:
+        return self.held >= BLOCK_BYTES or len(self.ids) >= BLOCK_ROWS
+
+    def row(self) -> dict:
+        others, base = self.codes.others, self.codes.base
+        bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in others), np.int64, len(others))
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(others), "<u4")
+        place[order] = np.arange(len(others))
+        body = np.concatenate(self.texts) if self.texts else NO_IDS
+        other = body >= base
+        body[other] = base + place[body[other] - base]
+        parts, name = [], hashlib.blake2b(digest_size=16)
+        for group in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+            data = packed_words([others[i] for i in group.tolist()])
+            name.update(data)
+            parts.append({"bucket": int(bucket[group[0]]), "words": data})
+        sizes = packed(np.fromiter(map(len, self.texts), "<u4", len(self.texts)))
+        return {"block": name.digest(), "ids": self.ids, "sizes": sizes, "body": packed(body), "n_words": len(others), "parts": parts}
+
+
+def text_ids(table: MergeTable, sizes: bytes, body: bytes, words: int, parts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """Ids of each text of a block, given its words' ids in the order of the words."""
+    found = [unpacked(x) for x in parts]
+    lengths = np.concatenate([np.ones(table.base, np.int64), *(x[1 : 1 + int(x[0])] for x in found)]).astype(np.int64)
+    if len(lengths) != table.base + words:
+        raise ValueError("words of a block came back incomplete")
+    flat = np.concatenate([np.arange(table.base, dtype="<u4"), *(x[1 + int(x[0]) :] for x in found)])
+    begins = np.cumsum(lengths) - lengths
+    codes, at = unpacked(body), 0
+    for n in unpacked(sizes).tolist():
+        own = codes[at : at + n]
+        at += n
+        sizes_of = lengths[own]
+        ends = np.cumsum(sizes_of)
+        yield flat[np.repeat(begins[own] - ends + sizes_of, sizes_of) + np.arange(ends[-1] if n else 0)]
 
 
 def bpe_encode_decode(
@@ -248,30 +330,88 @@ def bpe_encode_decode(
 
     A null text counts as empty: no ids, empty decoded bytes.  Rows are kept as
     they are, repeated rows and null ids too; other columns are dropped whatever
-    their names.  A text longer than a block is a block of its own, which is
-    then as large as that text.
+    their names.  A text longer than a block is the last of its block, which is
+    then that much larger.
+
+    A block is named by its words, so blocks of equal words share the ids that
+    come back.  The number of buckets follows the shuffle partitions, so a
+    bucket's words stay as many when both the corpus and that setting grow.
 
     digests=False returns (id, ids array<int>, decoded binary); digests=True
     returns (doc_id, n_tokens, ids_sha256, decoded_sha256).
     """
-    schema = "doc_id {}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id {}, ids array<int>, decoded binary"
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given as numbers, as few bytes here mean much work
+    buckets = BUCKETS * partitions
+    schema = f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        table, find, block = merge_table(ranks_path), regex.compile(pattern).findall, None
+        shape = None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = merge_table(ranks_path)
-        encoder = BlockEncoder(table, pattern)
+        def close(block: Block) -> pa.RecordBatch:
+            row = block.row()
+            ids = pa.array([row.pop("ids")], pa.list_(shape))
+            rest = pa.RecordBatch.from_pylist([row], pa.schema({"block": pa.binary(), "sizes": pa.binary(), "body": pa.binary(), "n_words": pa.int64(), "parts": pa.list_(pa.struct({"bucket": pa.int64(), "words": pa.binary()}))}))
+            return pa.RecordBatch.from_arrays([rest.column(0), ids, *rest.columns[1:]], ["block", "ids", *rest.schema.names[1:]])
+
+        for batch in batches:
+            shape = batch.column(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1)):
+                block = block or Block(table, find, buckets)
+                block.add(doc_id, text)
+                if block.full:
+                    yield close(block)
+                    block = None
+        if block:
+            yield close(block)
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Takes whole rows of blocks, so that both readers of the exchange want the same columns and it is made once."""
         for batch in batches:
-            for part in slices(batch, 1, BLOCK_BYTES):
-                coded = encoder.encode(texts_of(part, 1))
-                ids = [np.frombuffer(x, "<u4") for x in coded]
-                decoded = [table.decode(x.tolist()) for x in ids]
-                if digests:
-                    sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
-                    rest = [pa.array([len(x) for x in ids], pa.int64()), sha(coded), sha(decoded)]
-                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    rest = [pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
-                    names = ["doc_id", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([part.column(0), *rest], names)
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema.format(kind))
+            names, parts = batch["block"], batch["parts"]
+            rows = pa.compute.list_parent_indices(parts)
+            flat = pa.compute.list_flatten(parts)
+            yield pa.RecordBatch.from_arrays([names.take(rows), *flat.flatten()], ["block", "bucket", "words"])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known, last = merge_table(ranks_path), {}, None
+        for batch in batches:
+            rows, start = batch.to_pylist(), 0
+            while start < len(rows):  # the rows of one bucket
+                bucket = rows[start]["bucket"]
+                end = next((i for i in range(start, len(rows)) if rows[i]["bucket"] != bucket), len(rows))
+                if bucket != last or len(known) > KEPT_WORDS:
+                    known, last = {}, bucket
+                words = [unpacked_words(r["words"]) for r in rows[start:end]]
+                fresh = list(set().union(*words).difference(known))
+                known.update(zip(fresh, table.replay(fresh)))
+                out = []
+                for group in words:
+                    ids = [known[w] for w in group]
+                    out.append(packed(np.concatenate([[len(ids)], [len(x) for x in ids], *ids])))
+                yield pa.RecordBatch.from_pydict({"block": [r["block"] for r in rows[start:end]], "bucket": [bucket] * len(out), "found": out}, pa.schema({"block": pa.binary(), "bucket": pa.int64(), "found": pa.binary()}))
+                start = end
+
+    def read_off(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        table, out = merge_table(ranks_path), {"ids": [], "decoded": []} if not digests else {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        by_bucket = dict(zip(found["bucket"].to_pylist(), found["found"].to_pylist()))
+        parts = [by_bucket[b] for b in sorted(by_bucket)]
+        for row in blocks.select(["sizes", "body", "n_words"]).to_pylist():
+            for ids in text_ids(table, row["sizes"], row["body"], row["n_words"], parts):
+                decoded = table.decode(ids.tolist())
+                values = (ids.astype("i4"), decoded) if not digests else (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                for column, value in zip(out.values(), values):
+                    column.append(value)
+        kinds = {"ids": pa.list_(pa.int32()), "decoded": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+        doc_ids = blocks["ids"].combine_chunks().flatten()
+        return pa.table({"doc_id": doc_ids} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    blocks = texts.mapInArrow(cut, f"block binary, ids array<{kind}>, sizes binary, body binary, n_words long, parts array<struct<bucket: bigint, words: binary>>").repartition(partitions, "block")
+    words = blocks.mapInArrow(parts_of, "block binary, bucket long, words binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    found = words.mapInArrow(replay, "block binary, bucket long, found binary")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(read_off, schema)
