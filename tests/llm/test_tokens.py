@@ -47,6 +47,42 @@ def test_encode_decode(spark, docs, no_docs, plain):
             assert r.ids == plain.encode_ordinary(bytes(r.decoded).decode())
 
 
+def test_words_of_blocks_come_back_in_place(plain):
+    """Two blocks that share words: codes, buckets and ids put together by hand, without Spark."""
+    import regex
+
+    table, find = bpe_replay.merge_table(RANKS), regex.compile(P.PATTERN).findall
+    texts = [["xyzzyq plughq the xyzzyq", "", "Straßenq \U0001f600q\n\n"], ["plughq xyzzyq", "the the"], [""]]
+    rows = []
+    for block_texts in texts:
+        block = bpe_replay.Block(table, find, 7)
+        for n, text in enumerate(block_texts):
+            block.add(n, text)
+        rows.append(block.row())
+    words = {w for row in rows for p in row["parts"] for w in bpe_replay.unpacked_words(p["words"])}
+    assert words == {x.encode() for block_texts in texts for t in block_texts for x in find(t)} - table.ranks.keys()
+    assert all(zlib.crc32(w) % 7 == p["bucket"] for row in rows for p in row["parts"] for w in bpe_replay.unpacked_words(p["words"]))
+    for row, block_texts in zip(rows, texts):
+        found = []
+        for part in row["parts"]:
+            ids = table.replay(bpe_replay.unpacked_words(part["words"]))
+            found.append(bpe_replay.packed(np.concatenate([[len(ids)], [len(x) for x in ids], *ids])))
+        assert [x.tolist() for x in bpe_replay.text_ids(table, row["sizes"], row["body"], row["n_words"], found)] == [plain.encode_ordinary(t) for t in block_texts]
+        if found:
+            with pytest.raises(ValueError):
+                list(bpe_replay.text_ids(table, row["sizes"], row["body"], row["n_words"], found[1:]))
+
+
+def test_equal_blocks_share_their_ids(spark, plain):
+    """Every partition holds the same texts, so all blocks have one name; string ids, some null, stay as they are."""
+    texts = ["zqxjv kwyzzt zqxjv", None, "", "kwyzzt"] * 4
+    rows = spark.createDataFrame([(None if i % 4 == 3 else str(i), t, "clash") for i, t in enumerate(texts)], "doc_id string, text string, block string").coalesce(1)
+    rows = rows.unionAll(rows).unionAll(rows)
+    got = bpe_replay.bpe_encode_decode(rows, RANKS, P.PATTERN, digests=False).collect()
+    want = [(None if i % 4 == 3 else str(i), plain.encode_ordinary(t or "")) for i, t in enumerate(texts)] * 3
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == sorted((str(i), ids) for i, ids in want)
+
+
 def test_op3_whole_table(spark, plain):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = op3_bpe_merge_replay(spark, SMALL).collect()
