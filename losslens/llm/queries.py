@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from losslens.llm import bpe_replay, hmm, line_dedup, media_archive, packing, quality, reply_trees, simhash, token_count, toxicity
-from losslens.llm.common import documents
+from losslens.llm import bpe_replay, hmm, line_dedup, media_archive, packing, quality, reply_trees, simhash, token_count, toxicity, turn_repair
+from losslens.llm.common import bound_batches, documents
 
 RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 SPECIALS = {"<|endoftext|>": 50256}
@@ -67,6 +67,11 @@ def op10_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), vocabulary(WORD_BPE))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return turn_repair.repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_hidden_markov_scores, op2_sum_of_squares_packing, op3_bpe_merge_replay, op4_string_kernel_toxicity, op5_reply_tree_chat, op6_divergence_quality, op7_simhash_blocks, op8_media_archives, op9_bloom_line_dedup, op10_whole_token_counts, pipeline]
+    own = [op1_hidden_markov_scores, op2_sum_of_squares_packing, op3_bpe_merge_replay, op4_string_kernel_toxicity, op5_reply_tree_chat, op6_divergence_quality, op7_simhash_blocks, op8_media_archives, op9_bloom_line_dedup, op10_whole_token_counts, op11_turn_repair, pipeline]
     return {f.__name__: f for f in own}
 
 
