@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from losslens.llm import bpe_replay, hmm, line_dedup, media_archive, packing, prefix_trie, quality, reply_trees, simhash, token_count, toxicity, turn_repair
+from losslens.llm import bpe_replay, hmm, license_scan, line_dedup, media_archive, packing, prefix_trie, quality, reply_trees, simhash, token_count, toxicity, turn_repair
 from losslens.llm.common import bound_batches, documents
 
 RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -72,6 +72,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_hidden_markov_scores, op2_sum_of_squares_packing, op3_bpe_merge_replay, op4_string_kernel_toxicity, op5_reply_tree_chat, op6_divergence_quality, op7_simhash_blocks, op8_media_archives, op9_bloom_line_dedup, op10_whole_token_counts, op11_turn_repair, op13_prefix_trie, pipeline]
+    own = [op1_hidden_markov_scores, op2_sum_of_squares_packing, op3_bpe_merge_replay, op4_string_kernel_toxicity, op5_reply_tree_chat, op6_divergence_quality, op7_simhash_blocks, op8_media_archives, op9_bloom_line_dedup, op10_whole_token_counts, op11_turn_repair, op12_license_diagonals, op13_prefix_trie, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -163,4 +167,4 @@ FROM judged
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_reply_tree_chat": OP5_SQL, "op6_divergence_quality": op6_sql(), "op9_bloom_line_dedup": OP9_SQL}
+    return {"op5_reply_tree_chat": OP5_SQL, "op6_divergence_quality": op6_sql(), "op9_bloom_line_dedup": OP9_SQL, "op12_license_diagonals": license_scan.license_sql()}
