@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from losslens.llm import bpe_replay, hmm, license_scan, line_dedup, media_archive, packing, prefix_trie, quality, reply_trees, simhash, token_count, toxicity, turn_repair
 from losslens.llm.common import bound_batches, documents
+from losslens.llm.conversation_sql import OP11_SQL, OP13_SQL
 
 RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 SPECIALS = {"<|endoftext|>": 50256}
@@ -167,4 +168,4 @@ FROM judged
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_reply_tree_chat": OP5_SQL, "op6_divergence_quality": op6_sql(), "op9_bloom_line_dedup": OP9_SQL, "op12_license_diagonals": license_scan.license_sql()}
+    return {"op5_reply_tree_chat": OP5_SQL, "op6_divergence_quality": op6_sql(), "op9_bloom_line_dedup": OP9_SQL, "op11_turn_repair": OP11_SQL, "op12_license_diagonals": license_scan.license_sql(), "op13_prefix_trie": OP13_SQL}
