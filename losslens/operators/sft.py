@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from losslens.sources.saved import ranged, saved
+from losslens.sources.saved import numbered, ranged, saved
 
 
 def knapsack(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -27,23 +27,62 @@ def knapsack(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack_lengths(rows: DataFrame, id_col: str, length: str, capacity: int, bucket_rows: int = 1000) -> DataFrame:
-    """(bucket, bin, id, length): knapsack packing inside buckets of about ``bucket_rows`` rows, dealt by a hash of the id.
+def knapsack_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """``knapsack`` told by counts of lengths: (first bin, how many bins, [(length, how often in each)]) of equal bins in a row.
 
-    Rows over the capacity are dropped, as the operator does.  Buckets are even
-    whatever the ids are, so no task gets more than its share.
+    Bins stay equal until one of their lengths runs short, which can happen about
+    twice for each length, so there are no more runs than about twice the
+    capacity, however many rows there are.
     """
-    kept = rows.where(F.col(length) <= capacity).select(F.col(id_col).alias("id"), F.col(length).cast("long").alias("length"))
-    buckets = max(1, math.ceil(kept.count() / bucket_rows))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_length: dict[int, list[int]] = {}
-        for i, n in sorted(zip(pdf["id"], pdf["length"])):
-            by_length.setdefault(n, []).append(i)
-        out = [(pdf["bucket"].iloc[0], b, by_length[n].pop(), n) for b, bin_ in enumerate(knapsack(pdf["length"].tolist(), capacity)) for n in bin_]
-        return pd.DataFrame(out, columns=["bucket", "bin", "id", "length"])
-
-    return kept.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "bucket long, bin long, id long, length long")
+    if counts and max(counts) > capacity:
+        raise ValueError("a length is over the capacity")
+    left = {n: c for n, c in counts.items() if c > 0}
+    there, runs, first = sorted(left), [], 0
+    while there:
+        room, taken, at = capacity, [], len(there)
+        while at and (at := bisect.bisect_right(there, room, 0, at)):
+            n = there[at - 1]
+            often = min(left[n], room // n) if n else left[n]
+            taken.append((n, often))
+            room -= n * often
+            at -= 1
+        times = min(left[n] // often for n, often in taken)
+        runs.append((first, times, taken))
+        first += times
+        for n, often in taken:
+            left[n] -= times * often
+            if not left[n]:
+                there.remove(n)
+    return runs
+
+
+def pack_lengths(rows: DataFrame, id_col: str, length: str, capacity: int) -> DataFrame:
+    """(bin, place, id, length): knapsack packing of all rows; ``place`` orders a bin's rows, the longest first.
+
+    The greedy rule is run on the histogram of lengths, which has at most
+    ``capacity`` + 1 entries, and a row finds its bin by its rank among those of its
+    length (the largest id first).  So bins are those of the rule over all rows in
+    any partitioning, and a length with a third of all rows is many ranges.  Rows
+    over the capacity and those without a length are dropped, as the operator does.
+    """
+    spark = rows.sparkSession
+    kept = saved(rows.where(F.col(length) <= capacity).select(F.col(id_col).alias("id"), F.col(length).cast("long").alias("length")), "lengths")
+    counts = {r.length: r["count"] for r in kept.groupBy("length").count().collect()}  # at most capacity + 1 rows
+    runs: dict[int, list[tuple[int, int, int]]] = {}
+    used = dict.fromkeys(counts, 0)
+    for first, times, taken in knapsack_runs(counts, capacity):
+        for n, often in taken:
+            runs.setdefault(n, []).append((used[n], often, first))
+            used[n] += times * often
+    longer, known = 0, []
+    for n in sorted(counts, reverse=True):
+        known.append((n, longer, runs[n]))
+        longer += counts[n]
+    known = F.broadcast(spark.createDataFrame(known, "length long, longer long, runs array<struct<start:long,often:long,bin:long>>"))  # bounded by the capacity
+    placed = numbered(kept, F.desc("length"), F.desc("id"), name="n").join(known, "length").withColumn("rank", F.col("n") - F.col("longer"))
+    run = F.element_at(F.filter("runs", lambda r: r["start"] <= F.col("rank")), -1)
+    found = placed.withColumn("run", run).select((F.col("run.bin") + F.expr("(rank - run.start) div run.often")).alias("bin"), "n", "id", "length")
+    return found.select("bin", F.col("n").alias("place"), "id", "length")
 
 
 def blocks(rows: DataFrame, id_col: str, length: str, size: int) -> DataFrame:

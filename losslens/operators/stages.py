@@ -31,13 +31,21 @@ def supervised(rows: DataFrame) -> DataFrame:
     return rows.select("id", ids.alias("input_ids"), labels.alias("labels"))
 
 
-def packed_supervised(rows: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Samples packed by length; ``attention`` numbers the samples of a pack from 1.  Longer samples than the capacity are left out, as in ``pack_lengths``."""
+def packed_supervised(rows: DataFrame, capacity: int = 2048, pad: int = 0) -> DataFrame:
+    """Samples packed by length over the whole table, each pack padded to ``capacity`` + 1.
+
+    ``attention`` numbers the samples of a pack from 1 (0 where padded),
+    ``positions`` counts inside each sample; padded labels are ignored.  Longer
+    samples than the capacity are left out, as in ``pack_lengths``.
+    """
     samples = supervised(rows)
-    bins = sft.pack_lengths(samples.withColumn("length", F.size("input_ids")), "id", "length", capacity).select("id", "bucket", "bin")
-    parts = samples.join(bins, "id").groupBy("bucket", "bin").agg(F.array_sort(F.collect_list(F.struct("id", "input_ids", "labels"))).alias("s"))
+    bins = sft.pack_lengths(samples.withColumn("length", F.size("input_ids")), "id", "length", capacity).select("id", "bin", "place")
+    parts = samples.join(bins, "id").groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("place", "id", "input_ids", "labels"))).alias("s"))  # no more than the capacity
+    fill = lambda ids, value: F.concat(ids, F.array_repeat(F.lit(value), capacity + 1 - F.size(ids)))
     number = F.flatten(F.transform("s", lambda x, i: F.array_repeat(i + 1, F.size(x["input_ids"]))))
-    return parts.select(F.col("s")[0]["id"].alias("id"), F.flatten("s.input_ids").alias("input_ids"), F.flatten("s.labels").alias("labels"), number.alias("attention"))
+    counted = F.flatten(F.transform("s", lambda x: F.when(F.size(x["input_ids"]) > 0, F.sequence(F.lit(0), F.size(x["input_ids"]) - 1)).otherwise(F.array().cast("array<int>"))))
+    filled = [fill(ids, value).alias(name) for name, ids, value in (("input_ids", F.flatten("s.input_ids"), pad), ("labels", F.flatten("s.labels"), IGNORED), ("attention", number, 0), ("positions", counted, 0))]
+    return parts.select(F.col("bin").alias("id"), F.col("s.id").alias("ids"), *filled)
 
 
 def pairwise(rows: DataFrame) -> DataFrame:

@@ -82,12 +82,22 @@ def stage_inputs(embeddings):
     return out
 
 
-@query("J14 X47", None, "embeddings")
+@query("J14 X47", """WITH RECURSIVE e AS (SELECT vec_id, list_transform(list_filter(embedding, lambda x: x > 0), lambda x: abs(trunc(x * 1000))::INT) AS s, list_transform(list_filter(embedding, lambda x: x <= 0), lambda x: abs(trunc(x * 1000))::INT) AS t FROM embeddings),
+l AS (SELECT list({'n': len(s) + len(t), 'id': vec_id} ORDER BY len(s) + len(t), vec_id) AS rest FROM e WHERE len(s) + len(t) <= 256),
+fill(step, bin, room, rest, got) AS (SELECT 0, 0::BIGINT, 256::BIGINT, rest, NULL::STRUCT(n BIGINT, id BIGINT) FROM l UNION ALL
+SELECT step + 1, CASE WHEN p IS NULL THEN bin + 1 ELSE bin END, CASE WHEN p IS NULL THEN 256 ELSE room - p.n END, CASE WHEN p IS NULL THEN rest ELSE list_filter(rest, lambda y: y <> p) END, p FROM (SELECT *, list_filter(rest, lambda x: x.n <= room)[-1] AS p FROM fill WHERE len(rest) > 0)),
+packs AS (SELECT bin AS id, string_agg(vec_id::VARCHAR, ',' ORDER BY step) AS ids, flatten(list(list_concat(s, t) ORDER BY step)) AS input_ids, flatten(list(list_concat(list_transform(s, lambda x: -100), t) ORDER BY step)) AS labels,
+  flatten(list(range(len(s) + len(t)) ORDER BY step)) AS positions, list(len(s) + len(t) ORDER BY step) AS sizes FROM fill JOIN e ON vec_id = got.id GROUP BY bin),
+filled AS (SELECT *, 257 - len(input_ids) AS more FROM packs)
+SELECT id, ids, len(sizes)::BIGINT AS samples, md5(array_to_string(list_concat(input_ids, list_transform(range(more), lambda i: 0)), ',')) AS input_md5, md5(array_to_string(list_concat(labels, list_transform(range(more), lambda i: -100)), ',')) AS labels_md5,
+  md5(array_to_string(list_concat(positions, list_transform(range(more), lambda i: 0)), ',')) AS positions_md5, md5(array_to_string(list_concat(flatten(list_transform(sizes, lambda n, i: list_transform(range(n), lambda k: i))), list_transform(range(more), lambda i: 0)), ',')) AS attention_md5 FROM filled""", "embeddings")
 def packed_stage_inputs(embeddings):
-    """Packs of at most 256 ids with the number of each sample as its attention mask."""
-    ids = lambda keep: F.transform(F.filter("embedding", keep), lambda x: F.abs(x * 1000).cast("int"))
+    """Packs of at most 256 ids, padded to 257, with the number of each sample as its attention mask."""
+    ids = lambda keep: F.transform(F.filter("embedding", keep), lambda x: F.abs((x * 1000).cast("int")))
     rows = embeddings.select(F.col("vec_id").alias("id"), ids(lambda x: x > 0).alias("source"), ids(lambda x: x <= 0).alias("target"))
-    return stages.packed_supervised(rows, 256)
+    packs = stages.packed_supervised(rows, 256)
+    digest = lambda c: F.md5(F.array_join(c, ",").cast("binary"))
+    return packs.select("id", F.array_join("ids", ",").alias("ids"), F.size("ids").cast("long").alias("samples"), digest("input_ids").alias("input_md5"), digest("labels").alias("labels_md5"), digest("positions").alias("positions_md5"), digest("attention").alias("attention_md5"))
 
 
 @query("R5", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) <= 40 AS validation FROM documents", "documents")

@@ -14,13 +14,20 @@ def test_stages_choose_their_processor():
     assert stages.processor("rm") is stages.pairwise and stages.processor("kto") is stages.feedback and stages.processor("pt") is stages.pretraining
 
 
-def test_packs_hold_each_sample_once(spark):
-    rows = catalog.QUERIES["packed_stage_inputs"](spark, SMALL).collect()
-    assert all(len(r.input_ids) == len(r.labels) == len(r.attention) <= 256 for r in rows)
-    assert all(sorted(set(r.attention)) == list(range(1, max(r.attention) + 1)) for r in rows)
-    samples = spark.read.parquet(f"{SMALL}/embeddings.parquet").where(F.size("embedding") <= 256)
-    assert sum(max(r.attention) for r in rows) == samples.count()
-    assert sum(len(r.input_ids) for r in rows) == samples.agg(F.sum(F.size("embedding"))).first()[0]
+def test_packs_hold_each_sample_once_and_are_padded(spark):
+    rows = [(i, list(range(1, 1 + i % 5)), [7] * (i % 4)) for i in range(60)]
+    packs = stages.packed_supervised(spark.createDataFrame(rows, "id long, source array<int>, target array<int>"), 10, pad=9).collect()
+    assert all(len(p.input_ids) == len(p.labels) == len(p.attention) == len(p.positions) == 11 for p in packs)
+    assert sorted(i for p in packs for i in p.ids) == list(range(60))
+    for p in packs:
+        n, at = len(p.ids), 0
+        for k, i in enumerate(p.ids):
+            source, target = rows[i][1:]
+            end = at + len(source + target)
+            assert p.input_ids[at:end] == source + target and p.labels[at:end] == [-100] * len(source) + target
+            assert p.attention[at:end] == [k + 1] * (end - at) and p.positions[at:end] == list(range(end - at))
+            at = end
+        assert p.input_ids[at:] == [9] * (11 - at) and p.labels[at:] == [-100] * (11 - at) and p.attention[at:] == p.positions[at:] == [0] * (11 - at) and n
 
 
 def test_stream_splits(spark):
