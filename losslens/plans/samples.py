@@ -81,19 +81,25 @@ def tree_usage(documents):
     return scans.tree_usage(spark, folder, "*.txt")
 
 
-@query("S9 R8", """WITH b AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type AS model, count(*) AS requests, sum(user_id) AS input_tokens, sum(event_id % 7) AS output_tokens FROM events GROUP BY ALL)
-SELECT model, sum(requests)::BIGINT AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*)::BIGINT AS buckets FROM b GROUP BY model""", "events")
+def daily_usage(events):
+    day = F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp")))
+    return events.groupBy(day.alias("start_time"), F.col("event_type").alias("model")).agg(F.count("*").alias("num_model_requests"), F.sum("user_id").alias("input_tokens"), F.sum(F.col("event_id") % 7).alias("output_tokens"))
+
+
+def usage_of(found):
+    return found.groupBy("model").agg(F.sum("requests").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("buckets"))
+
+
+USAGE_SQL = """WITH b AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type AS model, count(*) AS requests, sum(user_id) AS input_tokens, sum(event_id % 7) AS output_tokens FROM events GROUP BY ALL)
+SELECT model, sum(requests)::BIGINT AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*)::BIGINT AS buckets FROM b GROUP BY model"""
+
+
+@query("S9", USAGE_SQL, "events")
 def paged_usage(events):
     """Daily usage laid out as a service's pages, read by following their cursors."""
     spark, folder = events.sparkSession, fresh(events.sparkSession, "pages")
-    day = F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp")))
-    buckets = events.groupBy(day.alias("start_time"), F.col("event_type").alias("model")).agg(F.count("*").alias("num_model_requests"), F.sum("user_id").alias("input_tokens"), F.sum(F.col("event_id") % 7).alias("output_tokens"))
-    daily = buckets.groupBy("start_time").agg(F.collect_list(F.struct("model", "num_model_requests", "input_tokens", "output_tokens")).alias("results")).orderBy("start_time").toJSON().collect()  # a row a day
-    pages = [daily[at : at + 7] for at in range(0, len(daily), 7)] or [[]]
-    made = [("first.json" if i == 0 else f"p{i}.json", '{"data": [' + ", ".join(page) + f'], "has_more": {str(i + 1 < len(pages)).lower()}, "next_page": "p{i + 1}"}}') for i, page in enumerate(pages)]
-    scans.write_named(spark.createDataFrame(made, "name string, content string"), folder)
-    found = scans.read_pages(spark, client="folder", path=folder)
-    return found.groupBy("model").agg(F.sum("requests").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("buckets"))
+    scans.write_pages(daily_usage(events), folder)
+    return usage_of(scans.read_pages(spark, client="folder", path=folder))
 
 
 YAML_MODELS = """models:

@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from losslens.sources.files import read_files
+from losslens.sources.saved import numbered, saved
 
 #: What stands around a model's name in the file names of its results: a pattern before, a text after.
 RESULT_PREFIX, RESULT_SUFFIX = ".*_gens_model_", "_verified.jsonl"
@@ -181,11 +182,70 @@ class PagedReader(DataSourceReader):
         page, more = None, True
         while more:
             body = self.client.fetch(page)
-            for bucket in body.get("data", []):
-                for r in bucket.get("results", []):
-                    yield bucket["start_time"], r.get("model"), *(int(r.get(k) or 0) for k in ("num_model_requests", "input_tokens", "input_cached_tokens", "output_tokens"))
-            page = body.get("next_page")
-            more = bool(body.get("has_more") and page)
+            yield from usage_rows(body.get("data", []))
+            page = following(body)
+            more = page is not None
+
+
+def usage_rows(buckets: list[dict]) -> Iterator[tuple]:
+    for bucket in buckets:
+        for r in bucket.get("results", []):
+            yield bucket["start_time"], r.get("model"), *(int(r.get(k) or 0) for k in ("num_model_requests", "input_tokens", "input_cached_tokens", "output_tokens"))
+
+
+def following(body: dict) -> str | None:
+    """The cursor of the page after this one, if there is one."""
+    return (body.get("next_page") or None) if body.get("has_more") else None
+
+
+class PagePart(InputPartition):
+    """Buckets ``begin`` to ``end`` (None: all that are left) of a page."""
+
+    def __init__(self, page: str | None, begin: int, end: int | None):
+        self.page, self.begin, self.end = page, begin, end
+
+
+class PagedStreamReader(DataSourceStreamReader):
+    """The service as a stream: an offset is a page's cursor and how many of its buckets are read.
+
+    The driver follows the cursors to the newest page, from where it was last, and
+    keeps no bucket; each page between two offsets is a partition, fetched by its
+    task.  The last page is read on when it has grown.
+    """
+
+    def __init__(self, client: Pages):
+        self.client, self.at = client, None
+
+    def initialOffset(self) -> dict:
+        return {"page": None, "buckets": 0}
+
+    def _pages(self, page: str | None) -> Iterator[tuple[str | None, int]]:
+        """Cursors from this one on, with each page's number of buckets."""
+        while True:
+            body = self.client.fetch(page)
+            yield page, len(body.get("data", []))
+            if following(body) is None:
+                return
+            page = following(body)
+
+    def latestOffset(self) -> dict:
+        page, n = list(self._pages(self.at))[-1]
+        self.at = page
+        return {"page": page, "buckets": n}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        parts = []
+        for page, n in self._pages(start["page"]):
+            begin = start["buckets"] if page == start["page"] else 0
+            stop = end["buckets"] if page == end["page"] else n
+            if stop > begin:
+                parts.append(PagePart(page, begin, stop))
+            if page == end["page"]:
+                return parts
+        raise ValueError(f"no page {end['page']} after {start['page']}")
+
+    def read(self, partition: PagePart) -> Iterator[tuple]:
+        return usage_rows(self.client.fetch(partition.page).get("data", [])[partition.begin : partition.end])
 
 
 class PagedUsage(DataSource):
@@ -198,8 +258,14 @@ class PagedUsage(DataSource):
     def schema(self) -> str:
         return "start long, model string, requests long, input_tokens long, cached_tokens long, output_tokens long"
 
+    def client(self) -> Pages:
+        return CLIENTS[self.options.get("client", "folder")](dict(self.options))
+
     def reader(self, schema) -> PagedReader:
-        return PagedReader(CLIENTS[self.options.get("client", "folder")](dict(self.options)))
+        return PagedReader(self.client())
+
+    def streamReader(self, schema) -> PagedStreamReader:
+        return PagedStreamReader(self.client())
 
 
 def read_pages(spark: SparkSession, **options: str) -> DataFrame:
@@ -207,6 +273,33 @@ def read_pages(spark: SparkSession, **options: str) -> DataFrame:
     return spark.read.format("paged_usage").options(**options).load()
 
 
+def stream_pages(spark: SparkSession, **options: str) -> DataFrame:
+    spark.dataSource.register(PagedUsage)
+    return spark.readStream.format("paged_usage").options(**options).load()
+
+
+def write_pages(buckets: DataFrame, folder: str, per_page: int = 7) -> int:
+    """Usage by ``start_time`` and model laid out as a service's pages (``FolderPages``): returns how many buckets there are.
+
+    Buckets are numbered range by range and each page is written by a task; the
+    driver gets one count of each range.
+    """
+    fields = [c for c in buckets.columns if c != "start_time"]
+    daily = buckets.groupBy("start_time").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("results"))  # the models of a bucket
+    placed = saved(numbered(daily.select("start_time", F.to_json(F.struct("start_time", "results")).alias("body")), "start_time"), "buckets")
+    total = placed.count()
+    if total == 0:
+        placed = buckets.sparkSession.createDataFrame([(0, None)], "n long, body string")
+    last = max(0, total - 1) // per_page
+    page = F.expr(f"n div {per_page}")
+    pages = placed.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("n", "body"))).alias("b"))  # per_page rows
+    name = F.when(F.col("page") == 0, "first").otherwise(F.concat(F.lit("p"), F.col("page").cast("string")))
+    more = F.when(F.col("page") < last, F.concat(F.lit('], "has_more": true, "next_page": "p'), (F.col("page") + 1).cast("string"), F.lit('"}'))).otherwise('], "has_more": false}')
+    body = F.concat(F.lit('{"data": ['), F.array_join(F.transform("b", lambda x: x["body"]), ", "), more)
+    write_named(pages.select(F.concat(name, F.lit(".json")).alias("name"), body.alias("content")), folder)
+    return total
+
+
 def yaml_registry(spark: SparkSession, path: str, key: str = "models") -> DataFrame:
     """id, size, category (text, unknown where missing) and active of the list under ``key`` of a YAML file; entries without an id are left out, of equal ids the last counts."""
     try:
