@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import json
-import signal
-import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from losslens.operators import sft
+from losslens.operators.children import Child, ChildDied, KernelFailed, TimeUp
 
 IGNORED = -100
 
@@ -121,43 +120,33 @@ def run_kernels(rows: DataFrame, kernel: str, value: str, out: str = "output") -
     return rows.withColumn(out, codecs.column(run, "string")(value))
 
 
-class TimeUp(Exception):
-    """A kernel ran longer than it may."""
-
-
-def limited(call, value, seconds: float):
-    """The kernel's value; TimeUp after so many seconds, kept by an alarm where the worker's main thread runs it."""
-
-    def ring(*_):
-        raise TimeUp
-
-    if threading.current_thread() is not threading.main_thread():
-        return call(value)
-    before = signal.signal(signal.SIGALRM, ring)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
-    try:
-        return call(value)
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
-
-
 def check_kernels(rows: DataFrame, kernel: str, value: str, expected: str, seconds: float = 5.0, out: str = "checked") -> DataFrame:
-    """Rows with what came of running a registered kernel on a predicted input: ``success`` if it gives the expected JSON, ``AssertionError`` if another value, the name of what it raised, or ``timeout``."""
+    """Rows with what came of running a registered kernel on a predicted input: ``success`` if it gives the expected JSON, ``AssertionError`` if another value, the name of what it raised, ``ChildDied``, or ``timeout``.
+
+    Each task has one child process, which is killed with its group after
+    ``seconds``, even in code that never comes back to the interpreter.
+    """
     call = KERNELS[kernel]
 
-    def one(said, wanted):
+    def one(child: Child, said, wanted: str) -> str:
         try:
-            found = limited(call, said, seconds)
+            found = child.run(said, seconds)
         except TimeUp:
             return "timeout"
-        except Exception as e:  # a failing run is a result
-            return type(e).__name__
-        return "success" if json.loads(json.dumps(found)) == json.loads(wanted) else "AssertionError"
+        except ChildDied:
+            return "ChildDied"
+        except KernelFailed as e:
+            return e.kind
+        return "success" if json.loads(found) == json.loads(wanted) else "AssertionError"
 
     @F.pandas_udf("string")
-    def run(said: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(said, wanted)], dtype=object)
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        child = Child(call)
+        try:
+            for said, wanted in parts:
+                yield pd.Series([None if a is None or b is None else one(child, a, b) for a, b in zip(said, wanted)], dtype=object)
+        finally:
+            child.close()
 
     return rows.withColumn(out, run(value, expected))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from losslens.functions import codecs
-from losslens.operators import sft
+from losslens.operators import overlap, sft
 from losslens.plans.registry import query
 from losslens.session import spread
 
@@ -74,15 +73,24 @@ def smoothed_series(events):
     return sft.smoothed(events, "user_id", "event_id", "value")
 
 
-@query("A23", None, "conversations")
-def text_metrics(conversations):
-    """BLEU-4 and ROUGE of each assistant turn against the turn before it, averaged by conversation."""
-    before = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
-    pairs = conversations.where("role = 'assistant'").join(before, ["conv_id", "turn"])
+METRICS_SQL = r"""WITH RECURSIVE p AS (SELECT a.conv_id, a.turn, list_filter(string_split_regex(a.text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS s, list_filter(string_split_regex(b.text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn WHERE a.role = 'assistant'),
+rolled AS (SELECT conv_id, turn, k, side, array_to_string(x[i + 1:i + k], ' ') AS g FROM (SELECT *, unnest(range(greatest(len(x) - k + 1, 0))) AS i FROM (SELECT conv_id, turn, 's' AS side, s AS x FROM p UNION ALL SELECT conv_id, turn, 'w', w FROM p), (VALUES (1), (2), (3), (4)) v(k))),
+shared AS (SELECT conv_id, turn, k, sum(least(a, b)) AS hit FROM (SELECT conv_id, turn, k, g, count(*) FILTER (side = 's') AS a, count(*) FILTER (side = 'w') AS b FROM rolled GROUP BY ALL) GROUP BY ALL),
+hits AS (SELECT p.*, len(s) AS n, len(w) AS m, list_transform([1, 2, 3, 4], lambda k: coalesce(h[k], 0)) AS h FROM p LEFT JOIN (SELECT conv_id, turn, map(list(k), list(hit)) AS h FROM shared GROUP BY ALL) USING (conv_id, turn)),
+cells(conv_id, turn, i, j, v) AS (SELECT conv_id, turn, 0, unnest(range(1, len(w) + 1)), 0 FROM p UNION ALL
+  SELECT conv_id, turn, i + 1, j, max(best) OVER (PARTITION BY conv_id, turn ORDER BY j) FROM (SELECT c.*, greatest(v, CASE WHEN s[i + 1] = w[j] THEN coalesce(lag(v) OVER (PARTITION BY c.conv_id, c.turn ORDER BY j), 0) + 1 ELSE 0 END) AS best FROM cells c JOIN p USING (conv_id, turn) WHERE i < len(s))),
+lcs AS (SELECT conv_id, turn, max(v) AS l FROM cells GROUP BY ALL),
+scored AS (SELECT conv_id, turn, n, m, h, coalesce(l, 0) AS l, CASE WHEN n = 0 OR h[1] = 0 THEN 0 ELSE exp(least(0, 1 - m / n) + (ln(h[1] / n) + ln(CASE WHEN h[2] = 0 THEN 0.5 ELSE h[2] END / greatest(n - 1, 1)) + ln(CASE WHEN h[3] = 0 THEN pow(0.5, 1 + (h[2] = 0)::INT) ELSE h[3] END / greatest(n - 2, 1)) + ln(CASE WHEN h[4] = 0 THEN pow(0.5, 1 + (h[2] = 0)::INT + (h[3] = 0)::INT) ELSE h[4] END / greatest(n - 3, 1))) / 4) END AS bleu FROM hits LEFT JOIN lcs USING (conv_id, turn))
+SELECT conv_id, round(avg(bleu), 6) AS bleu, round(avg(CASE WHEN h[1] > 0 THEN 2 * h[1] / (n + m) ELSE 0 END), 6) AS rouge1, round(avg(CASE WHEN h[2] > 0 THEN 2 * h[2] / (n + m - 2) ELSE 0 END), 6) AS rouge2, round(avg(CASE WHEN l > 0 THEN 2 * l / (n + m) ELSE 0 END), 6) AS rouge_l FROM scored GROUP BY conv_id"""
 
-    @F.pandas_udf("struct<bleu double, rouge1 double, rouge2 double, rouge_l double>")
-    def metrics(said: pd.Series, asked: pd.Series) -> pd.DataFrame:
-        rows = [(sft.bleu4(a.split(), b.split()), *sft.rouge(a.split(), b.split())) for a, b in zip(said, asked)]
-        return pd.DataFrame(rows, columns=["bleu", "rouge1", "rouge2", "rouge_l"])
 
-    return pairs.select("conv_id", metrics("text", "asked").alias("m")).groupBy("conv_id").agg(*[F.avg(f"m.{c}").alias(c) for c in ("bleu", "rouge1", "rouge2", "rouge_l")])
+@query("A23", METRICS_SQL, "conversations")
+def text_metrics(conversations):
+    """BLEU-4 and ROUGE of each assistant turn against the turn before it, averaged by conversation."""
+    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    before = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), words("text").alias("asked"))
+    pairs = conversations.where("role = 'assistant'").select("conv_id", "turn", words("text").alias("said")).join(before, ["conv_id", "turn"])
+    said, asked = F.col("said"), F.col("asked")
+    measures = {"bleu": overlap.bleu4(said, asked)} | overlap.rouge(said, asked)
+    return pairs.select("conv_id", *[m.alias(c) for c, m in measures.items()]).groupBy("conv_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in measures])

@@ -48,9 +48,9 @@ def interleave_in_turn(documents):
 BUFFER = 500
 
 
-@query("T8", f"""WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS at_ FROM events), s AS (SELECT *, CASE WHEN at_ < {BUFFER} THEN at_ ELSE {DRAW_SQL.format(seed=SEED, at="at_")} % {BUFFER} END AS slot FROM n),
-l AS (SELECT *, lead(at_) OVER (PARTITION BY slot ORDER BY at_) AS leaves FROM s), rest AS (SELECT event_id, row_number() OVER (ORDER BY {DRAW_SQL.format(seed=SEED, at="(-at_ - 1)")}, at_) - 1 + greatest((SELECT count(*) FROM n) - {BUFFER}, 0) AS place FROM l WHERE leaves IS NULL)
-SELECT event_id, leaves - {BUFFER} AS place FROM l WHERE leaves IS NOT NULL UNION ALL SELECT event_id, place FROM rest""", "events")
-def shuffle_buffer(events):
-    """All events through a shuffle buffer of 500."""
-    return mixing.shuffled(events.select("event_id"), "event_id", BUFFER, SEED)
+@query("T8", f"""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at_ FROM documents), s AS (SELECT *, CASE WHEN at_ < {BUFFER} THEN at_ ELSE {DRAW_SQL.format(seed=SEED, at="at_")} % {BUFFER} END AS slot FROM n),
+l AS (SELECT *, lead(at_) OVER (PARTITION BY slot ORDER BY at_) AS leaves FROM s), rest AS (SELECT doc_id, row_number() OVER (ORDER BY {DRAW_SQL.format(seed=SEED, at="(-at_ - 1)")}, at_) - 1 + greatest((SELECT count(*) FROM n) - {BUFFER}, 0) AS place FROM l WHERE leaves IS NULL)
+SELECT doc_id, leaves - {BUFFER} AS place FROM l WHERE leaves IS NOT NULL UNION ALL SELECT doc_id, place FROM rest""", "documents")
+def shuffle_buffer(documents):
+    """All documents through a shuffle buffer of 500."""
+    return mixing.shuffled(documents.select("doc_id"), "doc_id", BUFFER, SEED)

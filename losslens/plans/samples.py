@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import pickle
 import time
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from losslens.functions import codecs
+from losslens.functions import text as X
 from losslens.operators import alignment as A
 from losslens.operators import stages
 from losslens.operators.evaluate import TASKS
@@ -81,24 +83,25 @@ def tree_usage(documents):
     return scans.tree_usage(spark, folder, "*.txt")
 
 
-def daily_usage(events):
-    day = F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp")))
-    return events.groupBy(day.alias("start_time"), F.col("event_type").alias("model")).agg(F.count("*").alias("num_model_requests"), F.sum("user_id").alias("input_tokens"), F.sum(F.col("event_id") % 7).alias("output_tokens"))
+def daily_usage(documents):
+    """Documents as a service's usage: ids of a hundred are a bucket, languages are models."""
+    start = F.expr("doc_id div 100 * 86400")
+    return documents.groupBy(start.alias("start_time"), F.col("lang").alias("model")).agg(F.count("*").alias("num_model_requests"), F.sum("n_chars").alias("input_tokens"), F.sum(F.col("doc_id") % 7).alias("output_tokens"))
 
 
 def usage_of(found):
     return found.groupBy("model").agg(F.sum("requests").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("buckets"))
 
 
-USAGE_SQL = """WITH b AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type AS model, count(*) AS requests, sum(user_id) AS input_tokens, sum(event_id % 7) AS output_tokens FROM events GROUP BY ALL)
+USAGE_SQL = """WITH b AS (SELECT doc_id // 100 AS start, lang AS model, count(*) AS requests, sum(n_chars) AS input_tokens, sum(doc_id % 7) AS output_tokens FROM documents GROUP BY ALL)
 SELECT model, sum(requests)::BIGINT AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*)::BIGINT AS buckets FROM b GROUP BY model"""
 
 
-@query("S9", USAGE_SQL, "events")
-def paged_usage(events):
+@query("S9", USAGE_SQL, "documents")
+def paged_usage(documents):
     """Daily usage laid out as a service's pages, read by following their cursors."""
-    spark, folder = events.sparkSession, fresh(events.sparkSession, "pages")
-    scans.write_pages(daily_usage(events), folder)
+    spark, folder = documents.sparkSession, fresh(documents.sparkSession, "pages")
+    scans.write_pages(daily_usage(documents), folder)
     return usage_of(scans.read_pages(spark, client="folder", path=folder))
 
 
@@ -339,21 +342,29 @@ def tool_call_values(labels):
 
 
 def _endless(text: str):
-    while True:
-        pass
+    """Minutes of work inside one call of C code, which no alarm ends."""
+    return hashlib.pbkdf2_hmac("sha256", text.encode(), b"salt", 2_000_000_000).hex()
 
 
 stages.KERNELS.register("endless", _endless)
 
 
-@query("D1 D2", "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'AssertionError' WHEN 2 THEN 'KeyError' ELSE 'timeout' END AS checked FROM benchmark", "benchmark")
-def checked_runs(benchmark):
-    """Registered kernels run on predicted inputs: right, wrong, failing and endless ones."""
-    i, code = F.col("item_id"), F.lit("[85]")
-    parts = [("lzw", F.lit("U"), 0), ("lzw", F.lit("V"), 1), ("lzw", F.lit("\u0100"), 2), ("endless", F.lit("U"), 3)]
+@query("D1 D2", """SELECT conv_id, turn, CASE WHEN conv_id % 97 = 0 AND turn = 0 THEN 'timeout' WHEN conv_id % 3 = 0 THEN 'success' WHEN conv_id % 3 = 1 THEN 'AssertionError' ELSE 'KeyError' END AS checked FROM conversations WHERE text IS NOT NULL""", "conversations")
+def checked_runs(conversations):
+    """Registered kernels run on each text: against the value that the JVM finds, against a wrong one, failing and endless ones."""
+    rows = conversations.where("text IS NOT NULL").select("conv_id", "turn", "text")
+    endless = (F.col("conv_id") % 97 == 0) & (F.col("turn") == 0)
+    pair = lambda r: F.concat(F.lit("["), F.regexp_replace(F.to_json(F.array(F.substring(r, 1, 1))), r"^\[|\]$", ""), F.lit(", "), F.length(r).cast("string"), F.lit("]"))
+    right = F.concat(F.lit("["), F.array_join(F.transform(X.runs(F.col("text")), pair), ", "), F.lit("]"))
+    kinds = [
+        ("rle", ~endless & (F.col("conv_id") % 3 == 0), F.col("text"), right, 5.0),
+        ("rle", ~endless & (F.col("conv_id") % 3 == 1), F.col("text"), F.lit("[[]]"), 5.0),
+        ("lzw", ~endless & (F.col("conv_id") % 3 == 2), F.concat("text", F.lit("\u0100")), F.lit("[]"), 5.0),
+        ("endless", endless, F.col("text"), F.lit("[]"), 0.05),
+    ]
     out = None
-    for kernel, said, k in parts:
-        part = stages.check_kernels(benchmark.where(i % 4 == k).select("item_id", said.alias("said"), code.alias("wanted")), kernel, "said", "wanted", 0.05).select("item_id", "checked")
+    for kernel, here, said, wanted, seconds in kinds:
+        part = stages.check_kernels(rows.where(here).select("conv_id", "turn", said.alias("said"), wanted.alias("wanted")), kernel, "said", "wanted", seconds).select("conv_id", "turn", "checked")
         out = part if out is None else out.unionByName(part)
     return out
 

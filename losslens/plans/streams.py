@@ -44,12 +44,12 @@ def appended_lines(benchmark, documents):
     return committed_lines(spark, path, "item_id long, text string, run int").select("item_id", F.sha2("text", 256).alias("text_sha256"), "run")
 
 
-@query("S9 R3", USAGE_SQL, "events")
-def streamed_usage(events):
+@query("S9 R3", USAGE_SQL, "documents")
+def streamed_usage(documents):
     """A service's pages as a stream: the second run reads what was added to the last page and behind it."""
-    spark, base = events.sparkSession, fresh(events.sparkSession, "usage")
+    spark, base = documents.sparkSession, fresh(documents.sparkSession, "usage")
     spark.dataSource.register(CommittedLines)
-    buckets = daily_usage(events)
+    buckets = daily_usage(documents)
     half = buckets.agg(F.percentile_approx("start_time", 0.5)).first()[0]
     for some in (buckets.where(F.col("start_time") < F.lit(half)), buckets):
         scans.write_pages(some, f"{base}/pages")
