@@ -575,3 +575,16 @@ def formatted_truth(like: str | None, truth, tags: bool = False) -> str:
     body = json.dumps({"output": value}, ensure_ascii=False)
     marked = tags or "[ANSWER]" in (like or "") and "[/ANSWER]" in (like or "")
     return f"[ANSWER]\n{body}\n[/ANSWER]" if marked else body
+
+
+def last_input(text: str | None):
+    """``input`` of the last complete JSON object of a text, or the value itself if it is no object; MISSING if there is none (an object without ``input`` has None)."""
+    if text is None:
+        return MISSING
+    for part in reversed(spans(text)):
+        try:
+            found = json.loads(part)
+        except ValueError:
+            continue
+        return found.get("input") if isinstance(found, dict) else found
+    return MISSING

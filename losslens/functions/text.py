@@ -123,3 +123,10 @@ def strip_thought(text: Column) -> Column:
 def duration(seconds: Column) -> Column:
     """HH:MM:SS."""
     return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60)
+
+
+def last_code(text: Column, language: str = "python") -> Column:
+    """What stands in the last code block of a language, trimmed; null if there is none or it isn't closed."""
+    mark = f"```{language}"
+    rest = F.substring_index(text, mark, -1)
+    return F.when(F.contains(text, F.lit(mark)) & F.contains(rest, F.lit("```")), F.btrim(F.substring_index(rest, "```", 1), F.lit(" \t\n\x0b\x0c\r")))

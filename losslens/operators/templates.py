@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from losslens.operators import mixing
 from losslens.sources.saved import numbered, saved
 
 
@@ -176,7 +177,7 @@ def read_tool_calls(dialect: str, text: str) -> list[tuple[str, dict]] | str:
 def transcript_turns(text: Column) -> Column:
     """``Human:`` and ``Assistant:`` parts of a transcript, in order, as role and content."""
     parts = F.regexp_extract_all(text, F.lit(r"(?s)((?:Human|Assistant):.*?)(?=(?:Human|Assistant):|$)"), F.lit(1))
-    return F.transform(parts, lambda p: F.struct(F.when(p.startswith("Human:"), "user").otherwise("assistant").alias("role"), F.trim(F.regexp_replace(p, "^(Human|Assistant):", "")).alias("content")))
+    return F.transform(parts, lambda p: F.struct(F.when(p.startswith("Human:"), "user").otherwise("assistant").alias("role"), F.btrim(F.regexp_replace(p, "^(Human|Assistant):", ""), F.lit(" \t\n\x0b\x0c\r")).alias("content")))
 
 
 def few_shot(questions: DataFrame, train: DataFrame, n: int, subject: str, seed: int = 42) -> DataFrame:
@@ -192,7 +193,7 @@ def few_shot(questions: DataFrame, train: DataFrame, n: int, subject: str, seed:
     sizes = placed.groupBy(subject).agg(F.min("place").alias("first"), F.count("*").alias("size"))
     asked = saved(questions.select("id", subject).withColumn("asked", F.monotonically_increasing_id()), "asked")
     rows = F.least(F.lit(n).cast("long"), F.col("size"))
-    draw = lambda i: F.pmod(F.xxhash64("id", F.lit(seed), i), F.col("size") - rows + i + 1)
+    draw = lambda i: mixing.draw(seed, F.concat(F.col("id").cast("string"), F.lit(":"), i.cast("string"))) % (F.col("size") - rows + i + 1)
     pick = lambda got, i: F.concat(got, F.array(F.when(F.array_contains(got, draw(i)), F.col("size") - rows + i).otherwise(draw(i))))
     places = F.aggregate(F.sequence(F.lit(0).cast("long"), rows - 1), F.array().cast("array<long>"), pick)
     drawn = asked.join(sizes, subject).select("asked", F.col("first"), F.posexplode(places).alias("i", "at")).select("asked", "i", (F.col("first") + F.col("at")).alias("place"))

@@ -245,40 +245,49 @@ def rendered_chats(conversations):
     return chat.select("conv_id", F.sha2(render("chatml", F.col("chat")), 256).alias("text_sha256"))
 
 
-@query("S18", """WITH c AS (SELECT conv_id, count(*) FILTER (role <> 'system') AS n FROM conversations GROUP BY conv_id) SELECT conv_id, n::BIGINT AS n, n::BIGINT AS turns FROM c""", "conversations")
+@query("S18", r"""SELECT conv_id, count(*) FILTER (role <> 'system')::BIGINT AS n, sha256(coalesce(string_agg(role || ':' || trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10) ORDER BY turn) FILTER (role <> 'system'), '')) AS turns_sha256 FROM conversations GROUP BY conv_id""", "conversations")
 def transcripts(conversations):
-    """Conversations written as transcripts and parsed again."""
+    """Conversations written as transcripts and parsed again: roles and texts."""
     from losslens.operators.templates import transcript_turns
 
     said = F.when(F.col("role") == "user", F.concat(F.lit("Human: "), "text")).when(F.col("role") == "assistant", F.concat(F.lit("Assistant: "), "text"))
-    c = conversations.groupBy("conv_id").agg(F.count_if(F.col("role") != "system").alias("n"), F.array_sort(F.collect_list(F.when(said.isNotNull(), F.struct("turn", said.alias("s"))))).alias("t"))
-    text = F.array_join(F.transform("t", lambda x: x["s"]), "\n")
-    return c.select("conv_id", "n", F.size(transcript_turns(text)).cast("long").alias("turns"))
-
-
-@query("T10", "SELECT item_id AS id, least(3, (SELECT count(*) FROM documents d WHERE d.doc_id % 5 = item_id % 5))::BIGINT AS n_shots FROM benchmark", "benchmark", "documents")
-def few_shot_prompts(benchmark, documents):
+    c = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(said.isNotNull(), F.struct("turn", said.alias("s"))))).alias("t"))
+    turns = transcript_turns(F.array_join(F.transform("t", lambda x: x["s"]), "\n"))
+    lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), t["content"]))
+    return c.select("conv_id", F.size(turns).cast("long").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("turns_sha256"))
+
+
+@query("T10", """WITH train AS (SELECT conv_id % 5 AS subject, text, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id * 1000 + turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id % 5) AS size FROM conversations),
+q AS (SELECT doc_id AS id, doc_id % 5 AS subject, size, least(3, size) AS n FROM labels LEFT JOIN (SELECT DISTINCT subject, size FROM train) t ON t.subject = doc_id % 5),
+p AS (SELECT id, subject, list_reduce(list_concat([[]::BIGINT[]], list_transform(range(n), lambda i: [i])), lambda got, x: list_append(got, CASE WHEN list_contains(got, {draw}) THEN size - n + x[1] ELSE {draw} END)) AS places FROM q)
+SELECT id, len(any_value(places))::BIGINT AS n_shots, sha256(coalesce(string_agg(text, chr(10) ORDER BY list_position(places, place)), '')) AS shots_sha256 FROM p LEFT JOIN train t ON t.subject = p.subject AND list_contains(places, place) GROUP BY id""".replace("{draw}", "('0x' || substr(md5('42:' || id || ':' || x[1]), 1, 13))::BIGINT % (size - n + x[1] + 1)"), "labels", "conversations")
+def few_shot_prompts(labels, conversations):
+    """Three shots for each label's document out of all turns of its subject, and a digest of their texts in order."""
     from losslens.operators.templates import few_shot
 
-    questions = benchmark.select(F.col("item_id").alias("id"), (F.col("item_id") % 5).alias("subject"))
-    train = documents.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 5).alias("subject"))
-    return few_shot(questions, train, 3, "subject").select("id", F.size("shots").cast("long").alias("n_shots"))
+    questions = labels.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5).alias("subject"))
+    train = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", (F.col("conv_id") % 5).alias("subject"))
+    return few_shot(questions, train, 3, "subject").select("id", F.size("shots").cast("long").alias("n_shots"), F.sha2(F.array_join("shots", "\n"), 256).alias("shots_sha256"))
 
 
-@query("X46 X50 A28", "SELECT vec_id, len(embedding)::BIGINT AS n, 80::BIGINT AS padded, len(list_filter(embedding, lambda x: x <= 0))::BIGINT AS ignored FROM embeddings", "embeddings")
+@query("X46 X50 A28", """WITH e AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN trunc(x * 1000)::INT ELSE -100 END) AS labels FROM embeddings)
+SELECT vec_id, n::BIGINT AS n, len(list_filter(labels, lambda x: x = -100))::BIGINT AS ignored, md5(array_to_string(list_concat(labels, list_transform(range(greatest(80 - n, 0)), lambda i: -100)), ',')) AS labels_md5 FROM e""", "embeddings")
 def padded_batches(embeddings):
+    """Labels of what is learned, padded to 80."""
     from losslens.operators.templates import masked_labels, padded
 
     ids = F.transform("embedding", lambda x: (x * 1000).cast("int"))
     labels = masked_labels(ids, F.transform("embedding", lambda x: x > 0))
-    ignored = F.size("embedding") - F.size(F.filter("embedding", lambda x: x > 0))
-    return embeddings.select("vec_id", F.size(ids).cast("long").alias("n"), F.greatest(F.size(padded(labels, F.lit(80), -100)), F.lit(80)).cast("long").alias("padded"), ignored.cast("long").alias("ignored"))
+    ignored = F.size(F.filter(labels, lambda x: x == -100))
+    return embeddings.select("vec_id", F.size(ids).cast("long").alias("n"), ignored.cast("long").alias("ignored"), F.md5(F.array_join(padded(labels, F.lit(80), -100), ",").cast("binary")).alias("labels_md5"))
 
 
-@query("D3 D4", "SELECT item_id, true AS ok FROM benchmark", "benchmark")
+@query("D3 D4", r"""WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark), g AS (SELECT item_id, (ch IS DISTINCT FROM lag(ch) OVER (PARTITION BY item_id ORDER BY i))::INT AS starts FROM c)
+SELECT item_id, '>>> Call to rle_encode' AS first_line, sum(starts)::BIGINT AS returned FROM g GROUP BY item_id""", "benchmark")
 def codec_traces(benchmark):
-    """Traces of run-length encoding of each benchmark text end with the returned value."""
+    """Traces of run-length encoding of each benchmark text: what was called, and how many pairs came back."""
     from losslens.functions import codecs, traces
 
     trace = codecs.column(lambda t: traces.traced(codecs.rle_encode, t), "string")
-    return benchmark.select("item_id", F.element_at(F.split(trace("text"), "\n"), -1).startswith(traces.DONE).alias("ok"))
+    last = F.substring_index("t", f"\n{traces.DONE} ", -1)
+    return benchmark.select("item_id", trace("text").alias("t")).select("item_id", F.substring_index("t", "\n", 1).alias("first_line"), F.regexp_count(last, F.lit(r"""['"], [0-9]+\)""")).cast("long").alias("returned"))

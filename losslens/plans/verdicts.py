@@ -213,3 +213,51 @@ def format_repairs(benchmark):
     bare = F.concat(F.lit("it is "), F.col("item_id").cast("string"), F.lit(" or so\n"), "text")
     rows = benchmark.select("item_id", F.when(F.col("item_id") % 3 == 0, F.concat("text", marked)).otherwise(bare).alias("text"))
     return repair_formats(rows, FirstNumber(), context=1_000_000, most_chars=1_000_000).select("item_id", "value", "repaired")
+
+
+CODE_SQL = "CASE conv_id % 4 WHEN 0 THEN 'so ```python' || chr(10) || 'old()' || chr(10) || '``` or ```python' || chr(10) || text || chr(10) || '```.' WHEN 1 THEN '```python' || text WHEN 2 THEN text ELSE '```python ' || text || '``` and ```json {}```' END"
+WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("X10", f"""WITH s AS (SELECT conv_id, turn, text, {CODE_SQL} AS said FROM conversations)
+SELECT conv_id, turn, CASE WHEN conv_id % 4 IN (0, 3) THEN sha256(trim(text, {WHITE_SQL})) END AS code_sha256, sha256(CASE WHEN conv_id % 3 = 0 THEN text WHEN conv_id % 3 = 1 THEN turn::VARCHAR ELSE 'none' END) AS input_sha256 FROM s""", "conversations")
+def code_and_inputs(conversations):
+    """The last code block of each message, and the input in its last JSON object."""
+    code = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("so ```python\nold()\n``` or ```python\n"), "text", F.lit("\n```."))).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("```python"), "text")).when(F.col("conv_id") % 4 == 2, F.col("text")).otherwise(F.concat(F.lit("```python "), "text", F.lit("``` and ```json {}```")))
+    given = F.when(F.col("conv_id") % 3 == 0, F.to_json(F.struct(F.col("text").alias("input")))).when(F.col("conv_id") % 3 == 1, F.to_json(F.struct(F.col("turn").alias("input"), F.lit("{").alias("note")))).otherwise(F.lit("no object {"))
+    said = F.concat(F.lit('first {"input": 0} then '), given)
+    said = F.when(F.col("conv_id") % 3 == 2, F.lit("no object {")).otherwise(said)
+
+    @F.pandas_udf("string")
+    def inputs(texts: pd.Series) -> pd.Series:
+        found = [answers.last_input(t) for t in texts]
+        return pd.Series(["none" if x is answers.MISSING else str(x) for x in found], dtype=object)
+
+    return conversations.select("conv_id", "turn", F.sha2(X.last_code(code), 256).alias("code_sha256"), F.sha2(inputs(said), 256).alias("input_sha256"))
+
+
+@query("X1 X2 X3 X4 X5 X6 X7 X12 X13 X16 X18", """WITH k AS (SELECT conv_id, turn, CASE conv_id % 8 WHEN 0 THEN 'correct' WHEN 1 THEN 'correct' WHEN 2 THEN 'wrong' WHEN 3 THEN 'no answer' WHEN 4 THEN 'correct' WHEN 5 THEN 'correct' WHEN 6 THEN CASE WHEN reverse(text) = text THEN 'correct' ELSE 'wrong' END ELSE 'correct' END AS status, CASE WHEN conv_id % 8 IN (5, 6) THEN 'input_prediction' ELSE 'output_prediction' END AS task FROM conversations WHERE text <> '')
+SELECT conv_id, turn, status, CASE WHEN status = 'no answer' THEN 'Failed to extract a complete JSON from model output!' WHEN conv_id % 8 = 7 THEN 'Correct output_prediction (semantic: non-canonical RLE decodes correctly)!' WHEN status = 'correct' THEN 'Correct ' || task || '!' ELSE '[Mismatch] ' || task || ' is not correct!' END AS message FROM k""", "conversations")
+def judged_texts(conversations):
+    """Answers about each turn's own text in eight forms: tagged, with a comma too many, wrong, none, in doubled braces, inputs, and split runs."""
+    runs = X.runs(F.col("text"))
+    pair = lambda c, n: F.concat(F.lit("["), F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""), F.lit(", "), n.cast("string"), F.lit("]"))
+    pairs = F.transform(runs, lambda r: pair(F.substring(r, 1, 1), F.length(r)))
+    listed = lambda p: F.concat(F.lit("["), F.array_join(p, ", "), F.lit("]"))
+    single = F.transform(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), lambda c: pair(c, F.lit(1)))
+    more = F.concat(pairs, F.array(F.lit('["+", 9]')))
+    text_json = lambda t: F.regexp_replace(F.to_json(F.array(t)), r"^\[|\]$", "")
+    kind = F.col("conv_id") % 8
+    said = F.when(kind == 0, F.concat(F.lit('so [ANSWER]{"output": '), listed(pairs), F.lit("}[/ANSWER]")))
+    said = said.when(kind == 1, F.concat(F.lit('{"output": '), listed(pairs), F.lit(",}"))).when(kind == 2, F.concat(F.lit('{"output": '), listed(more), F.lit("}"))).when(kind == 3, F.lit("I can't tell."))
+    said = said.when(kind == 4, F.concat(F.lit('{{"output": '), listed(pairs), F.lit("}}"))).when(kind == 5, F.concat(F.lit('{"output": '), text_json(F.col("text")), F.lit("}"))).when(kind == 6, F.concat(F.lit('{"output": '), text_json(F.reverse("text")), F.lit("}")))
+    said = said.otherwise(F.concat(F.lit('{"output": '), listed(F.concat(single, F.array(F.lit('["x", 1]'), F.lit('["x", 1]')))), F.lit("}")))
+    task = F.when(kind.isin(5, 6), "input_prediction").otherwise("output_prediction")
+    truth = F.when(kind == 7, F.concat("text", F.lit("xx"))).otherwise(F.col("text"))
+
+    @F.pandas_udf("struct<status:string,message:string>")
+    def judge(said: pd.Series, task: pd.Series, text: pd.Series) -> pd.DataFrame:
+        found = [answers.check(s, k, "rle", {"input": t, "output": [list(p) for p in codecs.rle_encode(t)]}) for s, k, t in zip(said, task, text)]
+        return pd.DataFrame([(v.status, v.message) for v in found], columns=["status", "message"], dtype=object)
+
+    return conversations.where("text <> ''").select("conv_id", "turn", judge(said, task, truth).alias("v")).select("conv_id", "turn", "v.*")

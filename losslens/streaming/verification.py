@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -30,9 +31,10 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 class SeenOnce(StatefulProcessor):
-    """Passes each output of an item on once, verified, with how many of the item's outputs have had its status so far.
+    """Passes each output of an item on once, verified, with how many of the item's outputs in this part have had its status so far.
 
-    State of an item: the outputs that were seen, and a counter for each status.
+    State of a part: the outputs that were seen, and a counter for each item and
+    status.  A batch asks for a counter once and writes it back once.
     """
 
     def __init__(self, keys: list[str], output: str, verify: Callable[[dict], str]):
@@ -43,42 +45,45 @@ class SeenOnce(StatefulProcessor):
         self.counts = handle.getMapState("counts", "status string", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        counts = {status: n for (status,), (n,) in self.counts.iterator()}
-        changed = set()
+        counts: dict[str, int] = {}
         for some in rows:
             out = []
             for row in some.to_dict("records"):
-                name = str(row[self.output])
+                item = [row[k] for k in self.keys]
+                name = json.dumps([*item, row[self.output]], default=str)
                 if self.seen.containsKey((name,)):
                     continue
                 self.seen.updateValue((name,), (True,))
                 status = self.verify(row)
-                counts[status] = counts.get(status, 0) + 1
-                changed.add(status)
-                out.append((*key, row[self.output], status, counts[status]))
+                counted = json.dumps([*item, status], default=str)
+                if counted not in counts:
+                    counts[counted] = self.counts.getValue((counted,))[0] if self.counts.containsKey((counted,)) else 0
+                counts[counted] += 1
+                out.append((*item, key[0], row[self.output], status, counts[counted]))
             if out:
-                yield pd.DataFrame(out, columns=[*self.keys, self.output, "status", "so_far"])
-        for status in changed:
-            self.counts.updateValue((status,), (counts[status],))
+                yield pd.DataFrame(out, columns=[*self.keys, "part", self.output, "status", "so_far"])
+        for counted, n in counts.items():
+            self.counts.updateValue((counted,), (n,))
 
     def close(self) -> None:
         pass
 
 
-#: An item's outputs are dealt over so many states by their hash.
-PARTS = 8
+#: Parts of the state; outputs are dealt over them by a hash of item and output.
+PARTS = 64
 
 
 def verified_stream(stream: DataFrame, keys: list[str], output: str, verify: Callable[[dict], str], parts: int = PARTS) -> DataFrame:
-    """keys, part, output, status and so_far (of the item's part) of each output of an item (``keys``), once, in append mode.
+    """keys, part, output, status and so_far (of the item in the part) of each output of an item (``keys``), once, in append mode.
 
-    An item's outputs are dealt over ``parts`` states, so one with a third of all
-    rows is several tasks; what was seen lies in the state store, on disk.
+    Outputs are dealt over ``parts`` states, so an item with a third of all rows is
+    many tasks and small items share one; what was seen lies in the state store,
+    on disk.
     """
-    dealt = stream.withColumn("part", F.pmod(F.xxhash64(F.col(output).cast("string")), F.lit(parts)).cast("int"))
+    dealt = stream.withColumn("part", F.pmod(F.xxhash64(*keys, output), F.lit(parts)).cast("int"))
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "part", output]) + ", status string, so_far long"
-    return dealt.groupBy(*keys, "part").transformWithStateInPandas(SeenOnce([*keys, "part"], output, verify), schema, "Append", "None")
+    return dealt.groupBy("part").transformWithStateInPandas(SeenOnce(keys, output, verify), schema, "Append", "None")
 
 
 def status_counts(verified: DataFrame, keys: list[str]) -> DataFrame:
