@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -288,7 +289,8 @@ class Block:
     def full(self) -> bool:
         return self.held >= BLOCK_BYTES or len(self.ids) >= BLOCK_ROWS
 
-    def row(self) -> dict:
+    def row(self, part: int, serial: int) -> dict:
+        """The block's row; it is named by where it was made and by its words, so no two blocks meet, whatever they hold."""
         others, base = self.codes.others, self.codes.base
         bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in others), np.int64, len(others))
         order = np.argsort(bucket, kind="stable")
@@ -297,7 +299,7 @@ class Block:
         body = np.concatenate(self.texts) if self.texts else NO_IDS
         other = body >= base
         body[other] = base + place[body[other] - base]
-        parts, name = [], hashlib.blake2b(digest_size=16)
+        parts, name = [], hashlib.blake2b(f"{part}:{serial}".encode(), digest_size=16)
         for group in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
             data = packed_words([others[i] for i in group.tolist()])
             name.update(data)
@@ -333,8 +335,10 @@ def bpe_encode_decode(
     their names.  A text longer than a block is the last of its block, which is
     then that much larger.
 
-    A block is named by its words, so blocks of equal words share the ids that
-    come back.  The number of buckets follows the shuffle partitions, so a
+    A block is named by the task and place where it was cut, so no two blocks
+    share a group, those without other words too; both readers of a block read
+    one exchange, and if it were made twice with other texts the read would fail
+    for want of words.  The number of buckets follows the shuffle partitions, so a
     bucket's words stay as many when both the corpus and that setting grow.
 
     digests=False returns (id, ids array<int>, decoded binary); digests=True
@@ -350,10 +354,12 @@ def bpe_encode_decode(
         import regex
 
         table, find, block = merge_table(ranks_path), regex.compile(pattern).findall, None
-        shape = None
+        shape, part, serial = None, TaskContext.get().partitionId(), 0
 
         def close(block: Block) -> pa.RecordBatch:
-            row = block.row()
+            nonlocal serial
+            row = block.row(part, serial)
+            serial += 1
             ids = pa.array([row.pop("ids")], pa.list_(shape))
             rest = pa.RecordBatch.from_pylist([row], pa.schema({"block": pa.binary(), "sizes": pa.binary(), "body": pa.binary(), "n_words": pa.int64(), "parts": pa.list_(pa.struct({"bucket": pa.int64(), "words": pa.binary()}))}))
             return pa.RecordBatch.from_arrays([rest.column(0), ids, *rest.columns[1:]], ["block", "ids", *rest.schema.names[1:]])

@@ -58,7 +58,7 @@ def test_words_of_blocks_come_back_in_place(plain):
         block = bpe_replay.Block(table, find, 7)
         for n, text in enumerate(block_texts):
             block.add(n, text)
-        rows.append(block.row())
+        rows.append(block.row(0, len(rows)))
     words = {w for row in rows for p in row["parts"] for w in bpe_replay.unpacked_words(p["words"])}
     assert words == {x.encode() for block_texts in texts for t in block_texts for x in find(t)} - table.ranks.keys()
     assert all(zlib.crc32(w) % 7 == p["bucket"] for row in rows for p in row["parts"] for w in bpe_replay.unpacked_words(p["words"]))
