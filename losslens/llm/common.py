@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,32 @@ def drop_saved(df: DataFrame) -> None:
         delete(df.sparkSession, root)
 
 
+@contextmanager
+def bucketed(rows: DataFrame, label: str, by: str) -> Iterator[DataFrame]:
+    """Rows saved in the shared folder as a table bucketed by a column, so that joins on it leave them where they lie; gone after the block."""
+    spark = rows.sparkSession
+    name, path = f"losslens_{label.replace('-', '_')}_{uuid.uuid4().hex}", fresh(spark, label)
+    rows.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
+
+
+def without_dots(docs: DataFrame) -> DataFrame:
+    """docs with other names for columns whose names hold a dot or a backtick, which ``mapInArrow`` can't take."""
+    taken, out = set(docs.columns), []
+    for i, c in enumerate(docs.columns):
+        name = c
+        if "." in c or "`" in c:
+            name = f"column {i}"
+            while name in taken:
+                name += "_"
+        out.append(name)
+    return docs.toDF(*out)
+
+
 def hot_join(left: DataFrame, right: DataFrame, on: str, weight: str, total: int) -> DataFrame:
     """left's rows with right's columns; right has each key once (null is a key too).
 

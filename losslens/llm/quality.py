@@ -89,9 +89,11 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     docs keep their values whatever their names, but for names of the
     operator's own, which begin with two underscores.
     """
-    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+    if clash := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"column names of the operator's own: {clash}")
+    lang = F.col(f"`{lang_col}`") if lang_col in docs.columns else F.lit(None).cast("string")
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    text = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
+    text = docs.select(*keep, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__t"))
     left = lambda classes: F.length(F.regexp_replace("__t", classes, ""))
     n = F.length("__t")
     letters, digits, white, marks = n - left(r"\p{L}+"), n - left(r"[0-9]+"), n - left(SPACE + "+"), n - left(r"[.,;:!?'\"()\-]+")
@@ -147,15 +149,24 @@ def by_words(w: Column, lang: Column) -> Column:
     return F.array(*[F.when((lang == k) | ~F.coalesce(known, F.lit(False)), counts(list(v))).otherwise(zero(v)) for k, v in COMMON.items()])
 
 
+def _renamed(docs: DataFrame, text_col: str, lang_col: str) -> tuple[DataFrame, str, str]:
+    """docs under names that clash with nothing, and what its text and language columns are then called."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text_col], names.get(lang_col, "none")
+
+
 def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_words: int = 50) -> DataFrame:
-    """doc_id and the fields of ``__quality`` for every row."""
-    return with_quality(docs, text_col, lang_col, least_words).select("doc_id", "__quality.*")
+    """doc_id and the fields of ``__quality`` for every row; other columns may have any names."""
+    wanted = [c for c in ("doc_id", text_col, lang_col) if c in docs.columns]
+    return with_quality(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(wanted)]), text_col, lang_col, least_words).select("doc_id", "__quality.*")
 
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_words: int = 50) -> DataFrame:
-    """The rows that are kept, all their columns as they were; texts without words go, repeated rows stay or go together.
+    """The rows that are kept, all their columns as they were, whatever their names; texts without words go, repeated rows stay or go together.
 
     With ``least_words`` of 1 short texts are judged by their repeats only: the
     histograms have least lengths of their own.
     """
-    return with_quality(docs, text_col, lang_col, least_words).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, text, lang = _renamed(docs, text_col, lang_col)
+    kept = with_quality(plain, text, lang, least_words).where("__quality.kept")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -213,9 +213,12 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, tex
     """One row of each component stays: the one of least doc_id (null last; the earliest stored of equal ones).
 
     Texts are not shuffled to find it: rows get a number in a saved copy, and
-    only numbers and fingerprints take part.
+    only numbers and fingerprints take part.  Columns may have any names.
     """
-    numbered = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = simhash_components(numbered, distance, width, "doc_id", text_col, ["__row"])
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    numbered = save(docs.select(own.alias("d"), F.monotonically_increasing_id().alias("__row")), "numbered")
+    place = {c: F.col(f"d.c{i}") for i, c in enumerate(docs.columns)}
+    plain = numbered.select("__row", place["doc_id"].alias("doc_id"), place[text_col].alias("text"))
+    found = simhash_components(plain, distance, width, "doc_id", "text", ["__row"])
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("first"))
-    return numbered.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    return numbered.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*[v.alias(c) for c, v in place.items()])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from losslens.llm.common import bytes_of, drop_saved, remainder, save, slices
+from losslens.llm.common import bytes_of, drop_saved, remainder, save, slices, without_dots
 
 #: Kernel: weight per character of span, longest span, characters of a string looked at in one window (with its two ends).
 DECAY, SPAN, WINDOW = 0.7, 7, 24
@@ -344,11 +344,12 @@ def score_texts(machine: Machine | None, texts: list[bytes]) -> np.ndarray:
 
 def drop_toxic(docs: DataFrame, machine: Machine | None, threshold: float = 0.7) -> DataFrame:
     """The rows whose text scores below ``threshold``, all their columns as they were; null and empty texts score as texts without strings and stay, repeated rows stay or go together."""
-    at = docs.columns.index("text")
+    names, docs = docs.columns, without_dots(docs)
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
                 yield part.filter(pa.array(score_texts(machine, bytes_of(part, at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
