@@ -1,15 +1,18 @@
 """Line dedup with two Bloom filters.
 
 A first pass hashes the keys of each document's distinct lines (128 bits each,
-with how often a task met it) into a saved table.  The hashes then go, packed,
-to shards by their first bits; a shard holds about SHARD_LINES of them, however
-many there are in all.  Each shard fills two filters over the same bit
-positions, one for hashes seen once and one for those seen twice, so a repeated
-hash is never missed.  Only hashes all of whose bits are in the second filter,
-the suspected repeats, are shuffled on, for their number of documents.  Lines
-whose hash then may be in enough documents are counted by their own text, which
-is exact, and the first occurrence is chosen among them.  Lines seen once never
-travel as text.
+with how often a task met it) into a saved table, bucketed by the run of lines
+it came from.  A filter is owned in parts, by the first bits of the hashes.
+What travels to a part is not the hashes but the filter positions that a run of
+lines sets in it, sorted and packed, about two bytes a line; a position that a
+second run sets goes from the once-seen filter to the twice-seen one, so a
+repeated line is never missed.  Each run gets back one bit for each position
+that it sent, and only lines all of whose bits are in the twice-seen filter, the
+suspected repeats, are shuffled on as hashes, for their number of documents.
+The saved hashes meet the answers where they lie, bucket by bucket.  Lines whose
+hash then may be in enough documents are counted by their own text, which is
+exact, and the first occurrence is chosen among them.  Lines seen once never
+travel, neither as text nor as a hash.
 """
 
 from __future__ import annotations
@@ -21,18 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from losslens.llm.common import bytes_of, drop_saved, hot_join, save, slices
+from losslens.llm.common import bucketed, bytes_of, drop_saved, hot_join, save, slices, without_dots
 
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
-#: Hashes a shard holds on average, and bits of its filters for each.
-SHARD_LINES, BITS_A_LINE = 1 << 18, 16
-#: Most partitions of the shards; one with several works through them in turn.
-MOST_PARTITIONS = 10_000
-#: Positions set for each hash.
-PROBES = 3
+#: Lines of a part of the filters on average, and bits of each filter for a line.
+PART_LINES, BITS_A_LINE = 1 << 18, 16
+#: Most parts; beyond, their filters grow.
+MOST_PARTS = 10_000
+#: Positions set for each hash in the twice-seen filters, and in the filter of candidates.
+TRAVELLING, PROBES = 2, 3
 #: Distinct lines a task counts before it passes them on, and hashes handled at a time.
 HELD_LINES, STEP = 200_000, 1 << 16
 #: The filter of candidates, at most 2**MOST_BITS bits, goes to every task; with too many candidates it lets more lines through to be counted, and loses none.
@@ -70,14 +74,19 @@ class FilterPair:
         self.once = np.zeros(1 << (bits - 3), np.uint8)
         self.twice = np.zeros(1 << (bits - 3), np.uint8)
 
-    def add(self, hashes: np.ndarray) -> None:
-        """Count hashes; a bit that two of them share, or that was set before, is set in the second filter."""
-        positions, times = np.unique(probes(hashes, self.bits), return_counts=True)
+    def add(self, positions: np.ndarray) -> None:
+        """Set the different positions of a run of lines; those that an earlier run has set go to the second filter."""
         at, mask = (positions >> np.uint64(3)).astype(np.int64), (1 << (positions & np.uint64(7))).astype(np.uint8)
-        again = ((self.once[at] & mask) > 0) | (times > 1)
+        again = (self.once[at] & mask) > 0
         np.bitwise_or.at(self.twice, at[again], mask[again])
         np.bitwise_or.at(self.once, at, mask)
 
+    def add_hashes(self, hashes: np.ndarray) -> None:
+        self.add(np.unique(probes(hashes, self.bits)))
+
+    def known_twice(self, positions: np.ndarray) -> np.ndarray:
+        return (self.twice[(positions >> np.uint64(3)).astype(np.int64)] >> (positions & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
 
 def suspected(twice: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     positions = probes(hashes, bits)
@@ -86,14 +95,17 @@ def suspected(twice: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def line_hashes(docs: DataFrame, text_col: str, least: int) -> DataFrame:
-    """(hashes, times binary): packed hashes of the distinct line keys of at least ``least`` code points in a document, and in how many documents a task met each."""
+    """(run, hashes, times): packed hashes of the distinct line keys of at least ``least`` code points, HELD_LINES at a time, and in how many documents of the run each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        number = TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
+            nonlocal number
             times = np.fromiter(held.values(), "<u4", len(held)).tobytes()
-            made = pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary()), pa.array([times], pa.binary())], ["hashes", "times"])
+            made = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([times], pa.binary())], ["run", "hashes", "times"])
+            number += 1
             held.clear()
             return made
 
@@ -105,7 +117,7 @@ def line_hashes(docs: DataFrame, text_col: str, least: int) -> DataFrame:
                         yield out()
         yield out()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hashes binary, times binary")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "run long, hashes binary, times binary")
 
 
 def keys_of(text: bytes, least: int) -> set[bytes]:
@@ -115,47 +127,83 @@ def keys_of(text: bytes, least: int) -> set[bytes]:
     return keys if least <= 1 else {k for k in keys if len(k.decode()) >= least}
 
 
-def suspects(hashed: DataFrame, shards: int) -> DataFrame:
-    """(hash binary, times long): the hashes that a shard's filters take for repeats."""
+def packed(positions: np.ndarray) -> bytes:
+    """Sorted different positions as their steps, byte planes apart, compressed."""
+    steps = np.diff(positions.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    return len(steps).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(steps.view("u1").reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd", asbytes=True), "u1")
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel(), dtype=np.uint64)
+
+
+def by_part(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places of its hashes), part by part."""
+    part = ((hashes[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+        yield int(part[some[0]]), some
+
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def travelling(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """(n, TRAVELLING) positions in a part's filters."""
+    step = np.arange(TRAVELLING, dtype=np.uint64)
+    return (hashes[:, 1:] + step * (hashes[:, :1] | np.uint64(1))) & np.uint64((1 << bits) - 1)
+
+
+def suspects(hashed: DataFrame, lines: int) -> DataFrame:
+    """(hash binary, times long): the hashes that the twice-seen filters take for repeats, and those that one run has in several documents.
+
+    hashed has run, hashes and times, a row for each run; ``lines`` is about how
+    many hashes it has.  A part's positions of all runs lie in one task's memory,
+    packed: PART_LINES lines, or one in MOST_PARTS of all.
+    """
+    parts = min(MOST_PARTS, max(1, lines // PART_LINES))
+    bits = bits_for(-(-lines // parts), 32)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, data in zip(batch.column(0).to_pylist(), bytes_of(batch, 1)):
+                hashes = halves([data])
+                rows = [(p, packed(np.unique(travelling(hashes[some], bits)))) for p, some in by_part(hashes, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(rows), pa.int64()), pa.array([p for p, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["run", "part", "positions"])
+
+    def answer(part: int | None, runs: list[int], sent: list[bytes]) -> pa.RecordBatch:
+        pair = FilterPair(bits) if runs else None
+        for data in sent:
+            pair.add(unpacked(data))
+        masks = [np.packbits(pair.known_twice(unpacked(data))).tobytes() for data in sent]
+        return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array([part] * len(runs), pa.int64()), pa.array(masks, pa.binary())], ["run", "part", "mask"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, runs, sent = None, [], []
         for batch in batches:
-            for packed, times in zip(bytes_of(batch, 0), bytes_of(batch, 1)):
-                hashes, times = halves([packed]), np.frombuffer(times, "<u4")
-                shard = ((hashes[:, 0] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.flatnonzero(np.diff(shard[order])) + 1
-                groups = np.split(order, cuts) if len(order) else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(shard[g[0]]) for g in groups], pa.int64()), pa.array([hashes[g].tobytes() for g in groups], pa.binary()), pa.array([times[g].tobytes() for g in groups], pa.binary())], ["shard", "hashes", "times"]
-                )
+            for run, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch, 2)):
+                if part != now:
+                    yield answer(now, runs, sent)
+                    now, runs, sent = part, [], []
+                runs.append(run)
+                sent.append(data)
+        yield answer(now, runs, sent)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, packed, often = None, [], []
         for batch in batches:
-            for shard, hashes, times in zip(batch.column(0).to_pylist(), bytes_of(batch, 1), bytes_of(batch, 2)):
-                if shard != now:
-                    yield from repeats(packed, often)
-                    now, packed, often = shard, [], []
-                packed.append(hashes)
-                often.append(times)
-        yield from repeats(packed, often)
-
-    return hashed.mapInArrow(deal, "shard long, hashes binary, times binary").repartition(min(shards, MOST_PARTITIONS), "shard").sortWithinPartitions("shard").mapInArrow(pick, "hash binary, times long")
-
-
-def repeats(packed: list[bytes], often: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """A shard's suspected repeats: those the second filter knows, and those one task met twice."""
-    hashes, times = halves(packed), np.frombuffer(b"".join(often), "<u4")
-    if not len(hashes):
-        return
-    pair = FilterPair(bits_for(len(hashes)))
-    for at in range(0, len(hashes), STEP):
-        pair.add(hashes[at : at + STEP])
-    for at in range(0, len(hashes), STEP):
-        some, n = hashes[at : at + STEP], times[at : at + STEP]
-        keep = suspected(pair.twice, some, pair.bits) | (n > 1)
-        yield pa.RecordBatch.from_arrays([pa.array([h.tobytes() for h in some[keep]], pa.binary()), pa.array(n[keep].astype(np.int64))], ["hash", "times"])
+            for row in batch.to_pylist():
+                hashes, times, masks = halves([row["hashes"]]), np.frombuffer(row["times"], "<u4"), {m["part"]: m["mask"] for m in row["masks"]}
+                keep = times > 1
+                for part, some in by_part(hashes, parts):
+                    positions = travelling(hashes[some], bits)
+                    different = np.unique(positions)
+                    twice = np.unpackbits(np.frombuffer(masks[part], np.uint8), count=len(different)).astype(bool)
+                    keep[some] |= twice[np.searchsorted(different, positions)].all(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([h.tobytes() for h in hashes[keep]], pa.binary()), pa.array(times[keep].astype(np.int64))], ["hash", "times"])
+
+    sent = hashed.select("run", "hashes").mapInArrow(send, "run long, part long, positions binary")
+    answers = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(own, "run long, part long, mask binary")
+    masks = answers.groupBy("run").agg(F.collect_list(F.struct("part", "mask")).alias("masks"))  # a bit for each position of the run
+    return hashed.join(masks, "run").select("hashes", "times", "masks").mapInArrow(pick, "hash binary, times long")
 
 
 def bits_for(n: int, most: int = 63) -> int:
@@ -170,7 +218,7 @@ def candidate_filter(candidates: DataFrame, n: int) -> tuple[np.ndarray, int]:
         pair = FilterPair(bits)
         for batch in batches:
             for part in slices(batch, 0):
-                pair.add(halves(bytes_of(part, 0)))
+                pair.add_hashes(halves(bytes_of(part, 0)))
         for at in range(0, len(pair.once), BLOCK):
             if pair.once[at : at + BLOCK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pair.once[at : at + BLOCK].tobytes()], pa.binary())], ["at", "bits"])
@@ -193,11 +241,10 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10,
     if min_docs < 2:
         raise ValueError("a line of one document isn't repeated")
     spark = docs.sparkSession
-    hashed = save(line_hashes(docs, text_col, least), "line-hashes")
-    n = hashed.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0)) / 16).first()[0]
-    counted = suspects(hashed, max(1, int(n) // SHARD_LINES)).groupBy("hash").agg(F.sum("times").alias("docs")).where(F.col("docs") >= min_docs)
-    candidates = save(counted, "line-candidates")
-    drop_saved(hashed)
+    with bucketed(line_hashes(docs, text_col, least), "line-hashes", "run") as hashed:
+        n = hashed.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0)) / 16).first()[0]
+        counted = suspects(hashed, int(n)).groupBy("hash").agg(F.sum("times").alias("docs")).where(F.col("docs") >= min_docs)
+        candidates = save(counted, "line-candidates")
     known, bits = candidate_filter(candidates, candidates.count())
     drop_saved(candidates)
     shared = spark.sparkContext.broadcast(known)
@@ -242,11 +289,14 @@ def drop_repeated_lines(
     stay: the first in the first document by doc_id (null last).  Repeated rows
     are documents of their own; columns may have any names.
     """
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
+    docs = without_dots(docs)
+    text_col = docs.columns[names.index(text_col)]
     found, passing = repeated_lines(docs, text_col, min_docs, least)
     n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
     if keep_first or n > broadcast_lines or size > BROADCAST_BYTES:
-        return _drop_by_join(docs, found, passing, text_col, least, keep_first, report)
+        joined = _drop_by_join(docs, found, passing, text_col, least, keep_first, report)
+        return joined if report else joined.toDF(*names)
     known = spark.sparkContext.broadcast(frozenset(found.select("key").toArrow().column(0).to_pylist()))  # at most broadcast_lines, BROADCAST_BYTES
     text_at = docs.columns.index(text_col)
 
@@ -261,7 +311,7 @@ def drop_repeated_lines(
     if report:
         kind = docs.schema["doc_id"].dataType.simpleString()
         return docs.select("doc_id", F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {REPORT}")
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 REPORT = "n_lines long, n_dropped long, kept_sha256 string"

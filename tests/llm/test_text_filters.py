@@ -50,11 +50,26 @@ def test_filters_never_miss_a_repeat():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 1 << 63, (4000, 2)).astype(np.uint64) for _ in range(2))
     one, two = line_dedup.FilterPair(12), line_dedup.FilterPair(12)
-    one.add(a)
-    two.add(np.concatenate([b, a[:100]]))
+    one.add_hashes(a)
+    two.add_hashes(np.concatenate([b, a[:100]]))
     assert line_dedup.suspected(one.twice | two.twice | (one.once & two.once), a[:100], 12).all()
 
 
+def test_positions_travel_packed_and_come_back_as_bits():
+    rng = np.random.default_rng(2)
+    runs = [rng.integers(0, 1 << 63, (3000, 2)).astype(np.uint64) for _ in range(3)]
+    runs[2] = np.concatenate([runs[2], runs[0][:50]])
+    pair, sent = line_dedup.FilterPair(18), [np.unique(line_dedup.travelling(r, 18)) for r in runs]
+    for positions in sent:
+        data = line_dedup.packed(positions)
+        assert (line_dedup.unpacked(data) == positions).all() and len(data) < 3 * len(positions)
+        pair.add(line_dedup.unpacked(data))
+    twice = pair.known_twice(line_dedup.travelling(runs[0], 18)).all(axis=1)
+    assert twice[:50].all() and twice[50:].mean() < 0.02
+    assert len(line_dedup.unpacked(line_dedup.packed(np.zeros(0, np.uint64)))) == 0
+    assert sorted(i for _, some in line_dedup.by_part(runs[0], 7) for i in some.tolist()) == list(range(3000))
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_columns_named_like_the_operators_own(spark, keep_first):
     rows = spark.createDataFrame([(i, f"one {i}\ncommon", i, 7, b"k", [0], i) for i in range(12)], "doc_id long, text string, n_lines long, n_dropped int, key binary, places array<int>, row long")
@@ -69,7 +84,7 @@ def test_many_shards_and_a_full_filter_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     digest = lambda: sorted(map(tuple, line_dedup.drop_repeated_lines(docs, report=True, min_docs=3).collect()))
     want = digest()
-    monkeypatch.setattr(line_dedup, "SHARD_LINES", 50)
+    monkeypatch.setattr(line_dedup, "PART_LINES", 50)
     monkeypatch.setattr(line_dedup, "HELD_LINES", 20)
     monkeypatch.setattr(line_dedup, "LEAST_BITS", 5)
     monkeypatch.setattr(line_dedup, "MOST_BITS", 5)
