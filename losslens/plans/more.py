@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from losslens.plans.registry import query
-from losslens.streaming.incremental import ModelClient, call_model
+from losslens.streaming.incremental import ModelClient, call_bounded, call_model
 
 #: Our own code texts by codec, plain and blinded.
 CODE = {("rle", False): "def rle(x): ...", ("rle", True): "def f(x): ...", ("lzw", False): "def lzw(x): ...", ("lzw", True): "def g(x): ..."}
@@ -72,3 +73,23 @@ def model_answers(benchmark):
 @query("X33", "SELECT doc_id, format('{:03d}_{}.txt', doc_id, lang) AS name, '/media/' || lang || '/' || doc_id || '.png' AS path FROM documents", "documents")
 def artifact_names(documents):
     return documents.select("doc_id", F.format_string("%03d_%s.txt", "doc_id", "lang").alias("name"), F.concat(F.lit("/media/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
+
+
+@query("R4 D7", "SELECT conv_id, turn, split_part(text, chr(10), -1) AS answer FROM conversations", "conversations")
+def bounded_answers(conversations):
+    """Answers of the stand-in client to every turn, never more than four calls at a time over all tasks."""
+    rows = conversations.select("conv_id", F.col("turn").alias("at"), F.col("text").alias("prompt"))
+    return call_bounded(rows, ModelClient(), 4, quantum=2000).select("conv_id", F.col("at").alias("turn"), "answer")
+
+
+@query("W10 X35", """WITH w AS (SELECT conv_id, turn, row_number() OVER o AS step, count(*) OVER (PARTITION BY conv_id) AS steps, sum(length(text)) OVER o AS elapsed FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, elapsed / step AS average, (steps - step) * elapsed // step AS remaining FROM w)
+SELECT conv_id, turn, elapsed::BIGINT AS elapsed, round(average, 6) AS average, remaining::BIGINT AS remaining, format('{}:{:02d}:{:02d}', (remaining // 3600)::BIGINT, (remaining % 3600 // 60)::BIGINT, (remaining % 60)::BIGINT) AS eta FROM r""", "conversations")
+def step_progress(conversations):
+    """A conversation's turns as steps that take a second a character: elapsed time, average step, and what is left at each step."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    steps = conversations.groupBy("conv_id").agg(F.count("*").alias("steps"))
+    rows = conversations.select("conv_id", "turn", F.row_number().over(by).alias("step"), F.sum(F.length("text")).over(by).alias("elapsed")).join(steps, "conv_id")
+    left = F.expr("(steps - step) * elapsed div step")
+    eta = F.format_string("%d:%02d:%02d", F.expr("remaining div 3600"), F.expr("remaining % 3600 div 60"), F.expr("remaining % 60"))
+    return rows.withColumn("remaining", left).select("conv_id", "turn", "elapsed", F.round(F.col("elapsed") / F.col("step"), 6).alias("average"), "remaining", eta.alias("eta"))

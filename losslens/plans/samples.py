@@ -165,7 +165,7 @@ def prediction_files(benchmark):
     return spark.read.schema("prompt string, predict string, label string").json(folder).select("label", F.sha2("prompt", 256).alias("prompt_sha256"), "predict")
 
 
-@query("G6", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'app:' || chr(10) || '  name: MyService' || c_custkey || chr(10) || '  version: 1.2.' || (c_custkey % 9 + 1) || chr(10) || '  debug: false' || chr(10) WHEN 1 THEN 'replicaCount: ' || (c_custkey % 4 + 1) || chr(10) || 'image:' || chr(10) || '  tag: stable-' || (c_custkey % 3) || chr(10) ELSE 'version: 2.1' || chr(10) || 'jobs:' || chr(10) || '  test:' || chr(10) || '    docker:' || chr(10) || '      - image: python:3.' || (9 - c_custkey % 3) || chr(10) END AS text FROM customer", "customer")
+@query("G6", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'service:' || chr(10) || '  title: Lantern' || c_custkey || chr(10) || '  release: 4.0' || (c_custkey % 9 + 1) || chr(10) || '  verbose: no' || chr(10) WHEN 1 THEN 'copies: 1' || (c_custkey % 4) || chr(10) || 'picture:' || chr(10) || '  label: calm-' || (c_custkey % 3) || chr(10) ELSE 'version: 2' || (c_custkey % 3) || chr(10) || 'jobs:' || chr(10) || '  row:' || chr(10) || '    machine: small-' || c_custkey || chr(10) END AS text FROM customer", "customer")
 def yaml_texts(customer):
     """Three kinds of configuration texts, numbered by customers."""
     i = F.col("c_custkey")
@@ -189,10 +189,66 @@ def log_records(events):
     return events.select("event_id", G.log_category(level, endpoint, module, duration).alias("category"), line.alias("line"))
 
 
-@query("G1 G3 G4 G7 G8", None, "region")
-def generated_samples(region):
-    """Every category of the five sources, equal texts once."""
-    return G.mixed(region.sparkSession, 2000)
+def _draw(n, *salt, key: str = "id") -> str:
+    """SQL of ``generators.draw``."""
+    return f"(('0x' || substr(md5({' || '.join([key, "':42'", *[f"':' || {s}" for s in salt]])}), 1, 13))::BIGINT % {n})"
+
+
+def _pick(values: list[str], *salt) -> str:
+    return f"list_element({values}, {_draw(len(values), *salt)} + 1)"
+
+
+def _letters(alphabet: str, length, *salt, first: int = 1, key: str = "id") -> str:
+    return f"array_to_string(list_transform(range({first}, {length} + {first}), lambda i: substr('{alphabet}', {_draw(len(alphabet), 'i', *salt, key=key)} + 1, 1)), '')"
+
+
+_REPEATS = f"(CASE WHEN length(m) * 8 > 40 THEN 8 ELSE 8 + {_draw('(40 // length(m) - 7)', 5)} END)"
+_CHOSEN = f"list_transform(list_sort(list_transform(range(1, 121), lambda i: {{'h': {_draw(1 << 52, 'i')}, 'i': i}}))[1:(id // 10 % 4)], lambda p: p.i)"
+DNA_SQL = f"""WITH d AS (SELECT doc_id AS id, doc_id FROM documents), k AS (SELECT id, {_pick(G.MOTIFS, 1)} AS m, {_pick(G.SITES, 2)} AS site, id // 40 AS family FROM d),
+s AS (SELECT *, {_letters('ACGT', 120, key='family')} AS shared, {_CHOSEN} AS chosen, {_letters('ACGT', f'(120 + {_draw(181, 6)})', 7)} AS long FROM k)
+SELECT id, CASE id % 10 WHEN 0 THEN {_letters('ACGT', f'(60 + {_draw(141, 10)})', 11)} WHEN 1 THEN repeat(m, {_REPEATS}) WHEN 2 THEN site || reverse(translate(site, 'ACGT', 'TGCA'))
+WHEN 3 THEN 'ATG' || array_to_string(list_transform(range(1, 21 + {_draw(41, 3)}), lambda i: {_pick(G.CODONS, 4, 'i')}), '') || {_pick(G.STOPS, 12)}
+WHEN 4 THEN {_letters('ACGT', 20, 13)} || repeat({_pick(G.SATELLITES, 14)}, 6 + {_draw(15, 15)}) || {_letters('ACGT', 20, 16)}
+WHEN 5 THEN array_to_string(list_transform(string_split(shared, ''), lambda c, i: CASE WHEN list_contains(chosen, i) THEN substr(replace('ACGT', c, ''), {_draw(3, '(i - 1)')} + 1, 1) ELSE c END), '')
+WHEN 6 THEN repeat('G', 6 + {_draw(9, 17)}) || {_letters('GC', 10, 18)} || {_letters('ACGT', 60, 19)} || {_letters('GC', 10, 20)} || repeat('C', 6 + {_draw(9, 21)})
+WHEN 7 THEN '>seq_' || (id // 10) || chr(10) || array_to_string(regexp_extract_all(long, '.{{1,60}}'), chr(10))
+WHEN 8 THEN repeat({_pick(G.REPEATED, 22)}, 20 + {_draw(101, 23)})
+ELSE array_to_string(list_sort(list_distinct(list_transform(range(1, 11 + {_draw(41, 9)}), lambda i: array_to_string(list_transform(range(1, 4 + {_draw(4, 8)}), lambda j: substr('ACGT', {_draw(4, 'i', 'j')} + 1, 1)), '')))), '') END AS text FROM s"""
+
+
+@query("G1 G3", DNA_SQL, "documents")
+def generated_dna(documents):
+    """A DNA-like text for each document's id, ten categories in turn."""
+    return G.dna(documents.select(F.col("doc_id").alias("id"))).select("id", "text")
+
+
+def _table(mark: str, cell: str, headers: int) -> str:
+    names = f" || {mark} || ".join(f"'col{i}'" for i in range(1, 6))
+    return " || ".join([f"{names} || chr(10)"] * headers) + f" || array_to_string(list_transform(range(5), lambda r: array_to_string(list_transform(range(5), lambda c: {cell}), {mark})), chr(10))"
+
+
+_AT = "(r * 5 + c)"
+_SMALL = "array_to_string(list_transform(range(1, LENGTH + 1), lambda i: substr('ALPHABET', DRAW + 1, 1)), '')"
+_CELLS = {
+    "numeric": f"{_draw(1001, 40, _AT)}::VARCHAR", "alphanumeric": f"{_draw(1001, 40, _AT)}::VARCHAR",
+    "mixed_types": f"CASE {_draw(3, 41, _AT)} WHEN 0 THEN {_draw(501, 42, _AT)}::VARCHAR WHEN 1 THEN {_pick(['TRUE', 'FALSE', 'NULL'], 43, _AT)} ELSE " + _SMALL.replace("LENGTH", "4").replace("ALPHABET", G.SMALL).replace("DRAW", _draw(26, "i", 44, _AT)) + " END",
+    "repeated_header": _SMALL.replace("LENGTH", "3").replace("ALPHABET", G.CAPITALS + G.SMALL).replace("DRAW", _draw(52, "i", 47, _AT)),
+    "sparse": f"CASE WHEN {_draw(5, 45, _AT)} = 0 THEN {_draw(101, 46, _AT)}::VARCHAR ELSE '' END",
+}
+_KINDS = [(name, kind) for name in ("csv", "tsv") for kind in _CELLS]
+TABLES_SQL = "WITH d AS (SELECT doc_id AS id FROM documents) SELECT id, CASE id % 10 " + " ".join(f"WHEN {i} THEN 'tabular_{name}_{kind}'" for i, (name, kind) in enumerate(_KINDS)) + " END AS category, sha256(CASE id % 10 " + " ".join(f"WHEN {i} THEN " + _table("','" if name == "csv" else "chr(9)", _CELLS[kind], 2 if kind == "repeated_header" else 1) for i, (name, kind) in enumerate(_KINDS)) + " END) AS text_sha256 FROM d"
+
+
+@query("G7", TABLES_SQL, "documents")
+def generated_tables(documents):
+    """A small table for each document's id, ten kinds in turn."""
+    return G.tables(documents.select(F.col("doc_id").alias("id"))).select("id", "category", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("G4 G8", None, "documents")
+def generated_samples(documents):
+    """A sample of each of the five sources for each document's id, equal texts once."""
+    return G.mixed(documents.select(F.col("doc_id").alias("id")))
 
 
 @query("X37 F8", """WITH c AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS p, max(CASE WHEN turn = 1 THEN text END) AS r FROM conversations GROUP BY conv_id)

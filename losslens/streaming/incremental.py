@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -102,6 +105,68 @@ def call_model(rows: DataFrame, client: ModelClient, prompt: str = "prompt", ans
     return rows.mapInPandas(run, f"{kinds}, `{answer}` string")
 
 
+def leases(waiting: list[int], bound: int, turn: int = 0) -> list[int]:
+    """How many calls each task may run at once: the bound dealt one by one, from another task each turn, to those that have prompts waiting."""
+    out = [0] * len(waiting)
+    while sum(out) < bound:
+        before = sum(out)
+        for k in range(len(waiting)):
+            i = (k + turn) % len(waiting)
+            if out[i] < waiting[i] and sum(out) < bound:
+                out[i] += 1
+        if sum(out) == before:
+            break
+    return out
+
+
+def call_bounded(rows: DataFrame, client: ModelClient, bound: int, prompt: str = "prompt", answer: str = "answer", quantum: int = 256, tries: int = 2, pause: float = 5.0) -> DataFrame:
+    """Rows with the client's answers, ``bound`` calls at a time over the whole cluster, and ``turn`` and ``done``: when they came, in a task's order of completion.
+
+    The tasks run together in a barrier stage.  Before each turn they tell each
+    other how many prompts they have waiting and find from that, each by itself,
+    the same leases; a task then runs as many calls at once as its lease says, for
+    at most ``quantum`` prompts a call.  A task that is lost ends the stage, which
+    Spark runs again from its input.  A null prompt is an empty one; a prompt that
+    fails ``tries`` times has a null answer.
+    """
+    if bound < 1:
+        raise ValueError("at least one call must be allowed")
+    spark = rows.sparkSession
+    tasks = max(1, min(bound, spark.sparkContext.defaultParallelism))
+    names = rows.columns
+    at = names.index(prompt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, turn, done, held = BarrierTaskContext.get(), 0, 0, []
+        source = ((batch, i) for batch in batches for i in range(batch.num_rows))
+
+        def one(place: tuple[pa.RecordBatch, int]) -> tuple:
+            batch, i = place
+            return batch.slice(i, 1), ask(client, [batch.column(at)[i].as_py() or ""], 1, tries, pause)[0]
+
+        while True:
+            held += islice(source, bound * quantum - len(held))
+            waiting = [int(x) for x in context.allGather(str(len(held)))]
+            if not any(waiting):
+                return
+            mine = leases(waiting, bound, turn)[context.partitionId()]
+            some, held = held[: mine * quantum], held[mine * quantum :]
+            if some:
+                out, answers = [], []
+                with ThreadPoolExecutor(mine) as pool:
+                    for future in as_completed([pool.submit(one, x) for x in some]):
+                        row, said = future.result()
+                        out.append(row)
+                        answers.append(said)
+                whole = pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(answers, pa.string()), pa.array([turn] * len(out), pa.int64()), pa.array(range(done, done + len(out)), pa.int64())], [*names, answer, "turn", "done"])
+                done += len(out)
+            turn += 1
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(tasks).mapInArrow(run, f"{kinds}, `{answer}` string, turn long, done long", barrier=True)
+
+
 # What a model is asked to bring an answer into its form.
 REPAIR_SYSTEM = 'You must output ONLY:\n[ANSWER]\n{"output": <value>}\n[/ANSWER]\nNo other text, code, or explanations.'
 REPAIR_USER = ("Rewrite into the required format. If it already contains the needed value, keep it.\n------\n", "\n------")

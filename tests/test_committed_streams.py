@@ -1,5 +1,7 @@
 import json
 import os
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from losslens.sources import appends, scans
 from losslens.streaming import verification
+from losslens.streaming.incremental import ModelClient, call_bounded, leases
 
 SCHEMA = "id long, text string"
 
@@ -120,3 +123,39 @@ def test_pages_are_laid_out_by_tasks(spark, tmp_path):
     none = f"file://{tmp_path}/none"
     assert scans.write_pages(spark.createDataFrame([], "start_time long, model string, num_model_requests long"), none) == 0
     assert scans.read_pages(spark, client="folder", path=none).count() == 0
+
+
+def test_leases_are_fair_and_bounded():
+    assert leases([5, 5, 5], 4) == [2, 1, 1] and leases([5, 5, 5], 4, 1) == [1, 2, 1]
+    assert leases([0, 9, 0], 4) == [0, 4, 0] and leases([0, 0], 4) == [0, 0] and leases([1, 1], 9) == [1, 1]
+
+
+class CountingClient(ModelClient):
+    """Notes when each call began and ended."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def complete(self, prompts):
+        began = time.time_ns()
+        time.sleep(0.01)
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{began} {time.time_ns()}")
+        if prompts == ["down"]:
+            raise OSError
+        return super().complete(prompts)
+
+
+def test_calls_never_pass_the_bound_of_the_cluster(spark, tmp_path):
+    rows = [(i, f"a\nq{i}" if i % 50 else "down") for i in range(149)] + [(1000, None)]
+    got = call_bounded(spark.createDataFrame(rows, "id long, prompt string").repartition(7), CountingClient(str(tmp_path)), 3, quantum=5, tries=2, pause=0.0).collect()
+    assert {r.id: r.answer for r in got} == {i: None if p == "down" else (p or "").split("\n")[-1] for i, p in rows}
+    times = sorted((t, step) for f in os.listdir(tmp_path) for t, step in zip(map(int, (tmp_path / f).read_text().split()), (1, -1)))
+    running = most = 0
+    for _, step in times:
+        running += step
+        most = max(most, running)
+    assert 1 < most <= 3 and len(times) == 2 * (len(rows) + 3)
+    assert call_bounded(spark.createDataFrame([], "id long, prompt string"), ModelClient(), 2).count() == 0
+    with pytest.raises(ValueError):
+        call_bounded(spark.range(1).selectExpr("id", "'x' AS prompt"), ModelClient(), 0)

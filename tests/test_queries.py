@@ -73,8 +73,12 @@ def test_text_metrics_lie_between_zero_and_one(spark):
 
 def test_generated_samples_are_stable_and_distinct(spark):
     one, two = (sorted(map(tuple, catalog.QUERIES["generated_samples"](spark, SMALL).collect())) for _ in range(2))
-    assert one == two and len({t for _, _, t in one}) == len(one)
+    assert one == two and len({t for *_, t in one}) == len(one)
+    ids = {r.doc_id for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert {i for _, i, _, _ in one} == ids and {s for s, *_ in one} == set(range(5))
     from losslens.functions.codecs import rle_encode
 
-    assert all(t == t.translate(str.maketrans("ACGT", "TGCA"))[::-1] for _, c, t in one if c == "string_dna_rc_palindrome")
+    assert all(t == t.translate(str.maketrans("ACGT", "TGCA"))[::-1] for _, _, c, t in one if c == "string_dna_rc_palindrome")
+    assert all(t == t[::-1] for _, _, c, t in one if c in ("string_palindrome", "string_near_palindrome"))
+    assert all(len(set(t)) == 1 and len(rle_encode(t)) == 1 for _, _, c, t in one if c == "string_char_repeat")
     assert rle_encode("") == []

@@ -138,19 +138,19 @@ def test_repairs_of_texts_without_an_answer(spark):
 
 
 def test_generated_categories(spark):
-    dna = generators.dna(spark, 400).collect()
+    dna = generators.dna(spark.range(400)).collect()
     assert len({r.category for r in dna}) == 10
     by = lambda kind: [r.text for r in dna if r.category == f"string_dna_{kind}"]
     assert all(t[:3] == "ATG" and t[-3:] in generators.STOPS and len(t) % 3 == 0 for t in by("orf_like")) and len(set(by("palindrome_rc"))) <= 5
     bases, *variants = by("snp_variants")[:4]
     assert [sum(a != b for a, b in zip(bases, v)) for v in variants] == [1, 2, 3]
     assert all(t.startswith(">seq_") and max(map(len, t.split("\n"))) <= 60 for t in by("fasta_record"))
-    strings = generators.strings(spark, 150).collect()
+    strings = generators.strings(spark.range(150)).collect()
     assert len({r.category for r in strings}) == 15 and all(r.text for r in strings)
     assert all(r.text == r.text[::-1] for r in strings if r.category == "string_near_palindrome")
-    assert len({r.category for r in generators.yamls(spark, 30).collect()}) == 10
-    tables = generators.tables(spark, 20).collect()
+    assert len({r.category for r in generators.yamls(spark.range(30)).collect()}) == 10
+    tables = generators.tables(spark.range(20)).collect()
     assert len({r.category for r in tables}) == 10 and all(len(r.text.split("\n")) == (7 if "repeated" in r.category else 6) for r in tables)
-    assert generators.logs(spark, 50).where(F.col("category") == "log_slow_request").where("meta.duration <= 2.5").count() == 0
-    few = generators.top_up(generators.dna(spark, 10).where("id < 4"), 9)
+    assert generators.logs(spark.range(50)).where(F.col("category") == "log_slow_request").where("meta.duration <= 2.5").count() == 0
+    few = generators.top_up(generators.dna(spark.range(10)).where("id < 4"), 9)
     assert few.count() == 9 and few.select("id").distinct().count() == 9 and generators.top_up(few, 3).count() == 3
