@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from losslens.functions import codecs
-from losslens.operators import prompts, report, stages, templates
+from losslens.operators import prompts, report, stages
 from losslens.plans.registry import query
 from losslens.sources import files
 from losslens.sources.saved import fresh, saved
@@ -177,10 +177,3 @@ def report_pivot(documents):
 def program_texts(benchmark):
     """Texts of programs; nothing runs them."""
     return benchmark.select("item_id", F.sha2(prompts.program("solution", F.col("text"), F.col("item_id").cast("string"), F.lit("solve")), 256).alias("program_sha256"))
-
-
-@query("X43", None, "region")
-def template_forms(region):
-    """Every template in two other template languages."""
-    rows = [(n, templates.to_jinja(n), templates.to_ollama(n)) for n in sorted(templates.TEMPLATES)]
-    return region.sparkSession.createDataFrame(rows, "name string, jinja string, ollama string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from losslens.operators import tools
+from losslens.operators import languages, templates, tools
 from losslens.plans.registry import query
 
 #: One to three calls of each turn; a name of its own and the text as an argument.
@@ -60,3 +60,43 @@ def filled_slots(conversations):
     """Slots with tokens, a text filled once for each name, and what is left of a second placeholder."""
     parts = tools.slots([{"bos"}, "Human: {{content}}\nAgain: {{content}} {{role}}"], content=F.col("text"), role=F.col("role"))
     return conversations.select("conv_id", "turn", F.sha2(F.array_join(parts, ""), 256).alias("filled_sha256"))
+
+
+BOS, EOS = "<s>", "</s>"
+#: Templates that are compared; their default system texts stand where a conversation has none.
+NAMES = sorted(templates.TEMPLATES)
+
+
+def _form_sql(form: str, value: str) -> str:
+    """SQL of a form with a value in it."""
+    quoted = ["'" + part.replace("'", "''") + "'" for part in form.split("{{content}}")]
+    return "(" + f" || {value} || ".join(quoted) + ")"
+
+
+def _rendered_sql(name: str) -> str:
+    t = templates.with_marks(templates.TEMPLATES[name], BOS, EOS)
+    default = "'" + t.default_system.replace("'", "''") + "'" if t.default_system else "NULL"
+    head = f"coalesce({_form_sql(t.system, f'coalesce(system, {default})')}, '')"
+    user = f"CASE WHEN i = 1 THEN {head} ELSE '' END || text" if t.inside else "text"
+    turns = f"string_agg(CASE role WHEN 'user' THEN {_form_sql(t.user, f'({user})')} ELSE {_form_sql(t.assistant, 'text')} END, '' ORDER BY i)"
+    prefix = "'" + t.prefix.replace("'", "''") + "'"
+    return f"SELECT conv_id, '{name}' AS template, sha256({prefix} || {'' if t.inside else f'any_value({head}) || '}{turns}) AS text_sha256 FROM said GROUP BY conv_id"
+
+
+@query("X43", "WITH s AS (SELECT conv_id, max(text) FILTER (role = 'system' AND turn = 0) AS system FROM conversations GROUP BY conv_id), said AS (SELECT c.conv_id, role, text, system, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn) AS i FROM conversations c JOIN s ON s.conv_id = c.conv_id WHERE role IN ('user', 'assistant')), r AS (" + " UNION ALL ".join(map(_rendered_sql, NAMES)) + ") SELECT conv_id, template, language, text_sha256 FROM r, (VALUES ('jinja'), ('ollama')) l(language)", "conversations")
+def evaluated_templates(conversations):
+    """Each conversation by each template as written in two template languages, which are read and evaluated."""
+    said = F.struct("turn", "role", F.col("text").alias("content"))
+    chats = conversations.where("role IN ('user', 'assistant') OR (role = 'system' AND turn = 0)").groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("m"))
+    chats = chats.where(F.exists("m", lambda x: x["role"] != "system"))
+    chat = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    rows = chats.select("conv_id", chat.alias("messages"))
+    system = F.when(F.get("messages", F.lit(0))["role"] == "system", F.get("messages", F.lit(0))["content"])
+    rows = rows.select("conv_id", "messages", system.alias("system"), F.filter("messages", lambda x: x["role"] != "system").alias("turns"))
+    made = []
+    for name in NAMES:
+        jinja = languages.Jinja(templates.to_jinja(name, BOS, EOS)).over(F.col("messages"))
+        default = F.lit(templates.TEMPLATES[name].default_system)
+        ollama = languages.ModelFile(templates.to_ollama(name, BOS, EOS)).over(F.col("turns"), F.coalesce("system", default))
+        made += [F.struct(F.lit(name).alias("template"), F.lit(k).alias("language"), F.sha2(v, 256).alias("text_sha256")) for k, v in (("jinja", jinja), ("ollama", ollama))]
+    return rows.select("conv_id", F.explode(F.array(*made)).alias("t")).select("conv_id", "t.*")
