@@ -130,3 +130,22 @@ def last_code(text: Column, language: str = "python") -> Column:
     mark = f"```{language}"
     rest = F.substring_index(text, mark, -1)
     return F.when(F.contains(text, F.lit(mark)) & F.contains(rest, F.lit("```")), F.btrim(F.substring_index(rest, "```", 1), F.lit(" \t\n\x0b\x0c\r")))
+
+
+def unicode_escaped(text: Column) -> Column:
+    """Printable ASCII as it is, a backslash doubled, line ends and tabs by their letters, other characters by their code points in 2, 4 or 8 hex digits."""
+    known = {"\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+    def one(c: Column) -> Column:
+        at = F.ascii(c)
+        digits = lambda mark, n: F.concat(F.lit(f"\\{mark}"), F.lower(F.lpad(F.hex(at), n, "0")))
+        out = F.when(c == "\\", known["\\"])
+        for plain in ("\n", "\r", "\t"):
+            out = out.when(c == plain, known[plain])
+        return out.when((at >= 32) & (at < 127), c).when(at < 256, digits("x", 2)).when(at < 65536, digits("u", 4)).otherwise(digits("U", 8))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")
+
+
+#: How an input is written for a prompt, by name.
+WRITINGS = {"raw": lambda t: t, "base64": lambda t: base64_line(F.encode(t, "UTF-8")), "hex": lambda t: hex_lower(F.encode(t, "UTF-8")), "codepoints": lambda t: codepoints(t), "unicode_escape": unicode_escaped}

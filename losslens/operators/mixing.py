@@ -154,3 +154,21 @@ def shuffled(rows: DataFrame, order: str, size: int, seed: int = 42, name: str =
     last = F.row_number().over(Window.orderBy(draw(seed, -F.col("_at") - 1), "_at")) - 1  # the buffer: at most size rows
     ended = rest.withColumn(name, F.lit(max(0, n - size)) + last)
     return known.where("_leaves is not null").withColumn(name, F.col("_leaves") - size).unionByName(ended.withColumn(name, F.col(name).cast("long"))).drop("_at", "_leaves")
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 42, name: str = "sample") -> DataFrame:
+    """n rows in a random order with their number in it (``sample``): all rows at most once, and if there are fewer than n, more of them drawn with replacement behind.
+
+    ``key`` tells rows apart.  Rows are numbered range by range in the order of
+    their draws; draws with replacement are numbers that meet the rows' own.
+    """
+    if n < 0:
+        raise ValueError("a sample has no rows less than none")
+    placed = saved(numbered(rows.withColumn("_d", draw(seed, key)), "_d", key, name=name).drop("_d"), "sampled")
+    have = placed.count()
+    once = placed.where(F.col(name) < n)
+    if n <= have or not have:
+        return once
+    more = rows.sparkSession.range(have, n).select(F.col("id").alias("_more"), (draw(seed + 1, "id") % have).alias("_at"))
+    again = more.join(placed, F.col("_at") == F.col(name)).withColumn(name, F.col("_more")).drop("_more", "_at")
+    return once.unionByName(again)

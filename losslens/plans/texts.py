@@ -291,3 +291,19 @@ def codec_traces(benchmark):
     trace = codecs.column(lambda t: traces.traced(codecs.rle_encode, t), "string")
     last = F.substring_index("t", f"\n{traces.DONE} ", -1)
     return benchmark.select("item_id", trace("text").alias("t")).select("item_id", F.substring_index("t", "\n", 1).alias("first_line"), F.regexp_count(last, F.lit(r"""['"], [0-9]+\)""")).cast("long").alias("returned"))
+
+
+ESCAPED_SQL = r"""array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = chr(92) THEN chr(92) || chr(92) WHEN c = chr(10) THEN chr(92) || 'n' WHEN c = chr(13) THEN chr(92) || 'r' WHEN c = chr(9) THEN chr(92) || 't'
+  WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 256 THEN chr(92) || 'x' || lpad(lower(hex(unicode(c))), 2, '0') WHEN unicode(c) < 65536 THEN chr(92) || 'u' || lpad(lower(hex(unicode(c))), 4, '0') ELSE chr(92) || 'U' || lpad(lower(hex(unicode(c))), 8, '0') END), '')"""
+WRITTEN_SQL = {"raw": "text", "base64": "base64(encode(text))", "hex": "lower(hex(encode(text)))", "codepoints": "array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c)), ' ')", "unicode_escape": ESCAPED_SQL}
+_GRID = "replace(replace(replace('" + P.TEMPLATE + "', '<<<<query>>>>', 'undo: ' || task), '<<<<io_req>>>>', 'written as ' || writing), '<<<<refcode>>>>', 'def f(x): ...')"
+
+
+@query("C19 P7 P13 P14", "WITH w AS (SELECT conv_id, turn, text, writing, CASE writing " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WRITTEN_SQL.items()) + " END AS said FROM conversations, (VALUES " + ", ".join(f"('{k}')" for k in WRITTEN_SQL) + ") v(writing)), t AS (SELECT *, CASE WHEN task = 'output_prediction' THEN 'list' ELSE 'str' END AS kind FROM w, (VALUES ('output_prediction'), ('input_prediction_inversion')) t(task)) SELECT conv_id, turn, writing, task, sha256(replace(replace(" + _GRID + ", '<<<<return_type>>>>', kind), '<<<<input>>>>', said)) AS prompt_sha256 FROM t", "conversations")
+def writing_grid(conversations):
+    """The study's grid: each text in five writings, each with a task and its inverse, the input put into the whole prompt last."""
+    written = F.array(*[F.struct(F.lit(name).alias("writing"), write(F.col("text")).alias("said")) for name, write in X.WRITINGS.items()])
+    tasks = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(kind).alias("kind")) for t, kind in (("output_prediction", "list"), ("input_prediction_inversion", "str"))])
+    rows = conversations.select("conv_id", "turn", F.explode(written).alias("w")).select("conv_id", "turn", "w.*", F.explode(tasks).alias("t")).select("*", "t.task", "t.kind")
+    values = {"query": F.concat(F.lit("undo: "), "task"), "io_req": F.concat(F.lit("written as "), "writing"), "refcode": F.lit("def f(x): ..."), "return_type": F.col("kind"), "input": F.col("said")}
+    return rows.select("conv_id", "turn", "writing", "task", F.sha2(P.fill(P.TEMPLATE, values), 256).alias("prompt_sha256"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from losslens.operators.mixing import sampled
 from losslens.sources.files import read_files
 from losslens.sources.saved import numbered, saved
 
@@ -317,8 +318,12 @@ def yaml_registry(spark: SparkSession, path: str, key: str = "models") -> DataFr
 
 #: Where a registered dataset may come from, the first that its entry names counts.
 PLACES = (("hub", "hf_hub_url"), ("hub", "ms_hub_url"), ("hub", "om_hub_url"), ("script", "script_url"), ("cloud", "cloud_file_name"), ("file", "file_name"))
-#: Roles of columns, and the names they have unless an entry says otherwise.
+#: Roles of columns, and the names they have unless an entry says otherwise; then roles that only an entry names.
 COLUMNS = {"prompt": "instruction", "query": "input", "response": "output", "messages": "conversations"}
+MORE_COLUMNS = ("history", "system", "tools", "images", "videos", "audios", "chosen", "rejected", "kto_tag")
+#: Fields of a message and names of its speakers, unless an entry's tags say otherwise.
+TAGS = {"role_tag": "from", "content_tag": "value", "user_tag": "human", "assistant_tag": "gpt", "observation_tag": "observation", "function_tag": "function_call", "system_tag": "system"}
+SPEAKERS = {"user_tag": "user", "assistant_tag": "assistant", "observation_tag": "observation", "function_tag": "function", "system_tag": "system"}
 
 
 def dataset_entry(spark: SparkSession, folder: str, name: str) -> tuple[str, str, dict]:
@@ -331,21 +336,37 @@ def dataset_entry(spark: SparkSession, folder: str, name: str) -> tuple[str, str
     return place, entries[name][key], entries[name]
 
 
-def load_dataset(spark: SparkSession, folder: str, name: str, schema: str | None = None, stage: str = "sft") -> DataFrame:
+def tagged_messages(messages: Column, tags: dict[str, str]) -> Column:
+    """Messages as role and content, by the entry's tags; a speaker that no tag names has a null role."""
+    tags = TAGS | tags
+    role = lambda m: F.create_map(*[F.lit(x) for tag, name in SPEAKERS.items() for x in (tags[tag], name)])[m[tags["role_tag"]]]
+    return F.transform(messages, lambda m: F.struct(role(m).alias("role"), m[tags["content_tag"]].alias("content")))
+
+
+def load_dataset(spark: SparkSession, folder: str, name: str, schema: str | None = None, stage: str = "sft", seed: int = 42) -> DataFrame:
     """The dataset's rows under the names of their roles; ranking data is for stage ``rm`` only, and that stage takes no other.
 
-    Only files can be read here; the other places need a network.
+    An entry may name a ``split`` (a folder below the dataset's), its columns,
+    the ``sharegpt`` formatting with its tags, and ``num_samples``: so many rows are
+    drawn, more than there are by drawing again.  Only files can be read here; the
+    other places need a network.
     """
     place, where, entry = dataset_entry(spark, folder, name)
     if bool(entry.get("ranking")) != (stage == "rm"):
         raise ValueError(f"dataset {name} is not applicable in stage {stage}")
     if place != "file":
         raise ValueError(f"dataset {name} comes from a {place}, which needs a network")
-    rows = read_files(spark, f"{folder}/{where}", schema)
+    kind = entry.get("formatting", "alpaca")
+    if kind not in ("alpaca", "sharegpt"):
+        raise ValueError(f"no formatting {kind}")
+    rows = read_files(spark, "/".join(filter(None, (folder, where, entry.get("split")))), schema)
     if entry.get("num_samples"):
-        rows = rows.limit(entry["num_samples"])
-    named = {role: c for role, c in (COLUMNS | entry.get("columns", {})).items() if c in rows.columns}
-    return rows.select(*[F.col(f"`{c}`").alias(role) for role, c in named.items()])
+        keyed = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "dataset")
+        rows = sampled(keyed, "_row", entry["num_samples"], seed).drop("_row", "sample")
+    given = {role: c for role, c in entry.get("columns", {}).items() if role in COLUMNS or role in MORE_COLUMNS or role not in TAGS}
+    named = {role: c for role, c in (COLUMNS | given).items() if c in rows.columns}
+    column = lambda role, c: tagged_messages(F.col(f"`{c}`"), entry.get("tags", {})) if role == "messages" and kind == "sharegpt" else F.col(f"`{c}`")
+    return rows.select(*[column(role, c).alias(role) for role, c in named.items()])
 
 
 def read_choices(spark: SparkSession, path: str) -> DataFrame:
