@@ -61,7 +61,8 @@ def verified_files(labels):
     spark, folder = labels.sparkSession, fresh(labels.sparkSession, "results")
     model = F.concat(F.lit("m-"), (F.col("ord") % 3).cast("string"))
     rows = verified(labels).withColumn("algo", F.when(F.col("ord") % 2 == 0, "lzw").otherwise("rle")).withColumn("model", model)
-    name = F.concat("algo", F.lit("/run_gens_model_"), "model", F.lit("_temp_0.2_n5_verified.jsonl"))
+    part = F.expr("ord div 10000").cast("string")  # no file, and so no row, has more lines
+    name = F.concat("algo", F.lit("/run"), part, F.lit("_gens_model_"), "model", F.lit("_temp_0.2_n5_verified.jsonl"))
     lines = rows.select(name.alias("name"), F.to_json(F.struct("io_pred", "status")).alias("line")).groupBy("name").agg(F.array_join(F.collect_list("line"), "\n").alias("content"))  # a result file each
     scans.write_named(lines.unionByName(spark.createDataFrame([("lzw/run_gens_model_m-0.jsonl", "not json\n")], "name string, content string")), folder)
     found = scans.read_verified(spark, [f"{folder}/*/*_verified.jsonl", f"{folder}/none/*.jsonl"], "io_pred string, status string")

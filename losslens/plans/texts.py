@@ -72,7 +72,7 @@ def usable_traces(documents):
     return documents.where(~t.startswith("ERROR: ") & ~t.contains("!!!") & (F.right(F.trim(t), F.lit(1)) == ".") & (F.size(F.split(t, "\n")) < 30)).select("doc_id")
 
 
-@query("F3 F8 F9 F10", "SELECT lang, count(*) FILTER (length(text) <= 4000)::BIGINT AS fits, count(*) FILTER (length(text) > 4000)::BIGINT AS too_long FROM documents GROUP BY lang", "documents")
+@query("F3 F9", "SELECT lang, count(*) FILTER (length(text) <= 4000)::BIGINT AS fits, count(*) FILTER (length(text) > 4000)::BIGINT AS too_long FROM documents GROUP BY lang", "documents")
 def length_filter(documents):
     n = F.length("text")
     return documents.groupBy("lang").agg(F.count_if(n <= 4000).alias("fits"), F.count_if(n > 4000).alias("too_long"))
