@@ -36,9 +36,11 @@ def test_reports_leave_other_columns_out(odd):
         quality.with_quality(odd)
 
 
-def test_a_crowd_strung_together_by_shared_passages(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1, 64])
+def test_a_crowd_strung_together_by_shared_passages(spark, monkeypatch, most):
     """Texts that share half of their words are one cluster of keys, but few of them are near copies."""
     monkeypatch.setattr(near_copies, "CHUNK", 8)
+    monkeypatch.setattr(near_copies, "MOST_CHUNKS", most)
     import random
 
     from tests.llm.test_near_copies import kept_by_brute_force
