@@ -20,6 +20,11 @@ def _joined(source: Column, target: Column) -> list[Column]:
     return [F.concat(source, target), F.concat(F.array_repeat(F.lit(IGNORED), F.size(source)), target)]
 
 
+def thousandths(x: Column) -> Column:
+    """A number times 1000 in its own type, cut to a whole one: a float's product is rounded as a float, not as a double."""
+    return (x * F.lit(1000).cast("float")).cast("int")
+
+
 def pretraining(rows: DataFrame) -> DataFrame:
     ids = F.concat("source", "target")
     return rows.select("id", ids.alias("input_ids"), ids.alias("labels"))

@@ -72,7 +72,7 @@ def tokenized_reload(embeddings):
 SELECT vec_id AS id, stage, CASE WHEN stage = 'ppo' THEN s ELSE s + t END AS n, CASE WHEN stage = 'pt' THEN s + t ELSE t END AS learned FROM e CROSS JOIN (VALUES ('pt'), ('sft'), ('rm'), ('kto'), ('ppo')) v(stage)""", "embeddings")
 def stage_inputs(embeddings):
     """Each stage's inputs of the same samples: positive parts stand for sources, the others for targets."""
-    ids = lambda keep: F.transform(F.filter("embedding", keep), lambda x: F.abs(x * 1000).cast("int"))
+    ids = lambda keep: F.transform(F.filter("embedding", keep), lambda x: F.abs(stages.thousandths(x)))
     rows = embeddings.select(F.col("vec_id").alias("id"), ids(lambda x: x > 0).alias("source"), ids(lambda x: x <= 0).alias("target"), (F.col("vec_id") % 2 == 0).alias("desirable")).withColumn("rejected", F.reverse("target"))
     out = None
     for stage in ("pt", "sft", "rm", "kto", "ppo"):
@@ -93,7 +93,7 @@ SELECT id, ids, len(sizes)::BIGINT AS samples, md5(array_to_string(list_concat(i
   md5(array_to_string(list_concat(positions, list_transform(range(more), lambda i: 0)), ',')) AS positions_md5, md5(array_to_string(list_concat(flatten(list_transform(sizes, lambda n, i: list_transform(range(n), lambda k: i))), list_transform(range(more), lambda i: 0)), ',')) AS attention_md5 FROM filled""", "embeddings")
 def packed_stage_inputs(embeddings):
     """Packs of at most 256 ids, padded to 257, with the number of each sample as its attention mask."""
-    ids = lambda keep: F.transform(F.filter("embedding", keep), lambda x: F.abs((x * 1000).cast("int")))
+    ids = lambda keep: F.transform(F.filter("embedding", keep), lambda x: F.abs(stages.thousandths(x)))
     rows = embeddings.select(F.col("vec_id").alias("id"), ids(lambda x: x > 0).alias("source"), ids(lambda x: x <= 0).alias("target"))
     packs = stages.packed_supervised(rows, 256)
     digest = lambda c: F.md5(F.array_join(c, ",").cast("binary"))

@@ -292,7 +292,7 @@ def feedback_pairs(embeddings):
 @query("X46", None, "embeddings")
 def history_masks(embeddings):
     """Ids and labels of three turns in a budget of 40, in each way of masking."""
-    part = lambda a, b: F.transform(F.slice("embedding", F.lit(a), F.lit(b)), lambda x: F.abs(x * 1000).cast("int"))
+    part = lambda a, b: F.transform(F.slice("embedding", F.lit(a), F.lit(b)), lambda x: F.abs(stages.thousandths(x)))
     pairs = F.array(*[F.struct(part(a, b).alias("source"), part(a + b, c).alias("target")) for a, b, c in ((1, 9, 5), (15, 20, 4), (39, 3, 11))])
     ways = {"plain": {}, "history": {"mask_history": True}, "prompt": {"train_on_prompt": True}, "eos": {"efficient_eos": True}, "eos_history": {"efficient_eos": True, "mask_history": True}}
     made = [F.struct(F.lit(name).alias("way"), A.multiturn(pairs, 40, **way).alias("m")) for name, way in ways.items()]
