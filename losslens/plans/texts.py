@@ -274,9 +274,10 @@ def few_shot_prompts(labels, conversations):
 SELECT vec_id, n::BIGINT AS n, len(list_filter(labels, lambda x: x = -100))::BIGINT AS ignored, md5(array_to_string(list_concat(labels, list_transform(range(greatest(80 - n, 0)), lambda i: -100)), ',')) AS labels_md5 FROM e""", "embeddings")
 def padded_batches(embeddings):
     """Labels of what is learned, padded to 80."""
+    from losslens.operators.stages import thousandths
     from losslens.operators.templates import masked_labels, padded
 
-    ids = F.transform("embedding", lambda x: (x * 1000).cast("int"))
+    ids = F.transform("embedding", thousandths)
     labels = masked_labels(ids, F.transform("embedding", lambda x: x > 0))
     ignored = F.size(F.filter(labels, lambda x: x == -100))
     return embeddings.select("vec_id", F.size(ids).cast("long").alias("n"), ignored.cast("long").alias("ignored"), F.md5(F.array_join(padded(labels, F.lit(80), -100), ",").cast("binary")).alias("labels_md5"))

@@ -6,7 +6,7 @@ import pytest
 from losslens.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["packed_stage_inputs"])
+@pytest.mark.parametrize("name", ["packed_stage_inputs", "padded_batches"])
 def test_float_products_are_rounded_as_floats(spark, tmp_path, name):
     """A float's product with 1000 may be a whole number where a double's is just below one."""
     vectors = [[-0.196, 0.5, 0.25], [0.053, -0.1589999943971634, 1.0], [0.1, -0.1], [0.0]]
