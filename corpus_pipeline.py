@@ -28,7 +28,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays."""
+    """One document of each group of near copies (op7's SimHash blocks, then bands for what lies further apart; 5-word Jaccard of 0.8 or more) stays."""
     bound_batches(spark)
     return copies.drop_near_copies(docs)
 

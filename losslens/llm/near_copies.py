@@ -1,12 +1,16 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Equal sets are one node.  Candidates come from MinHash bands: nodes that agree
-in all rows of a band share a key, and what keys connect is a cluster.  A pair
-at similarity 0.8 shares no key with a chance of (1 - 0.8^ROWS)^BANDS, 4e-9;
-more alike pairs less.  Inside a cluster the sets themselves are compared, so
-no link rests on an estimate.  A cluster of many nodes is compared chunk by
-chunk, each with the cluster's least node; where that leaves it in parts, every
-pair of its chunks meets too.  No caps.
+Equal sets are one node.  First op7's method runs over all nodes: SimHash
+fingerprints that differ in few bits meet by their blocks, and inside each of
+its components the sets themselves are compared.  At a similarity of 0.8
+fingerprints may be 13 bits apart, too far for blocks, so what op7 leaves apart
+meets once more by MinHash bands: nodes that agree in all rows of a band share a
+key, and what keys with unlike nodes connect is a cluster.  A pair at similarity
+0.8 shares no key with a chance of (1 - 0.8^ROWS)^BANDS, 4e-9; more alike pairs
+less.  Clusters too are compared by their sets, so no link rests on an estimate.
+A component or cluster of many nodes is compared chunk by chunk, each with its
+least node; where that leaves a cluster in parts, every pair of its chunks meets
+too.  No caps.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from losslens.llm.common import bytes_of, hot_join, save, slices
-from losslens.llm.simhash import components
+from losslens.llm.simhash import components, fingerprint, fingerprint_components
 
 WIDTH, LEAST_SIMILARITY = 5, 0.8
+#: Bits by which fingerprints of op7's method may differ.
+DISTANCE = 4
 BANDS, ROWS = 64, 6
 #: Nodes of one cluster that are compared in one group, and the most chunks whose pairs all meet.
 CHUNK, MOST_CHUNKS = 64, BANDS
@@ -56,17 +62,19 @@ def band_keys(found: np.ndarray) -> list[int]:
 
 
 def signatures(numbered: DataFrame, text_col: str) -> DataFrame:
-    """__row, doc_id, a digest of the shingle set, and the band keys."""
+    """__row, doc_id, a digest of the shingle set, op7's fingerprint, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                sets = [shingles(t) for t in bytes_of(part, 2)]
+                texts = bytes_of(part, 2)
+                sets = [shingles(t) for t in texts]
+                prints = pa.array(np.array([fingerprint(t, WIDTH) for t in texts], "<u8").view("<i8"))
                 keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), keys], ["__row", "doc_id", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), prints, keys], ["__row", "doc_id", "digest", "fp", "keys"])
 
     kind = numbered.schema["doc_id"].dataType.simpleString()
-    return numbered.select("__row", "doc_id", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"__row long, doc_id {kind}, digest binary, keys array<long>")
+    return numbered.select("__row", "doc_id", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"__row long, doc_id {kind}, digest binary, fp long, keys array<long>")
 
 
 def link_sets(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -121,28 +129,49 @@ def meetings() -> Column:
     return F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(j, F.col("chunk")) * F.col("g") + F.greatest(j, F.col("chunk")))
 
 
+def chunked(clusters: DataFrame) -> DataFrame:
+    """Rows (node, root) of clusters of several nodes, with ``chunk``, the node's among the ``g`` of its cluster; saved."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).withColumn("g", F.ceil(F.col("n") / CHUNK).cast("int")).where("n > 1")
+    sized = hot_join(clusters, sizes, "root", "n", clusters.count())
+    return save(sized.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")), "clusters")
+
+
+def chunk_links(clusters: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links inside each chunk of ``chunked`` rows, the cluster's least node being in all of its chunks; saved."""
+    parts = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array("chunk"))
+    return save(verified(clusters.select("root", "node", F.explode(parts).alias("part")), texts), "copies")
+
+
+def fingerprint_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) at a similarity of LEAST_SIMILARITY inside the components that op7's method finds; nodes has node and fp."""
+    found = fingerprint_components(nodes.select(F.col("node").alias("doc_id"), "fp"), DISTANCE)
+    clusters = chunked(save(found.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")), "components"))
+    return chunk_links(clusters, save(texts.join(clusters.select("node"), "node", "left_semi"), "candidates"))
+
+
 def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all nodes at a similarity of LEAST_SIMILARITY; nodes has node and keys.
-
-    Clusters of more than CHUNK nodes are first compared by chunks that share the
-    cluster's least node, which joins most copies.  Where that leaves a cluster in
-    parts, every pair of its chunks meets, up to MOST_CHUNKS of them, which are
-    as many copies of a text as it has keys.  In larger clusters nodes meet by the
-    keys that they really share, and only under keys that still connect different
-    parts, so a text is never copied more often, however large the cluster that
-    keys have strung together.  A key of more than CHUNK nodes in different parts
-    is compared by pairs of chunks.  Both ways are exact.
+    """Links (a, b) that connect all nodes at a similarity of LEAST_SIMILARITY; nodes has node, fp and keys.
+
+    op7's components come first; only keys under which these leave different
+    parts make clusters.  Clusters of more than CHUNK nodes are first compared by
+    chunks that share the cluster's least node, which joins most copies.  Where
+    that leaves a cluster in parts, every pair of its chunks meets, up to
+    MOST_CHUNKS of them, which are as many copies of a text as it has keys.  In
+    larger clusters nodes meet by the keys that they really share, and only under
+    keys that still connect different parts, so a text is never copied more
+    often, however large the cluster that keys have strung together.  A key of
+    more than CHUNK nodes in different parts is compared by pairs of chunks.  Both
+    ways are exact.
     """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    first = fingerprint_links(nodes, texts)
+    known = save(nodes.select("node", "keys").join(components(first).select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node")), "known")
+    keyed = known.select("node", "part", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "a", "n")
+    keyed = keyed.drop("part")
     linked = components(hot_join(keyed, shared, "key", "n", BANDS * nodes.count()).where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    clusters = save(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).withColumn("g", F.ceil(F.col("n") / CHUNK).cast("int"))
-    sized = hot_join(clusters, sizes, "root", "n", clusters.count())
-    clusters = save(sized.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")), "clusters")
+    clusters = chunked(save(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()), "clusters"))
     wanted = save(texts.join(clusters.select("node"), "node", "left_semi"), "candidates")
-    parts = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array("chunk"))
-    links = save(verified(clusters.select("root", "node", F.explode(parts).alias("part")), wanted), "copies")
+    links = first.unionByName(chunk_links(clusters, wanted))
     large = clusters.where("g > 1")
     if large.isEmpty():
         return links
@@ -172,9 +201,9 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = place[text_col].cast("string")
     plain = numbered.select("__row", place["doc_id"].alias("doc_id"), text.alias("text"))
     found = save(signatures(plain, "text"), "signatures")
-    nodes = save(found.groupBy("digest").agg(F.min("__row").alias("node"), F.first("keys").alias("keys"), F.count("*").alias("rows")), "nodes")
+    nodes = save(found.groupBy("digest").agg(F.min("__row").alias("node"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("rows")), "nodes")
     texts = numbered.select(F.col("__row").alias("node"), F.coalesce(text, F.lit("")).alias("__text"))
-    linked = components(near_links(nodes.select("node", "keys"), texts))
+    linked = components(near_links(nodes.select("node", "fp", "keys"), texts))
     rooted = nodes.select("digest", "node", "rows").join(linked, "node", "left").select("digest", "rows", F.coalesce("root", "node").alias("root"))
     rows = hot_join(found.select("__row", "doc_id", "digest"), rooted, "digest", "rows", found.count())
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("first"))

@@ -197,6 +197,12 @@ def simhash_components(docs: DataFrame, distance: int = 4, width: int = 4, id_co
     """
     keep = keep or []
     found = save(fingerprints(docs.withColumn("doc_id", F.col(id_col)), ["doc_id", *keep], text_col, width), "fingerprints")
+    return fingerprint_components(found, distance, keep)
+
+
+def fingerprint_components(found: DataFrame, distance: int, keep: list[str] | None = None) -> DataFrame:
+    """``simhash_components`` of saved rows with doc_id and fp (and the ``keep`` columns)."""
+    keep = keep or []
     nodes = save(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
     figures = nodes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     linked = components(near_links(nodes.select("fp"), figures[0], distance))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from losslens.llm import near_copies
@@ -69,3 +70,13 @@ def test_near_copies_in_crowds_and_chains(spark, monkeypatch, chunk):
     random.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == kept_by_brute_force(rows)
+
+
+def test_simhash_blocks_link_near_copies_without_any_band(spark):
+    """op7's method finds the pairs in its reach by itself; bands are for those further apart."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(0, " ".join(words)), (1, " ".join(words + ["end"])), (2, " ".join(reversed(words))), (3, "a few other words")]
+    docs = spark.createDataFrame(rows, "__row long, text string").withColumn("doc_id", F.col("__row"))
+    nodes = near_copies.signatures(docs, "text").select(F.col("__row").alias("node"), "fp", F.expr("slice(keys, 1, 0)").alias("keys"))
+    links = near_copies.near_links(nodes, docs.select(F.col("__row").alias("node"), F.col("text").alias("__text")))
+    assert {tuple(sorted(r)) for r in links.collect()} == {(0, 1)}
