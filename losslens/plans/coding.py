@@ -58,8 +58,12 @@ def arithmetic_midpoints(documents):
 @query("C5 C6", """WITH t AS (SELECT doc_id, ceil(length(text) / 16.0)::BIGINT AS pieces FROM documents) SELECT doc_id, pieces, pieces AS ok FROM t""", "documents")
 def arithmetic_round_trips(documents):
     """Exact arithmetic coding of every text in pieces of 16 characters (fractions grow with the square of a piece): all must decode."""
-    pieces = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s).{1,16}"), F.lit(0))).alias("piece"))
-    return pieces.withColumn("ok", codecs.column(comes_back, "boolean")("piece")).groupBy("doc_id").agg(F.count("*").alias("pieces"), F.count_if("ok").alias("ok"))
+
+    @F.pandas_udf("struct<pieces:long,ok:long>")
+    def trip(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([x or (None, None) for x in codecs.piecewise_round_trips(texts)], columns=["pieces", "ok"], dtype=object)
+
+    return spread(documents).select("doc_id", trip("text").alias("r")).select("doc_id", "r.*")
 
 
 def comes_back(text: str) -> bool:
