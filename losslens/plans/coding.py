@@ -36,16 +36,8 @@ d AS (SELECT conv_id, turn, k, CASE WHEN low = 0 THEN '0' ELSE '0.' || rtrim(lpa
 SELECT conv_id, turn, count(*)::BIGINT AS pieces, sha256(string_agg(low, ' ' ORDER BY k)) AS lows_sha256 FROM d GROUP BY conv_id, turn""", "conversations")
 def arithmetic_bounds(conversations):
     """Exact lower bounds, as decimals, of each text in pieces of 8 characters, the last one filled up."""
-    n = F.ceil(F.length("text") / 8)
-    whole = F.rpad("text", (n * 8).cast("int"), F.lit("x"))
-    pieces = F.regexp_extract_all(whole, F.lit(r"(?s).{8}"), F.lit(0))
-
-    @F.pandas_udf("string")
-    def lows(texts: pd.Series) -> pd.Series:
-        return pd.Series([" ".join(codecs.ae_lower_decimal(p) for p in some) for some in texts], dtype=object)
-
-    rows = spread(conversations).where("text <> ''").select("conv_id", "turn", pieces.alias("p"))
-    return rows.select("conv_id", "turn", F.size("p").cast("long").alias("pieces"), F.sha2(lows("p"), 256).alias("lows_sha256"))
+    lows = codecs.column(codecs.piecewise_lower_digest, "struct<pieces long, lows_sha256 string>")
+    return spread(conversations).where("text <> ''").select("conv_id", "turn", lows("text").alias("r")).select("conv_id", "turn", "r.*")
 
 
 @query("C4", "WITH t(doc_id) AS (SELECT doc_id FROM documents) SELECT doc_id, true AS inside FROM t", "documents")

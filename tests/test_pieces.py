@@ -35,3 +35,11 @@ def test_a_decoded_piece_is_read_from_its_value(monkeypatch):
 def test_null_and_empty_texts_have_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 33)], "doc_id long, text string")
     assert sorted(map(tuple, coding.arithmetic_round_trips(docs).collect())) == [(1, None, None), (2, 0, 0), (3, 3, 3)]
+
+
+def test_pieces_stay_out_of_the_columns_sent_to_python(spark):
+    """Whole texts go to the workers and digests come back: no array of pieces, whose texts took gigabytes, in any plan."""
+    turns = spark.createDataFrame([(1, 0, "a text of some length")], "conv_id long, turn int, text string")
+    plan = coding.arithmetic_bounds(turns)._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "ArrowEvalPython" in plan
+    assert codecs.piecewise_lower_digest("a text of some length")[0] == 3
