@@ -19,6 +19,7 @@ from losslens.operators.templates import read_tool_calls, render, tool_calls
 from losslens.plans.evaluation import VERIFIED_SQL, verified
 from losslens.plans.registry import query
 from losslens.plans.verdicts import cases, dealt
+from losslens.session import spread
 from losslens.sources import generators as G
 from losslens.sources import scans
 from losslens.sources.files import newest_snapshot, read_files
@@ -220,7 +221,7 @@ ELSE array_to_string(list_sort(list_distinct(list_transform(range(1, 11 + {_draw
 @query("G1 G3", DNA_SQL, "documents")
 def generated_dna(documents):
     """A DNA-like text for each document's id, ten categories in turn."""
-    return G.dna(documents.select(F.col("doc_id").alias("id"))).select("id", "text")
+    return G.dna(spread(documents.select(F.col("doc_id").alias("id")))).select("id", "text")
 
 
 def _table(mark: str, cell: str, headers: int) -> str:
@@ -243,7 +244,7 @@ TABLES_SQL = "WITH d AS (SELECT doc_id AS id FROM documents) SELECT id, CASE id
 @query("G7", TABLES_SQL, "documents")
 def generated_tables(documents):
     """A small table for each document's id, ten kinds in turn."""
-    return G.tables(documents.select(F.col("doc_id").alias("id"))).select("id", "category", F.sha2("text", 256).alias("text_sha256"))
+    return G.tables(spread(documents.select(F.col("doc_id").alias("id")))).select("id", "category", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("G4 G8", None, "documents")
